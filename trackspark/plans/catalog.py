@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("spatial_queries",)
+_MODULES = ("spatial_queries", "edge_queries")
 
 
 def load() -> None:
