@@ -12,14 +12,14 @@ from trackspark.operators.ordering import rank_rows
 def embryo_folds(names: DataFrame) -> DataFrame:
     """Leave-one-embryo-out fold per dataset; the name hash where only one embryo exists."""
     tagged = names.select("dataset").distinct().withColumn("embryo", embryo(F.col("dataset")))
-    # Few embryos: the ordered list is one value per distinct prefix.
-    listed = tagged.agg(F.sort_array(F.collect_set("embryo")).alias("e"),
-                        F.count_distinct("dataset").alias("n"))
-    prefixes = listed.select("e").scalar()
-    k = listed.select(F.least(F.lit(5), F.greatest(F.lit(1), F.col("n")))).scalar()
-    fold = F.when(F.size(prefixes) > 1, F.array_position(prefixes, F.col("embryo")) - 1)
-    return tagged.select("dataset", fold.alias("_f"), hash_fold(F.col("dataset"), k).alias("_h")) \
-        .select("dataset", F.coalesce("_f", "_h").cast("bigint").alias("fold"))
+    counted = tagged.agg(F.count_distinct("embryo").alias("e"), F.count(F.lit(1)).alias("n"))
+    order = rank_rows(tagged.select("embryo").distinct(), [], ["embryo"], "_pos")
+    k = F.least(F.lit(5), F.greatest(F.lit(1), counted.select("n").scalar()))
+    by_hash = F.element_at(F.array(*[hash_fold(F.col("dataset"), F.lit(j)) for j in range(1, 6)]),
+                           k.cast("int"))
+    several = counted.select("e").scalar() > 1
+    return tagged.join(order, "embryo").select(
+        "dataset", F.when(several, F.col("_pos") - 1).otherwise(by_hash).alias("fold"))
 
 
 def hash_folds(names: DataFrame, k: int = 5) -> DataFrame:
@@ -51,16 +51,13 @@ def stratified_subset(names: DataFrame, size: int) -> DataFrame:
 
 def evenly_spaced(names: DataFrame, k: int) -> DataFrame:
     """``k`` names at evenly spaced positions of the sorted list (truncated positions)."""
-    ranked = rank_rows(names.select("dataset").distinct(), [], ["dataset"], "_pos")
-    last = names.select("dataset").distinct().agg(F.count(F.lit(1)) - 1).scalar()
-    step = F.lit(1.0) * last / F.lit(max(1, k - 1))
-    # A position is taken iff it is the truncation of some multiple of the step.
-    pos = F.col("_pos") - 1
-    i = F.ceil(pos / step)
-    hit = (F.floor(i * step) == pos) & (i <= k - 1)
-    near = (F.floor((i - 1) * step) == pos) & (i - 1 >= 0) & (i - 1 <= k - 1)
-    after = (F.floor((i + 1) * step) == pos) & (i + 1 <= k - 1)
-    return ranked.where(F.when(step <= 1, True).otherwise(hit | near | after)).select("dataset")
+    distinct = names.select("dataset").distinct()
+    ranked = rank_rows(distinct, [], ["dataset"], "_pos")
+    last = distinct.agg(F.count(F.lit(1)) - 1).scalar()
+    step = last / F.lit(float(max(1, k - 1)))
+    wanted = names.sparkSession.range(k).select(
+        (F.floor(F.col("id") * step) + 1).cast("bigint").alias("_pos")).distinct()
+    return ranked.join(wanted, "_pos", "left_semi").select("dataset")
 
 
 def inventory_gaps(images: DataFrame, truths: DataFrame) -> DataFrame:

@@ -33,20 +33,23 @@ _TABLES = {
         SELECT dataset, node_id AS edge_id, node_id AS source_id, node_id + 1 AS target_id
         FROM gt WHERE t < 19"""),
     # Links of the same cell, plus a few of every malformation: a skipped frame, a
-    # self-loop, a repeat, a merge and a division.
+    # self-loop, a repeat, a merge, a division and a third child.
     "raw_edges": (("cells",), """
         SELECT dataset, edge_id, source_id, target_id, edge_prob FROM (
-          SELECT dataset, node_id * 2 AS edge_id, node_id AS source_id,
+          SELECT dataset, node_id * 4 AS edge_id, node_id AS source_id,
                  node_id + 1 AS target_id, value / 500 AS edge_prob
           FROM cells WHERE t < 19
           UNION ALL
-          SELECT dataset, node_id * 2 + 1,
+          SELECT dataset, node_id * 4 + 1,
                  CASE WHEN node_id % 97 = 4 THEN node_id - 160 ELSE node_id END,
                  CASE node_id % 97 WHEN 1 THEN node_id + 2 WHEN 2 THEN node_id
                       WHEN 5 THEN node_id - 159 ELSE node_id + 1 END,
                  value / 400
           FROM cells WHERE t < 18 AND node_id % 97 BETWEEN 1 AND 5
-            AND node_id % 80000 >= 160) r
+            AND node_id % 80000 >= 160
+          UNION ALL
+          SELECT dataset, node_id * 4 + 2, node_id, node_id - 159, value / 300
+          FROM cells WHERE t < 18 AND node_id % 97 IN (3, 5) AND node_id % 80000 >= 160) r
         WHERE ((source_id ~/ 20) * 3 + (source_id % 20) * 5) % 7 <> 0
           AND ((target_id ~/ 20) * 3 + (target_id % 20) * 5) % 7 <> 0"""),
     "matches": (("cells",), """
