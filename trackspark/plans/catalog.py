@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("spatial_queries", "edge_queries", "experiment_queries", "link_queries")
+_MODULES = ("spatial_queries", "edge_queries", "experiment_queries", "link_queries",
+            "volume_queries")
 
 
 def load() -> None:
