@@ -63,6 +63,10 @@ _TABLES = {
                value / 500 AS edge_prob
         FROM cells WHERE t < 19 AND (cell * 3 + t * 5) % 7 <> 0
           AND (cell * 3 + (t + 1) * 5) % 7 <> 0"""),
+    # The same links with the weak ones lost: tracks break, some nodes stand alone.
+    "lossy_edges": (("clean_edges",), """
+        SELECT dataset, edge_id, source_id, target_id, edge_prob FROM clean_edges
+        WHERE edge_prob > 0.08"""),
     "voxels": (("embeddings",), """
         SELECT CAST(label AS STRING) AS dataset, vec_id AS t,
                CAST(p ~/ 16 AS INT) AS z, CAST((p ~/ 4) % 4 AS INT) AS y, CAST(p % 4 AS INT) AS x,
