@@ -17,7 +17,7 @@ def log_design(features: DataFrame) -> DataFrame:
     """dataset, embryo, y = log(budget per frame), and the logged features."""
     return features.select(
         "dataset", embryo(F.col("dataset")).alias("embryo"),
-        F.log(F.col("est_total") / F.col("t_frames")).alias("y"),
+        F.log(F.try_divide("est_total", "t_frames")).alias("y"),
         *[log_feature(name).alias(name) for name in FEATURES])
 
 
@@ -112,7 +112,7 @@ def error_report(predicted: DataFrame) -> DataFrame:
 
 def widest_misses(pairs: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` rows of (dataset, truth, predicted) with the largest |log ratio|."""
-    miss = F.abs(F.log(F.col("predicted") / F.col("truth")))
+    miss = F.abs(F.log(F.try_divide("predicted", "truth")))
     return pairs.withColumn("miss", miss).orderBy(F.col("miss").desc(), "dataset").limit(k)
 
 

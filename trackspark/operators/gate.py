@@ -133,14 +133,14 @@ def weight_shares(rows: DataFrame) -> DataFrame:
     weight = F.col("edge_tp") + F.col("edge_fp") + F.col("edge_fn")
     totals = rows.groupBy("arm").agg(F.sum(weight).alias("_total"))
     return rows.join(totals, "arm").select(
-        "arm", "dataset", (weight / F.col("_total")).alias("share"),
+        "arm", "dataset", F.try_divide(weight, F.col("_total")).alias("share"),
         (F.col("adj_edge_jaccard") == 0).alias("zeroed"))
 
 
 def decompose(summary: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Split a score difference into the part from edges and the part from the multiplier."""
     s = summary.select("arm", "edge_jaccard", "adj_edge_jaccard",
-                       (F.col("adj_edge_jaccard") / F.col("edge_jaccard")).alias("mult"))
+                       F.try_divide("adj_edge_jaccard", "edge_jaccard").alias("mult"))
     wanted = F.explode(F.array(*[F.struct(F.lit(b).alias("baseline"), F.lit(a).alias("candidate"))
                                  for b, a in pairs]))
     base = (s.select("*", wanted.alias("_p")).where(F.col("arm") == F.col("_p.baseline"))

@@ -60,7 +60,7 @@ def linking_ceiling(links: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame,
         F.sum("edge_tp").alias("edge_tp"), F.sum("edge_fp").alias("edge_fp"),
         F.sum("edge_fn").alias("edge_fn"),
         F.round(F.sum("edge_tp") / F.greatest(F.sum("_w"), F.lit(1)), 6).alias("edge_jaccard"),
-        F.round(F.sum(F.col("_a") * F.col("_w")) / F.sum(F.when(usable, F.col("_w"))), 6)
+        F.round(F.try_divide(F.sum(F.col("_a") * F.col("_w")), F.sum(F.when(usable, F.col("_w")))), 6)
         .alias("adj_edge_jaccard"))
 
 

@@ -91,7 +91,7 @@ def gate_text(i: Inputs):
     return v.select("baseline", "candidate", F.concat(
         F.when(F.col("promote"), "PROMOTE").otherwise("REJECT"), F.lit(" "),
         F.format_string("%+.4f", "pooled_delta")).alias("headline"),
-        F.coalesce(F.element_at("reasons", F.lit(1)).startswith("compared on"), F.lit(False))
+        F.coalesce(F.get("reasons", F.lit(0)).startswith("compared on"), F.lit(False))
         .alias("partial"))
 
 
