@@ -20,7 +20,7 @@ from trackspark.operators.graph import connected_components
 from trackspark.operators.spatial import (
     as_sources, link_candidates, nearest_links, next_frame, range_join)
 from trackspark.schema import DEFAULT_SCALE, DENSE_PAIR_LIMIT, MATCH_RADIUS_UM
-from trackspark.session import cut_lineage, is_empty
+from trackspark.session import cut_lineage, discard, is_empty
 
 TASK_CELLS = 4_000_000
 
@@ -30,8 +30,9 @@ TASK_CELLS = 4_000_000
 def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Full assignment of the smaller side at least total cost.
 
-    Rows start on their cheapest free column, which is already optimal for most frames;
-    the remaining rows are placed by shortest augmenting paths on reduced costs.
+    Rows start on their cheapest free column, which settles most of a frame. Rows left
+    over first bid for a column by the margin to their second choice, and only those
+    still without one are placed by shortest augmenting paths on reduced costs.
     """
     if cost.shape[0] > cost.shape[1]:
         cols, rows = cheapest_assignment(cost.T)
@@ -46,7 +47,30 @@ def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for r in range(n):
         if row_of[first[r]] < 0:
             row_of[first[r]], col_of[r] = r, first[r]
+    waiting = np.flatnonzero(col_of < 0) if m > 1 else []
+    for _ in range(4):
+        outbid = []
+        for r in waiting:
+            reduced = cost[r] - col_price
+            j = int(reduced.argmin())
+            low = reduced[j]
+            reduced[j] = np.inf
+            second = reduced.min()
+            if second <= low and row_of[j] >= 0:
+                outbid.append(r)
+                continue
+            if row_of[j] >= 0:
+                # Only a column that stays taken may change its price.
+                col_price[j] -= second - low
+                row_price[r] = second
+                outbid.append(row_of[j])
+                col_of[row_of[j]] = -1
+            else:
+                row_price[r] = low
+            row_of[j], col_of[r] = r, j
+        waiting = outbid
     for start in np.flatnonzero(col_of < 0):
+        row_price[start] = (cost[start] - col_price).min()
         reach = cost[start] - row_price[start] - col_price
         via = np.full(m, start)
         settled = np.zeros(m, bool)
@@ -161,7 +185,7 @@ def auction(pairs: DataFrame, keys: list[str], left: str, right: str, weight: st
     lots = cut_lineage(pairs.select(*keys, right).distinct()
                        .withColumn("_price", F.lit(0.0))
                        .withColumn("_owner", F.lit(None).cast(pairs.schema[left].dataType)), "lots")
-    bidders = cut_lineage(pairs.select(*keys, left).distinct(), "bidders")
+    bidders, table = cut_lineage(pairs.select(*keys, left).distinct(), "bidders"), lots
     rank = Window.partitionBy(*keys, left).orderBy(F.col("_value").desc(), right)
     while not is_empty(bidders):
         offers = (pairs.join(bidders, [*keys, left], "left_semi")
@@ -186,8 +210,9 @@ def auction(pairs: DataFrame, keys: list[str], left: str, right: str, weight: st
         placed = after.select(*keys, F.col("_owner").alias(left))
         lost = choice.select(*keys, left).join(placed, [*keys, left], "left_anti")
         ousted = after.where("_displaced IS NOT NULL").select(*keys, F.col("_displaced").alias(left))
-        bidders = cut_lineage(lost.unionByName(ousted), "bidders")
-        lots = after.drop("_displaced")
+        again = cut_lineage(lost.unionByName(ousted), "bidders")
+        discard(bidders, choice, table)
+        bidders, table, lots = again, after, after.drop("_displaced")
     owned = lots.where("_owner IS NOT NULL").select(*keys, F.col("_owner").alias(left), right)
     return pairs.join(owned, [*keys, left, right], "left_semi")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import norm3, with_um
 from trackspark.operators.edges import with_endpoints
-from trackspark.operators.ordering import exact_percentiles
+from trackspark.operators.ordering import exact_percentiles, rank_rows
 from trackspark.operators.spatial import range_join
 from trackspark.schema import DEFAULT_SCALE
 from trackspark.session import cut_lineage, is_empty
@@ -34,10 +34,11 @@ def frozen_frames(voxels: DataFrame, by: str = "dataset") -> DataFrame:
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.xxhash64(*cell) % 2_147_483_647).alias("_a"),
         F.sum(F.xxhash64(F.lit(7), *cell) % 2_147_483_629).alias("_b"))
-    order = Window.partitionBy(by).orderBy("t")
-    same = F.struct("_n", "_a", "_b") == F.lag(F.struct("_n", "_a", "_b")).over(order)
-    return digest.withColumn("_same", same).groupBy(by).agg(
-        F.count_if(F.coalesce("_same", F.lit(False))).alias("frozen"), F.count(F.lit(1)).alias("frames"))
+    numbered = cut_lineage(rank_rows(digest, [by], ["t"], "_k"), "frames")
+    before = numbered.select(by, (F.col("_k") + 1).alias("_k"), F.struct("_n", "_a", "_b").alias("_before"))
+    same = F.struct("_n", "_a", "_b") == F.col("_before")
+    return (numbered.join(before, [by, "_k"], "left").groupBy(by)
+            .agg(F.count_if(F.coalesce(same, F.lit(False))).alias("frozen"), F.count(F.lit(1)).alias("frames")))
 
 
 def merge_detections(detections: DataFrame, radius_um: float) -> DataFrame:

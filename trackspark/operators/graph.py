@@ -10,7 +10,7 @@ from trackspark.operators.edges import (
     best_edge, degrees, edge_length, only_neighbour, spans_one_frame, with_endpoints)
 from trackspark.operators.ordering import rank_rows
 from trackspark.schema import DEFAULT_SCALE
-from trackspark.session import cut_lineage
+from trackspark.session import cut_lineage, discard
 
 
 # -- identifiers ---------------------------------------------------------------
@@ -85,14 +85,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
                         .otherwise(F.col("_m.v")).alias("_next")))
         pull = cut_lineage(pull, "pull")
         step = pull.withColumnsRenamed({"_node": "_label"})
-        labels = cut_lineage(
+        moved = cut_lineage(
             labels.join(step, [*keys, "_label"], "left")
             .select(*keys, "_node", F.coalesce("_next", "_label").alias("_label")), "labels")
-        live = cut_lineage(
+        rest = cut_lineage(
             live.join(pull.withColumnsRenamed({"_node": "_u", "_next": "_nu"}), [*keys, "_u"])
             .join(pull.withColumnsRenamed({"_node": "_v", "_next": "_nv"}), [*keys, "_v"])
             .where("_nu <> _nv")
             .select(*keys, F.col("_nu").alias("_u"), F.col("_nv").alias("_v")).distinct(), "links")
+        discard(labels, live, pull)
+        labels, live = moved, rest
     else:
         raise RuntimeError("components did not settle")
     lowest = labels.groupBy(*keys, "_label").agg(F.min("_node").alias("component"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import cosine, lerp, norm3, with_um
 from trackspark.functions.scalars import sanitise_probability
-from trackspark.operators.assign import heaviest_matching, max_weight_matching
+from trackspark.operators.assign import TASK_CELLS, heaviest_matching, max_weight_matching
 from trackspark.operators.edges import (
     best_edge, degrees, drop_long, edge_length, only_neighbour, open_ends, with_endpoints)
 from trackspark.operators.graph import (
@@ -23,7 +23,7 @@ from trackspark.operators.graph import (
 from trackspark.operators.ordering import rank_rows
 from trackspark.operators.spatial import range_join
 from trackspark.schema import DEFAULT_SCALE
-from trackspark.session import cut_lineage, is_empty
+from trackspark.session import cut_lineage, discard, is_empty
 
 PAIR = ["dataset", "t"]
 MOTION_FRAME_LIMIT = 3200   # fixed value: datasets with a larger frame keep their raw links
@@ -135,12 +135,16 @@ def settle_reuse(gaps: DataFrame, choices: DataFrame) -> DataFrame:
         taken = used if taken is None else taken.unionByName(used)
         # Gaps that start from a node just reused are out, and so are their claims.
         out = used.select("dataset", (F.col("t") + 1).alias("t"), F.col("iso_id").alias("end_id"))
-        waiting = cut_lineage(waiting.join(ready, key, "left_anti").join(out, key, "left_anti"), "waiting")
+        later = cut_lineage(waiting.join(ready, key, "left_anti").join(out, key, "left_anti"), "waiting")
+        discard(waiting, ready)
+        waiting = later
         if is_empty(waiting):
             return settled
-        open_choices = cut_lineage(
+        fewer = cut_lineage(
             open_choices.join(waiting, key, "left_semi")
             .join(used.select("dataset", "iso_id"), ["dataset", "iso_id"], "left_anti"), "choices")
+        discard(open_choices)
+        open_choices = fewer
 
 
 def close_gaps_reusing(nodes: DataFrame, edges: DataFrame, gap_um: float = 5.9, reuse_um: float = 3.1,
@@ -228,9 +232,11 @@ def greedy_pairs(proposals: DataFrame) -> DataFrame:
             live.join(by_end, ["dataset", "end_id"]).join(by_start, ["dataset", "start_id"])
             .where((F.col("_e") == order) & (F.col("_s") == order)).select(*proposals.columns), "picks")
         chosen = picks if chosen is None else chosen.unionByName(picks)
-        live = cut_lineage(
+        rest = cut_lineage(
             live.join(picks.select("dataset", "end_id"), ["dataset", "end_id"], "left_anti")
             .join(picks.select("dataset", "start_id"), ["dataset", "start_id"], "left_anti"), "proposals")
+        discard(live)
+        live = rest
         if is_empty(live):
             return chosen
 
@@ -316,7 +322,7 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
     The cost of a link is the distance to the predicted position, plus 5 % of the raw
     distance, minus ``bonus`` times the learned probability. Frames are bounded by
     ``MOTION_FRAME_LIMIT`` nodes (datasets with a larger one yield nothing), so a window
-    of frames fits a task. Output: dataset, source_id, target_id, edge_prob, distance_um,
+    of frames fits a task; the window shrinks where frames hold many candidates. Output: dataset, source_id, target_id, edge_prob, distance_um,
     motion_um, tight.
     """
     too_large = (nodes.groupBy(*PAIR).count().where(F.col("count") > MOTION_FRAME_LIMIT)
@@ -328,9 +334,11 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
     a = usable.select(*PAIR, F.col("node_id").alias("source_id"), "zu", "yu", "xu")
     b = usable.select("dataset", (F.col("t") - 1).alias("t"), F.col("node_id").alias("target_id"), "zu", "yu", "xu")
     cands = (range_join(a, b, relaxed_um, PAIR)
-             .join(learned, ["dataset", "source_id", "target_id"], "left").fillna(0.0, ["prob"])
-             .withColumn("w", F.floor(F.col("t") / window)))
+             .join(learned, ["dataset", "source_id", "target_id"], "left").fillna(0.0, ["prob"]))
     cands = cut_lineage(cands, "motion")
+    busiest = cands.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 1
+    window = max(1, min(window, TASK_CELLS // busiest))
+    cands = cands.withColumn("w", F.floor(F.col("t") / window))
     schema = ("dataset string, t bigint, source_id bigint, target_id bigint, edge_prob double, "
               "distance_um double, motion_um double, tight boolean, pz double, py double, px double")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import norm3
-from trackspark.session import cut_lineage, is_empty
+from trackspark.session import cut_lineage, discard, is_empty
 
 # A bucket with more distinct points than this is searched on a finer grid first.
 CROWDED_BUCKET = 4096
@@ -46,7 +46,9 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, on: list[str],
     a = _cells(left, side).withColumnsRenamed(rename_l)
     b = _spread(right, radius, side).withColumnsRenamed(rename_r)
     d = norm3(*[F.col(f"l_{c}u") - F.col(f"r_{c}u") for c in "zyx"])
-    pairs = a.join(b, [*on, *_CELL]).withColumn("d", d).drop(*_CELL)
+    # Size estimates do not see the replication, so a broadcast here would be a guess;
+    # a sort-merge join spills, splits hot cells under AQE, and runs on every core.
+    pairs = a.hint("merge").join(b.hint("merge"), [*on, *_CELL]).withColumn("d", d).drop(*_CELL)
     return pairs.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 
@@ -136,7 +138,9 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, on: list[str], left_id:
         ranked = cut_lineage(ranked, "nearest")
         settled = ranked.where(F.col("rank") == k).select(*on, left_id)
         parts.append(ranked.join(settled, [*on, left_id], "left_semi"))
-        waiting = cut_lineage(waiting.join(settled, [*on, left_id], "left_anti"), "queries")
+        rest = cut_lineage(waiting.join(settled, [*on, left_id], "left_anti"), "queries")
+        discard(waiting)
+        waiting = rest
         if is_empty(waiting):
             break
         radius *= 2

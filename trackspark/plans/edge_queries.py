@@ -438,12 +438,13 @@ def run_stats(i: Inputs):
             .select("dataset", "nodes", "edges", "division_like_sources", r6("edge_to_node_ratio")))
 
 
-@query("g3_append_ids", "U3", ctes("pred") + """,
-extra AS (SELECT dataset, t + 1 AS t, node_id AS from_id FROM pred WHERE node_id % 13 = 0)
+@query("g3_append_ids", "U3", ctes("pred", "lossy_edges") + """,
+extra AS (SELECT p.dataset, p.t + 1 AS t, p.node_id AS from_id FROM pred p LEFT JOIN lossy_edges e
+  ON e.dataset=p.dataset AND e.source_id=p.node_id WHERE e.source_id IS NULL)
 SELECT e.dataset, e.from_id, CAST(m.top + row_number() OVER (PARTITION BY e.dataset ORDER BY e.t, e.from_id) AS BIGINT) AS node_id
 FROM extra e JOIN (SELECT dataset, max(node_id) AS top FROM pred GROUP BY 1) m USING (dataset)""")
 def append_ids(i: Inputs):
-    extra = i.pred.where("node_id % 13 = 0").select(
+    extra = E.open_ends(i.pred, i.lossy_edges).where("is_end").select(
         "dataset", (F.col("t") + 1).alias("t"), F.col("node_id").alias("from_id"))
     return (graph.append_nodes(i.pred, extra, ["t", "from_id"])
             .select("dataset", "from_id", "node_id"))

@@ -205,6 +205,14 @@ def hash_fold(i: Inputs):
     return sampling.hash_folds(i.names, 5)
 
 
+@query("s7_split_folds", "S7", ctes("folds") + """
+SELECT fold, CAST(count(*) AS BIGINT) AS n FROM folds GROUP BY fold""")
+def split_folds(i: Inputs):
+    # One listing row per test name, as an exploded splits file gives.
+    splits = i.folds.select("fold", F.array("dataset").alias("test"))
+    return sampling.fold_sizes(sampling.split_folds(splits))
+
+
 @query("f8_embryo_fold", "F8 A8", ctes("names") + """
 SELECT dataset, CAST(dense_rank() OVER (ORDER BY split_part(dataset, '_', 1)) - 1 AS BIGINT) AS fold FROM names""")
 def embryo_fold(i: Inputs):

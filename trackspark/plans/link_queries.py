@@ -12,11 +12,17 @@ from trackspark.plans.spatial_queries import _D
 from trackspark.session import cut_lineage
 
 
-@query("j4_optimal_links", "J4 J5")
+@query("j4_optimal_links", "J4")
 def optimal_links(i: Inputs):
     return assign.link_optimal(with_um(i.pred), 9.0)
 
 
+@query("j5_sparse_links", "J5")
+def sparse_links(i: Inputs):
+    """Every frame pair taken through the path for frames too large to assign in full."""
+    return assign.link_optimal(with_um(i.gt), 9.0, pair_limit=0)
+
+
 @query("j6_matched_nodes", "J6 J7")
 def matched_nodes(i: Inputs):
     return assign.match_nodes(i.pred, i.gt)

@@ -30,7 +30,7 @@ def predicted_graph(i: Inputs):
         edges.groupBy("dataset").agg(F.count(F.lit(1)).alias("edges")), "dataset", "left").fillna(0)
 
 
-@query("s9_submission_from_voxels", "S8 S9 ST1")
+@query("s9_submission_from_voxels", "S8 S9")
 def submission_from_voxels(i: Inputs):
     s = P.Settings(detector="intensity", min_separation_um=5.0, det_threshold=0.8, stride=(1, 1, 1))
     rows, _ = P.submit(i.voxels, _meta(i), SCALE, s)
@@ -59,7 +59,7 @@ def projected_run_time(i: Inputs):
     return P.projected_seconds(i.supplier, 40, 9).select(r6("seconds"))
 
 
-@query("a20_predicted_budgets", "A20 S7")
+@query("a20_predicted_budgets", "A20")
 def predicted_budgets(i: Inputs):
     from trackspark.functions.scalars import embryo
     train = i.features.where(embryo(F.col("dataset")) == "44b6")
@@ -165,6 +165,26 @@ def online_motion_links(i: Inputs):
     return i.spark.read.parquet(path).select("dataset", "source_id", "target_id", r6("motion_um"))
 
 
+@query("st1_streamed_rows", "ST1", ctes("pred") + f"""
+SELECT dataset, 'node' AS row_type, node_id, t, CAST(round_even(z, 0) AS BIGINT) AS z, CAST(round_even(y, 0) AS BIGINT) AS y,
+  CAST(round_even(x, 0) AS BIGINT) AS x, CAST(-1 AS BIGINT) AS source_id, CAST(-1 AS BIGINT) AS target_id FROM pred
+UNION ALL SELECT dataset, 'edge', -1, -1, -1, -1, -1, source_id, target_id FROM ({nearest_sql('pred', 9)}) n""")
+def streamed_rows(i: Inputs):
+    from trackspark.operators.spatial import nearest_links
+    from trackspark.schema import SUBMISSION
+    path = _out(i, "rows")
+
+    def build(batch):
+        nodes = cut_lineage(batch.select("dataset", "node_id", "t", "z", "y", "x"), "batch")
+        links = nearest_links(with_um(nodes), 9.0)
+        return nodes, links.select("dataset", F.col("source_id").alias("edge_id"), "source_id", "target_id")
+
+    (_detections(_stream(i, "events")).writeStream.foreachBatch(online.SubmissionWriter(build, path))
+     .trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start().awaitTermination())
+    fields = [f for f in SUBMISSION.fields if f.name != "id"]
+    return i.spark.read.schema(SUBMISSION.__class__(fields)).option("header", "true").csv(f"{path}/batch=*")
+
+
 @query("s10_missing_results", "S10", ctes("metric_rows") + """
 SELECT arm, dataset FROM metric_rows WHERE edge_jaccard <= 0.45""")
 def missing(i: Inputs):

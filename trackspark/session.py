@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# For one machine: small shuffles are still spread over all cores.
 _SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -60,7 +62,23 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stage_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut_lineage` that no later plan reads.
+
+    Loops call this for the tables of the round before, so a long loop keeps a fixed
+    number of them.
+    """
+    for table in tables:
+        path = getattr(table, "stage_path", None) if table is not None else None
+        if path is not None:
+            jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def is_empty(df: DataFrame) -> bool:
