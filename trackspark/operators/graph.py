@@ -10,7 +10,7 @@ from trackspark.operators.edges import (
     best_edge, degrees, edge_length, only_neighbour, spans_one_frame, with_endpoints)
 from trackspark.operators.ordering import rank_rows
 from trackspark.schema import DEFAULT_SCALE
-from trackspark.session import cut_lineage, discard
+from trackspark.session import cut_lineage, discard, is_empty
 
 
 # -- identifiers ---------------------------------------------------------------
@@ -69,9 +69,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
     live = (edges.where(F.col(source) != F.col(target))
             .select(*keys, F.col(source).alias("_u"), F.col(target).alias("_v")))
     live = cut_lineage(_both_ways(live, keys).distinct(), "links")
-    labels = cut_lineage(labels, "labels")
+    moves, kept = [], None
     for turn in range(64):
-        if live.isEmpty():
+        if is_empty(live):
             break
 
         def draw(c):
@@ -84,17 +84,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
                                < F.col("_m"), F.col("_u"))
                         .otherwise(F.col("_m.v")).alias("_next")))
         pull = cut_lineage(pull, "pull")
-        step = pull.withColumnsRenamed({"_node": "_label"})
-        moved = cut_lineage(
-            labels.join(step, [*keys, "_label"], "left")
-            .select(*keys, "_node", F.coalesce("_next", "_label").alias("_label")), "labels")
         rest = cut_lineage(
             live.join(pull.withColumnsRenamed({"_node": "_u", "_next": "_nu"}), [*keys, "_u"])
             .join(pull.withColumnsRenamed({"_node": "_v", "_next": "_nv"}), [*keys, "_v"])
             .where("_nu <> _nv")
             .select(*keys, F.col("_nu").alias("_u"), F.col("_nv").alias("_v")).distinct(), "links")
-        discard(labels, live, pull)
-        labels, live = moved, rest
+        discard(live)
+        live = rest
+        # Each round's moves are smaller than the last; they are applied to the nodes in
+        # one plan, written out now and then so that the plan stays short.
+        moves.append(pull)
+        labels = (labels.join(pull.withColumnsRenamed({"_node": "_label"}), [*keys, "_label"], "left")
+                  .select(*keys, "_node", F.coalesce("_next", "_label").alias("_label")))
+        if len(moves) == 8:
+            written = cut_lineage(labels, "labels")
+            discard(*moves, kept)
+            labels, kept, moves = written, written, []
     else:
         raise RuntimeError("components did not settle")
     lowest = labels.groupBy(*keys, "_label").agg(F.min("_node").alias("component"))

@@ -8,9 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# For one machine: small shuffles are still spread over all cores.
 _SETTINGS = {
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
