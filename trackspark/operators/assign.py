@@ -132,9 +132,10 @@ def _oversized(pairs: DataFrame, keys: list[str], left: str, right: str) -> Data
 
 def _split_groups(pairs: DataFrame, keys: list[str], left: str, right: str):
     """(pairs solvable per key, pairs solvable per component, pairs of huge components)."""
-    big = cut_lineage(_oversized(pairs, keys, left, right), "oversized")
+    big = _oversized(pairs, keys, left, right)
     if is_empty(big):
         return pairs, None, None
+    big = cut_lineage(big, "oversized")
     small = pairs.join(big, keys, "left_anti")
     large = cut_lineage(pairs.join(big, keys, "left_semi"), "large")
     links = large.select(*keys, (F.col(left) * 2).alias("_a"), (F.col(right) * 2 + 1).alias("_b"))
@@ -143,9 +144,10 @@ def _split_groups(pairs: DataFrame, keys: list[str], left: str, right: str):
     tagged = cut_lineage(
         large.withColumn("_e", F.col(left) * 2).join(parts, [*keys, "_e"]).drop("_e"), "tagged")
     deep = [*keys, "component"]
-    huge = cut_lineage(_oversized(tagged, deep, left, right), "oversized")
+    huge = _oversized(tagged, deep, left, right)
     if is_empty(huge):
         return small, tagged, None
+    huge = cut_lineage(huge, "oversized")
     return (small, tagged.join(huge, deep, "left_anti"), tagged.join(huge, deep, "left_semi"))
 
 

@@ -66,7 +66,8 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str,
     counts = (data.where(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     upto = running_sum(counts, keys, [value], "_upto", weight="_n")
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    # From the ranked table, which is already written, not from the source again.
+    totals = upto.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = upto.join(totals, keys)
 
     picks, outputs = [], []

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import near_face, norm3
-from trackspark.functions.scalars import budget_multiplier
 from trackspark.operators.edges import degrees, with_endpoints
 from trackspark.operators.ordering import exact_percentiles
 from trackspark.schema import DEFAULT_SCALE, MATCH_RADIUS_UM
@@ -191,7 +190,3 @@ def crowded_frames(nodes: DataFrame, least: int = 10) -> DataFrame:
     big = (nodes.groupBy("dataset", "t").count().where(F.col("count") >= least)
            .select("dataset", "t"))
     return nodes.join(big, ["dataset", "t"], "left_semi")
-
-
-def budget_shares(nodes: DataFrame, ratio: str) -> DataFrame:
-    return nodes.withColumn("multiplier", budget_multiplier(F.col(ratio)))

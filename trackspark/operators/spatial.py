@@ -72,7 +72,9 @@ def nearest_join(left: DataFrame, right: DataFrame, radius: float, on: list[str]
     queries = left.select(*on, *spot).distinct()
 
     radii = [radius]
-    crowd = _crowding(targets, 2 * radius, on)
+    crowd = _crowding(right, 2 * radius, on)
+    if crowd > CROWDED_BUCKET:
+        crowd = _crowding(targets, 2 * radius, on)
     while crowd > CROWDED_BUCKET and len(radii) < 12:
         radii.insert(0, radii[0] / 2)
         crowd = _crowding(targets, 2 * radii[0], on)

@@ -52,6 +52,12 @@ def weight_share(i: Inputs):
     return gate.weight_shares(i.metric_rows).select("arm", "dataset", r6("share"), "zeroed")
 
 
+@query("f15_budget_multiplier", "F15", ctes("metric_rows") + """
+SELECT arm, dataset, round(greatest(CAST(0 AS DOUBLE), 1 - 0.1 * total_node_ratio), 6) AS multiplier FROM metric_rows""")
+def budget_multiplier(i: Inputs):
+    return score.multiplier_of(i.metric_rows).select("arm", "dataset", r6("multiplier"))
+
+
 _PAIRS = [("A", "N"), ("A", "R"), ("N", "R"), ("N", "A"), ("R", "A"), ("R", "N")]
 _GATE = ctes("metric_rows", "folds") + f""",
 sh AS (SELECT b.arm AS baseline, a.arm AS candidate, b.dataset FROM metric_rows b JOIN metric_rows a
