@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, sharding
+from trackspark.llm import arc, bpe, sharding, suffix
 from trackspark.llm.common import table
 from trackspark.llm.oracles import ORACLE_SQL
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the byte-level tokenizer that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as ids and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, *tokenizer(), fold=bpe.round_trip, returns=bpe.DIGESTS).select(
+        "doc_id", "encoded.*")
+
+
 def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as ARC files, converted to WARC, read back."""
     legacy, converted = arc.fresh_folder(spark, "arc"), arc.fresh_folder(spark, "warc")
@@ -22,6 +35,16 @@ def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items."""
+    marked = suffix.hits(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                         table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id", "n_words", suffix.coverage().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), suffix.digest_of_items().alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"))
+
+
 def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, uniformly, with sizes at most one row apart."""
     text = F.coalesce("text", F.lit(""))
@@ -34,5 +57,5 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_legacy_archives, op10_exact_shards)
+    f.__name__: f for f in (op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op10_exact_shards)
 }
