@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, bpe, sharding, suffix
+from trackspark.llm import arc, bpe, sharding, suffix, toxicity
 from trackspark.llm.common import table
 from trackspark.llm.oracles import ORACLE_SQL
 
@@ -45,6 +45,15 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of the held-out fold are not read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"),
+        F.size("passages").alias("n_passages"))
+
+
 def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, uniformly, with sizes at most one row apart."""
     text = F.coalesce("text", F.lit(""))
@@ -57,5 +66,5 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op10_exact_shards)
+    f.__name__: f for f in (op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op9_toxic_segments, op10_exact_shards)
 }
