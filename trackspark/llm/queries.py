@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, bpe, sharding, suffix, toxicity
+from trackspark.llm import arc, bpe, sharding, suffix, topk, toxicity
 from trackspark.llm.common import table
 from trackspark.llm.oracles import ORACLE_SQL
 
@@ -18,6 +18,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows by integer inner product for every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as ids and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,5 +71,5 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op9_toxic_segments, op10_exact_shards)
+    f.__name__: f for f in (op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op9_toxic_segments, op10_exact_shards)
 }
