@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, bpe, sharding, suffix, topk, toxicity
+from trackspark.llm import arc, bpe, chosenpath, sharding, suffix, topk, toxicity
 from trackspark.llm.common import table
 from trackspark.llm.oracles import ORACLE_SQL
 
@@ -50,6 +50,12 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), share=85, width=5).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels of the held-out fold are not read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,5 +77,5 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op9_toxic_segments, op10_exact_shards)
+    f.__name__: f for f in (op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op8_chosen_path, op9_toxic_segments, op10_exact_shards)
 }
