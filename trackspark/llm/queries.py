@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, bpe, chosenpath, sharding, suffix, topk, toxicity
+from trackspark.llm import arc, bpe, chosenpath, recompression, sharding, suffix, surrogates, topk, toxicity
 from trackspark.llm.common import table
 from trackspark.llm.oracles import ORACLE_SQL
 
@@ -18,6 +18,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that an earlier document has."""
+    return recompression.deduplicated(table(spark, sf_dir, "documents"), window=50, digest=True)
+
+
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best rows by integer inner product for every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
@@ -40,6 +45,16 @@ def op4_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Key of the surrogates in the queries; a deployment takes its own from its secret store.
+SURROGATE_KEY = "example-key"
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how many mentions were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, SURROGATE_KEY, counts="n_replaced")
+
+
 def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside ten-word windows of benchmark items."""
     marked = suffix.hits(table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -77,5 +92,5 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op6_suffix_automaton, op8_chosen_path, op9_toxic_segments, op10_exact_shards)
+    f.__name__: f for f in (op1_recompression, op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op5_surrogates, op6_suffix_automaton, op8_chosen_path, op9_toxic_segments, op10_exact_shards)
 }

@@ -1,0 +1,261 @@
+"""Personal data replaced by keyed surrogates, in DataFrame functions only.
+
+Entities are found by one pattern. A mention is reduced to its type and a canonical value, so
+that differently written mentions of one thing share a surrogate. The surrogate of a value
+is drawn from a keyed digest: digits for digits, letters for letters of the same case, names
+from names of the same gender and script, check digits valid where they were. Surrogates are
+then checked over the whole corpus: two values of a type never share one, and none equals a
+value that occurs. Losers draw again until all are distinct. Each mention is rendered from
+its value's surrogate in its own writing and put in its place.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trackspark.llm.common import discard, settled
+
+# Given names by gender and script, and titles by gender.
+GIVEN = {
+    ("f", "latin"): ["Alice", "Anna", "Carla", "Elena", "Emma", "Greta", "Helen", "Ingrid", "Julia", "Laura",
+                     "Maria", "Nora", "Paula", "Sarah", "Sofia", "Teresa"],
+    ("m", "latin"): ["Adam", "Anton", "Bruno", "Carlos", "David", "Felix", "Henry", "Jonas", "Karl", "Louis",
+                     "Martin", "Oscar", "Peter", "Robert", "Thomas", "Victor"],
+    ("f", "cyrillic"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"],
+    ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Дмитрий", "Иван", "Михаил", "Олег", "Павел"],
+    ("f", "greek"): ["Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία", "Χριστίνα"],
+    ("m", "greek"): ["Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"],
+}
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame"], "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur"]}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga ha ka ke la le lo ma me mo na ne ra re ro sa se ta te to va vo wa ze",
+    "cyrillic": "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на но ра ро са со та то фа ха ша",
+    "greek": "βα βε βο γα γο δα δε δο θα θε κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρο σα σε τα τε φα χα",
+}
+
+_FREE = r"(?<![\p{L}\p{N}])"
+_END = r"(?![\p{L}\p{N}])"
+_NAMES = "|".join(n for names in GIVEN.values() for n in names)
+_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
+_SURNAME = r"\p{Lu}\p{L}+(?:[-']\p{Lu}\p{L}+)?"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+PATTERNS = {
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "address": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+             r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "account": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "secret": r"(?<=(?:password|passwd|secret|token|api_key)=)[^\s\"',;]{6,}"
+              rf"|{_FREE}AKIA[0-9A-Z]{{16}}{_END}|{_FREE}gh[pousr]_[A-Za-z0-9]{{36}}{_END}"
+              rf"|{_FREE}sk-[A-Za-z0-9]{{20,}}{_END}|{_FREE}(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}}){_END}",
+    "person": rf"{_FREE}(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}){_END}",
+}
+#: Order of preference where two types could match at one place.
+ORDER = ["email", "secret", "account", "phone", "social", "address", "card", "person"]
+ENTITY = "|".join(PATTERNS[t] for t in ORDER)
+_TITLED = rf"^(?:(?:{_TITLES})\.? )?"
+
+Pattern = F.lit(ENTITY)
+
+
+def mentions(text: Column) -> Column:
+    return F.regexp_extract_all(text, Pattern, F.lit(0))
+
+
+def kind_of(mention: Column) -> Column:
+    """The first type whose pattern covers the whole mention."""
+    def covers(t: str) -> Column:
+        bare = PATTERNS[t].replace("(?<=(?:password|passwd|secret|token|api_key)=)", "")
+        return mention.rlike(f"^(?:{bare})$")
+    order = [t for t in ORDER if t != "secret"] + ["secret"]          # what a password field holds can be anything
+    chain = F.when(covers(order[0]), order[0])
+    for t in order[1:]:
+        chain = chain.when(covers(t), t)
+    return chain.otherwise("secret")
+
+
+def _surname(mention: Column) -> Column:
+    return F.regexp_extract(mention, rf"({_SURNAME})$", 1)
+
+
+def canonical_of(kind: Column, mention: Column) -> Column:
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    return (F.when(kind == "email", F.lower(mention))
+            .when(kind.isin("card", "social"), digits)
+            .when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.regexp_extract(mention, r"^\+([0-9]+)", 1))
+                                            .otherwise(""), F.lit("|"), digits))
+            .when(kind == "account", F.regexp_replace(mention, " ", ""))
+            .when(kind == "person", F.lower(_surname(mention)))
+            .otherwise(mention))
+
+
+def _digest(key: str, *parts: Column) -> Column:
+    """128 hexadecimal digits that depend on the key."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(key), *[p.cast("string") for p in parts]), 512)
+
+
+def _draw(digest: Column, i: Column) -> Column:
+    """A number from 0 to 65535 for place ``i`` (from 0); longer values hash further."""
+    block = F.when(i < 32, digest).otherwise(F.sha2(F.concat(digest, F.floor(i / 32).cast("string")), 512))
+    return F.conv(F.substring(block, (i % 32).cast("int") * 4 + 1, 4), 16, 10).cast("int")
+
+
+def _at(chars: str, n: Column) -> Column:
+    return F.substring(F.lit(chars), (n % len(chars)) + 1, 1)
+
+
+def shaped(value: Column, digest: Column, hexadecimal: Column | bool = False) -> Column:
+    """``value`` with digits, lower and upper letters drawn anew and all else kept."""
+    hexadecimal = F.lit(hexadecimal) if isinstance(hexadecimal, bool) else hexadecimal
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def one(c: Column, i: Column) -> Column:
+        n = _draw(digest, i)
+        return (F.when(hexadecimal & c.rlike("[0-9a-f]"), _at("0123456789abcdef", n))
+                .when(hexadecimal & c.rlike("[A-F]"), _at("0123456789ABCDEF", n))
+                .when(c.rlike("[0-9]"), _at("0123456789", n))
+                .when(c.rlike(r"\p{Lu}"), _at(upper, n))
+                .when(c.rlike(r"\p{L}"), _at(lower, n))
+                .otherwise(c))
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
+def luhn_digit(digits: Column) -> Column:
+    """The check digit that makes ``digits`` + it pass the Luhn test."""
+    n = F.length(digits)
+    total = F.aggregate(
+        F.transform(F.split(digits, ""), lambda c, i: F.when((n - i) % 2 == 1, c.cast("int") * 2).otherwise(c.cast("int"))),
+        F.lit(0), lambda s, d: s + F.when(d > 9, d - 9).otherwise(d))
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def _script(name: Column) -> Column:
+    return (F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek")
+            .otherwise("latin"))
+
+
+def surrogate_of(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a canonical value on one attempt, itself in canonical form."""
+    h = _digest(key, kind, value, attempt)
+    user, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    host_h = _digest(key, F.lit("host"), host)                 # mail of one host stays mail of one host
+    tld = F.substring_index(host, ".", -1)
+    email = F.concat(shaped(user, h), F.lit("@"),
+                     shaped(F.substring(host, F.lit(1), F.length(host) - F.length(tld)), host_h), tld)
+    body = shaped(F.substring(value, F.lit(1), F.length(value) - 1), h)
+    valid = luhn_digit(F.substring(value, F.lit(1), F.length(value) - 1)) == F.substring(value, F.lit(-1), F.lit(1))
+    card = F.concat(body, F.when(valid, luhn_digit(body))
+                    .otherwise(((luhn_digit(body).cast("int") + 1 + _draw(h, F.lit(30)) % 9) % 10).cast("string")))
+    country = F.substring_index(value, "|", 1)
+    phone = F.concat(country, F.lit("|"), country, shaped(
+        F.substring(F.substring_index(value, "|", -1), F.length(country) + 1, F.length(value)), h))
+    octets = F.concat_ws(".", (_draw(h, F.lit(0)) % 126 + 1).cast("string"),
+                         *[(_draw(h, F.lit(i)) % 256).cast("string") for i in (1, 2)],
+                         (_draw(h, F.lit(3)) % 254 + 1).cast("string"))
+    account = F.concat(F.substring(value, 1, 2), shaped(F.substring(value, F.lit(3), F.length(value)), h))
+    prefix = F.regexp_extract(value, r"^(AKIA|gh[pousr]_|sk-|)", 1)
+    secret = F.concat(prefix, shaped(F.substring(value, F.length(prefix) + 1, F.length(value)), h,
+                                     value.rlike("^([0-9a-f]+|[0-9A-F]+)$")))
+    # a surname of three to four syllables of its script; further attempts add to the choice
+    name = F.lit(None).cast("string")
+    for script, syllables in SYLLABLES.items():
+        pool = F.array(*[F.lit(s) for s in syllables.split()])
+        made = F.concat(*[F.element_at(pool, _draw(h, F.lit(i)) % len(syllables.split()) + 1) for i in range(4)])
+        name = F.when(_script(value) == script, made).otherwise(name)
+    return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone)
+            .when(kind == "social", shaped(value, h)).when(kind == "address", octets)
+            .when(kind == "account", account).when(kind == "person", name).otherwise(secret))
+
+
+def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) for distinct (kind, value): one-to-one and clear of real values.
+
+    Rounds: everyone without a surrogate draws; of those who drew the same one the smallest
+    value keeps it, unless it is taken already or occurs as a value; the others draw again.
+    """
+    values = settled(values, "values")
+    real = values.select("kind", F.col("value").alias("surrogate"))
+    done: list[DataFrame] = []
+    pending, attempt = values, 0
+    while True:
+        drawn = settled(pending.withColumn("surrogate", surrogate_of(
+            F.col("kind"), F.col("value"), F.lit(attempt), key)), "drawn")
+        first = (drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
+                 .join(real, ["kind", "surrogate"], "left_anti"))
+        for earlier in done:
+            first = first.join(earlier.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        kept = settled(first.select("kind", "value", "surrogate"), "surrogates")
+        done.append(kept)
+        rest = settled(drawn.join(kept, ["kind", "value"], "left_anti").select("kind", "value"), "pending", drawn)
+        if attempt:
+            discard(pending)
+        pending, attempt = rest, attempt + 1
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def rendered(kind: Column, mention: Column, surrogate: Column, key: str) -> Column:
+    """The surrogate in the writing of one mention."""
+    fresh = F.when(kind == "phone", F.substring_index(surrogate, "|", -1)).otherwise(surrogate)
+    # the i-th digit or letter of the mention becomes the i-th of the surrogate
+    chars = F.split(mention, "")
+    counted = F.when(kind == "account", "[A-Z0-9]").otherwise("[0-9]")
+    spread = F.array_join(F.transform(chars, lambda c, i: F.when(
+        c.rlike("[0-9A-Z]") & F.regexp_like(c, counted),
+        F.substring(fresh, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: F.regexp_like(d, counted))), F.lit(1)),
+    ).otherwise(c)), "")
+    surname = _surname(mention)
+    upper = (surname == F.upper(surname)) & (F.length(surname) > 1)
+    name = F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    given = F.regexp_extract(mention, rf"{_TITLED}({_NAMES}) ", 1)
+    title = F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1)
+    other = F.lit("")
+    for (_, _), names in GIVEN.items():
+        # a keyed rotation of the list is one-to-one and keeps gender and script
+        shift = _draw(_digest(key, F.lit("given"), F.lit(names[0])), F.lit(0)) % (len(names) - 1) + 1
+        pool = F.array(*[F.lit(n) for n in names])
+        place = F.array_position(pool, given).cast("int")
+        other = F.when(place > 0, F.concat(F.element_at(pool, (place - 1 + shift) % len(names) + 1), F.lit(" "))).otherwise(other)
+    return (F.when(kind == "person", F.concat(title, other, name))
+            .when(kind.isin("card", "social", "phone", "account"), spread)
+            .when((kind == "email") & (mention == F.upper(mention)), F.upper(surrogate))
+            .otherwise(surrogate))
+
+
+def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text",
+             counts: str | None = None) -> DataFrame:
+    """``docs`` with every entity of the text replaced; ``counts`` names a column of how many.
+
+    Null texts stay null and texts without entities come back unchanged; repeated rows are
+    treated alike; all other columns are kept (one named like ``counts`` is replaced).
+    """
+    fp = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = settled(
+        docs.select(fp.alias("_fp"), mentions(F.col(text_col)).alias("m")).filter(F.size("m") > 0)
+        .select("_fp", F.explode(F.array_distinct("m")).alias("mention")).distinct(), "mentions")
+    kinds = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
+    kinds = settled(kinds.withColumn("value", canonical_of(F.col("kind"), F.col("mention"))), "kinds")
+    surrogates = distinct_surrogates(kinds.select("kind", "value").distinct(), key)
+    texts = settled(
+        kinds.join(surrogates, ["kind", "value"])
+        .select("mention", rendered(F.col("kind"), F.col("mention"), F.col("surrogate"), key).alias("fresh")), "fresh")
+    # what a text needs, by the fingerprint of the text: copies need it once
+    needed = settled(found.join(texts, "mention").groupBy("_fp")
+                     .agg(F.map_from_entries(F.collect_list(F.struct("mention", "fresh"))).alias("_fresh")),
+                     "needed", found, texts, kinds)
+    keep = [c for c in docs.columns if c != counts]
+    marked = docs.select(*keep, fp.alias("_fp")).join(needed, "_fp", "left")
+    here = mentions(F.col(text_col))
+    rebuilt = F.array_join(F.zip_with(
+        F.split(F.col(text_col), ENTITY, -1), here,
+        lambda part, m: F.concat(part, F.coalesce(F.element_at("_fresh", m), m, F.lit("")))), "")
+    columns = [F.when(F.col("_fresh").isNull(), F.col(text_col)).otherwise(rebuilt).alias(c) if c == text_col
+               else F.col(c) for c in keep]
+    if counts:
+        columns.append(F.when(F.col("_fresh").isNull(), 0).otherwise(F.size(here)).alias(counts))
+    return marked.select(*columns)
