@@ -172,10 +172,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     done = (rows.select("_row", text_col).mapInArrow(cut, cut_schema)
             .repartition("row", "at")
             .mapInArrow(chunks, "row long, at int, start long, text string, ids binary, ends binary, counts binary")
-            .groupBy("row").applyInPandas(stitch, f"row long, {returns}"))
+            .groupBy("row").applyInPandas(stitch, f"row long, {returns}")
+            .select(F.col("row").alias("_done"), F.struct(*names).alias(as_name)))
     whole_rows = short.withColumn(as_name, whole(F.col(text_col)))
-    long_rows = rows.join(done, F.col("_row") == F.col("row")).select(
-        *docs.columns, F.struct(*names).alias(as_name))
+    long_rows = rows.join(done, F.col("_row") == F.col("_done")).select(*docs.columns, as_name)
     return whole_rows.select(*docs.columns, as_name).unionByName(long_rows)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, bpe, chosenpath, recompression, sharding, suffix, surrogates, topk, toxicity
+from trackspark.llm import arc, bpe, chosenpath, licenses, recompression, sharding, suffix, surrogates, topk, toxicity
 from trackspark.llm.common import table
 from trackspark.llm.oracles import ORACLE_SQL
 
@@ -65,6 +65,13 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"), "unknown_sentences")
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), share=85, width=5).select(
@@ -92,5 +99,5 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_recompression, op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op5_surrogates, op6_suffix_automaton, op8_chosen_path, op9_toxic_segments, op10_exact_shards)
+    f.__name__: f for f in (op1_recompression, op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op5_surrogates, op6_suffix_automaton, op7_license_rules, op8_chosen_path, op9_toxic_segments, op10_exact_shards)
 }

@@ -280,12 +280,11 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most
     A document of whose words more than ``most_covered`` are hit goes as a whole; one
     without hits comes back unchanged.
     """
-    columns = docs.columns
-
-    marked = hits(docs, items, window, text_col, **names)
+    whole = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
+    marked = hits(whole, items, window, "_text", **names)
     kept = marked.filter(coverage() <= most_covered * F.col("n_words"))
-    return kept.withColumn(text_col, F.when(F.size("spans") > 0, cut_texts(text_col, "spans"))
-                           .otherwise(F.col(text_col))).select(*columns)
+    text = F.when(F.size("spans") > 0, cut_texts("_text", "spans")).otherwise(F.col("_text"))
+    return kept.select(*[text.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest_of_items() -> F.Column:

@@ -60,11 +60,8 @@ ORDER = ["email", "secret", "account", "phone", "social", "address", "card", "pe
 ENTITY = "|".join(PATTERNS[t] for t in ORDER)
 _TITLED = rf"^(?:(?:{_TITLES})\.? )?"
 
-Pattern = F.lit(ENTITY)
-
-
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, Pattern, F.lit(0))
+    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
 def kind_of(mention: Column) -> Column:
