@@ -87,8 +87,8 @@ def eliminate(q_id: int, q: np.ndarray, q_norm: float, q_far: np.ndarray, ids: n
               norms: np.ndarray, far: np.ndarray, k: int, least: float) -> tuple[list[tuple[int, int]], int]:
     """([(score, id)] of the best ``k`` in a block that reach ``least``, rows evaluated)."""
     bounds = upper_bounds(q_norm, q_far, norms, far)
-    bounds[ids == q_id] = -np.inf
     order = np.argsort(-bounds, kind="stable")
+    order = order[ids[order] != q_id]
     large = q_norm * (norms.max() if len(norms) else 0) >= EXACT
     best: list[tuple[int, int]] = []
     at, step = 0, 64
