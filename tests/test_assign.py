@@ -64,6 +64,7 @@ def random_pairs(spark, seed, frames=3, side=5, share=0.4):
 @pytest.mark.parametrize("cells", [4_000_000, 9, 1])
 def test_matching_by_frame_component_and_auction(spark, monkeypatch, cells):
     monkeypatch.setattr(assign, "TASK_CELLS", cells)
+    monkeypatch.setattr(assign, "RESOLUTION", 2.0 ** -12)      # fewer phases, well within the tolerance below
     rows, df = random_pairs(spark, 3, frames=2, side=4)
     got = assign.max_weight_matching(df, ["dataset", "t"], "l", "r", "w").collect()
     for t in range(2):
@@ -71,7 +72,7 @@ def test_matching_by_frame_component_and_auction(spark, monkeypatch, cells):
         assert len({r.l for r in mine}) == len(mine) == len({r.r for r in mine})
         frame = [r for r in rows if r[1] == t]
         best = max(sum(frame[k][4] for k in m) for m in all_matchings([(r[2], r[3]) for r in frame]))
-        assert sum(r.w for r in mine) == pytest.approx(best, abs=1e-5)
+        assert sum(r.w for r in mine) == pytest.approx(best, abs=2e-3)
 
 
 def brute_match(gt, pred, radius=7.0):
@@ -94,6 +95,7 @@ def brute_match(gt, pred, radius=7.0):
 @pytest.mark.parametrize("cells", [4_000_000, 2])
 def test_node_matching_regimes(spark, graph, monkeypatch, cells):
     monkeypatch.setattr(assign, "TASK_CELLS", cells)
+    monkeypatch.setattr(assign, "RESOLUTION", 2.0 ** -12)      # fewer phases, well within the tolerance below
     rng = np.random.default_rng(5)
     truth, guess = [], []
     for t in range(4):
@@ -109,7 +111,7 @@ def test_node_matching_regimes(spark, graph, monkeypatch, cells):
         n, total = brute_match(np.array([p[1:] for p in truth if p[0] == t]),
                                np.array([p[1:] for p in guess if p[0] == t]))
         assert len(mine) == n
-        assert sum(1 / (1 + r.d) for r in mine) == pytest.approx(total, abs=1e-4)
+        assert sum(1 / (1 + r.d) for r in mine) == pytest.approx(total, abs=2e-3)
 
 
 def test_far_pairs_influence_the_dense_link(graph):
@@ -122,21 +124,41 @@ def test_far_pairs_influence_the_dense_link(graph):
     assert min(d[0, 0] + d[1, 1], d[0, 1] + d[1, 0]) == pytest.approx(d[0, 0] + d[1, 1])
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 1])
-def test_sparse_and_dense_links_agree_when_coverable(spark, limit):
+@pytest.mark.parametrize("mode", ["full", "gated"])
+def test_modes_agree_when_coverable(spark, mode):
     rng = np.random.default_rng(1)
     base = rng.uniform(0, 200, (12, 3))
     rows = [("a", 100 * t + k, t, *(base[k] + rng.normal(0, 1, 3)).tolist()) for t in range(3) for k in range(12)]
     nodes = with_um(spark.createDataFrame(rows, "dataset string, node_id bigint, t bigint, z double, y double, x double"))
-    links = assign.link_optimal(nodes, 9.0, pair_limit=limit)
+    links = assign.link_optimal(nodes, 9.0, mode)
     assert {(r.source_id % 100, r.target_id % 100) for r in links.collect()} == {(k, k) for k in range(12)}
     assert links.count() == 24
 
 
-def test_sparse_link_falls_back_to_nearest(graph):
-    nodes, _ = graph([(0, 0, 0, 0), (0, 0, 500, 0), (1, 0, 1, 0), (1, 0, 2, 0)])
-    links = assign.link_optimal(with_um(nodes), 9.0, pair_limit=1).collect()
-    assert [(r.source_id, r.target_id) for r in links] == [(0, 2)]
+@pytest.mark.parametrize("cells", [4_000_000, 1])
+def test_gated_links_are_as_many_as_possible_then_short(graph, monkeypatch, cells):
+    monkeypatch.setattr(assign, "TASK_CELLS", cells)
+    monkeypatch.setattr(assign, "RESOLUTION", 2.0 ** -12)      # fewer phases, well within the tolerance below
+    nodes, _ = graph([(0, 0, 0, 0), (0, 0, 500, 0), (1, 0, 1, 0), (1, 0, 2, 0), (2, 0, 9, 0)])
+    links = assign.link_optimal(with_um(nodes), 9.0, "gated").collect()
+    assert {(r.source_id, r.target_id) for r in links} == {(0, 2), (3, 4)}
+
+
+@pytest.mark.parametrize("fullest", [False, True])
+def test_auction_settles_ties_in_few_rounds(spark, monkeypatch, fullest):
+    """One left too many for equal rights, where a fixed step would climb forever."""
+    turns = []
+    empty = assign.is_empty
+    monkeypatch.setattr(assign, "is_empty", lambda df: turns.append(1) or empty(df))
+    rows = [("a", 0, l, 10 + r, 1.0) for l in range(4) for r in range(3)]
+    rows += [("b", 0, 1, 1, 0.3), ("b", 0, 1, 2, 0.9), ("b", 0, 2, 2, 0.5)]
+    df = spark.createDataFrame(rows, "dataset string, t bigint, l bigint, r bigint, w double")
+    got = assign.auction(df, ["dataset", "t"], "l", "r", "w", fullest, resolution=0.01).collect()
+    a = [r for r in got if r.dataset == "a"]
+    assert len(a) == len({r.l for r in a}) == len({r.r for r in a}) == 3
+    want = {(1, 1), (2, 2)} if fullest else {(1, 2)}
+    assert {(r.l, r.r) for r in got if r.dataset == "b"} == want
+    assert len(turns) < 100
 
 
 def test_recall_counts_each_truth_once(graph):

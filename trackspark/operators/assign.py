@@ -2,27 +2,30 @@
 
 Spark partitions the work: candidate pairs come from the grid join, one group per frame
 (or per connected component of the candidate graph), and a small NumPy kernel solves
-each group. A group goes to a kernel only if its cost matrix fits ``TASK_CELLS``;
-larger frames are split into components, and a component that is still too large is
-solved by an auction that runs as joins and aggregations over the whole cluster.
+each group. A group goes to a kernel if its cost matrix fits ``TASK_CELLS``; larger
+frames are split into components, and a component that is still too large is solved by
+an auction that runs as joins and aggregations over the whole cluster. All three give an
+optimum of the same objective, so the route changes the cost of an answer, not the answer.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackspark.functions.geometry import with_um
 from trackspark.operators.graph import connected_components
-from trackspark.operators.spatial import (
-    as_sources, link_candidates, nearest_links, next_frame, range_join)
-from trackspark.schema import DEFAULT_SCALE, DENSE_PAIR_LIMIT, MATCH_RADIUS_UM
+from trackspark.operators.spatial import as_sources, link_candidates, next_frame, range_join
+from trackspark.schema import DEFAULT_SCALE, MATCH_RADIUS_UM
 from trackspark.session import cut_lineage, discard, is_empty
 
 TASK_CELLS = 4_000_000
+#: Weights of an auction are whole multiples of this: exact for float32 weights up to 1.
+RESOLUTION = 2.0 ** -27
+_WHOLE = "decimal(38,0)"
 
 
 # -- kernels (plain NumPy, one group at a time) ---------------------------------
@@ -152,70 +155,107 @@ def _split_groups(pairs: DataFrame, keys: list[str], left: str, right: str):
 
 
 def max_weight_matching(pairs: DataFrame, keys: list[str], left: str, right: str,
-                        weight: str) -> DataFrame:
+                        weight: str, fullest: bool = False) -> DataFrame:
     """Per key group, the pairs of greatest total weight with each end used at most once.
 
-    ``pairs`` must not repeat a (left, right) pair; all its columns come back.
+    With ``fullest`` the number of pairs comes first and their weight second. ``pairs`` must
+    not repeat a (left, right) pair; all its columns come back.
     """
-    pairs = cut_lineage(pairs.where(F.col(weight) > 0), "pairs")
+    pairs = cut_lineage(pairs if fullest else pairs.where(F.col(weight) > 0), "pairs")
     small, parts, huge = _split_groups(pairs, keys, left, right)
+    best = fullest_matching if fullest else heaviest_matching
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[heaviest_matching(pdf[left].to_numpy(), pdf[right].to_numpy(),
-                                          pdf[weight].to_numpy(float))]
+        return pdf.iloc[best(pdf[left].to_numpy(), pdf[right].to_numpy(), pdf[weight].to_numpy(float))]
 
     out = small.groupBy(*keys).applyInPandas(solve, pairs.schema)
     if parts is not None:
         solved = parts.groupBy(*keys, "component").applyInPandas(solve, parts.schema)
         out = out.unionByName(solved.drop("component"))
     if huge is not None:
-        out = out.unionByName(auction(huge.drop("component"), keys, left, right, weight))
+        out = out.unionByName(auction(huge.drop("component"), keys, left, right, weight, fullest))
     return out
 
 
-def auction(pairs: DataFrame, keys: list[str], left: str, right: str, weight: str,
-            tolerance: float = 1e-6) -> DataFrame:
-    """The same matching for groups too large for one task, to within ``tolerance``.
+def _offers(pairs: DataFrame, keys: list[str], left: str, right: str, worth: Column) -> DataFrame:
+    """The graph whose complete matchings are the matchings of ``pairs``: keys, p, o, worth.
+
+    Bidders are the lefts and a mirror of every right, objects the rights and a mirror of every
+    left. An end that stays alone takes its own mirror at no worth, and the mirrors of a
+    matched pair take each other.
+    """
+    base = pairs.select(*keys, (F.col(left) * 2).alias("_l"), (F.col(right) * 2).alias("_r"), worth.alias("_w"))
+    zero = F.lit(0).cast(_WHOLE)
+    crossed = base.select(*keys, F.explode(F.array(
+        F.struct(F.col("_l").alias("p"), F.col("_r").alias("o"), F.col("_w").alias("worth")),
+        F.struct((F.col("_r") + 1).alias("p"), (F.col("_l") + 1).alias("o"), zero.alias("worth")))).alias("_e"))
+    lone = (base.select(*keys, F.explode(F.array(
+        F.struct(F.col("_l").alias("p"), (F.col("_l") + 1).alias("o"), zero.alias("worth")),
+        F.struct((F.col("_r") + 1).alias("p"), F.col("_r").alias("o"), zero.alias("worth")))).alias("_e")).distinct())
+    return crossed.unionByName(lone).select(*keys, "_e.*")
 
-    Every unplaced left bids for its best right at the margin over its second choice
-    (staying unplaced is worth 0); every right keeps its highest bid. Prices only rise,
-    so the bidding ends; total weight is within ``tolerance`` of the optimum of a group.
+
+def auction(pairs: DataFrame, keys: list[str], left: str, right: str, weight: str,
+            fullest: bool = False, resolution: float | None = None) -> DataFrame:
+    """The same matching for groups too large for one task.
+
+    Bidders raise the price of their best object by the margin to their second choice plus a
+    step; an object goes to its highest bid. Everybody ends up with an object, so prices may
+    be carried over while the step falls from half the largest worth by a factor of six a
+    phase: ties cost a few rounds a phase instead of one per unit of price. Worths are whole
+    numbers times one more than the number of bidders, so the last step of 1 makes the result
+    optimal. Weights count in multiples of ``resolution`` (by default RESOLUTION).
     """
+    resolution = resolution or RESOLUTION
     pairs = cut_lineage(pairs, "auction")
-    size = pairs.groupBy(*keys).agg(F.count_distinct(left).alias("n")).agg(F.max("n")).first()[0]
-    step = tolerance / max(1, size or 1)
-    lots = cut_lineage(pairs.select(*keys, right).distinct()
-                       .withColumn("_price", F.lit(0.0))
-                       .withColumn("_owner", F.lit(None).cast(pairs.schema[left].dataType)), "lots")
-    bidders, table = cut_lineage(pairs.select(*keys, left).distinct(), "bidders"), lots
-    rank = Window.partitionBy(*keys, left).orderBy(F.col("_value").desc(), right)
-    while not is_empty(bidders):
-        offers = (pairs.join(bidders, [*keys, left], "left_semi")
-                  .join(lots, [*keys, right])
-                  .withColumn("_value", F.col(weight) - F.col("_price"))
-                  .withColumn("_r", F.row_number().over(rank)).where("_r <= 2"))
-        choice = (offers.groupBy(*keys, left).agg(
-            F.max(F.when(F.col("_r") == 1, F.struct(right, "_price", "_value"))).alias("_b"),
-            F.max(F.when(F.col("_r") == 2, F.col("_value"))).alias("_second"))
-            .where(F.col("_b._value") > 0)
-            .select(*keys, left, F.col(f"_b.{right}").alias(right),
-                    (F.col("_b._price") + F.col("_b._value")
-                     - F.greatest(F.coalesce("_second", F.lit(0.0)), F.lit(0.0))
-                     + F.lit(step)).alias("_bid")))
-        choice = cut_lineage(choice, "bids")
-        won = choice.groupBy(*keys, right).agg(F.max(F.struct("_bid", left)).alias("_w"))
-        after = cut_lineage(
-            lots.join(won, [*keys, right], "left")
-            .select(*keys, right, F.coalesce("_w._bid", "_price").alias("_price"),
-                    F.coalesce(F.col(f"_w.{left}"), F.col("_owner")).alias("_owner"),
-                    F.when(F.col("_w").isNotNull(), F.col("_owner")).alias("_displaced")), "lots")
-        placed = after.select(*keys, F.col("_owner").alias(left))
-        lost = choice.select(*keys, left).join(placed, [*keys, left], "left_anti")
-        ousted = after.where("_displaced IS NOT NULL").select(*keys, F.col("_displaced").alias(left))
-        again = cut_lineage(lost.unionByName(ousted), "bidders")
-        discard(bidders, choice, table)
-        bidders, table, lots = again, after, after.drop("_displaced")
-    owned = lots.where("_owner IS NOT NULL").select(*keys, F.col("_owner").alias(left), right)
+    ends = pairs.groupBy(*keys).agg((F.count_distinct(left) + F.count_distinct(right)).alias("n"))
+    top = ends.agg(F.max("n")).first()[0]
+    if not top:
+        return pairs
+    units = F.rint(F.col(weight) / F.lit(resolution)).cast(_WHOLE)
+    most = int(pairs.agg(F.max(F.abs(units))).first()[0])
+    first = (most + 1) * (top + 1) if fullest else 0
+    worth = ((units + F.lit(str(first)).cast(_WHOLE)).cast(_WHOLE) * F.lit(top + 1).cast("decimal(12,0)")).cast(_WHOLE)
+    offers = cut_lineage(_offers(pairs, keys, left, right, worth), "offers")
+    lots = cut_lineage(offers.select(*keys, "o").distinct().withColumns({
+        "price": F.lit(0).cast(_WHOLE), "owner": F.lit(None).cast("bigint")}), "lots")
+    everyone = cut_lineage(offers.select(*keys, "p").distinct(), "everyone")
+    rank = Window.partitionBy(*keys, "p").orderBy(F.col("value").desc(), "o")
+    step = max(1, (most + first) * (top + 1) // 2)
+    while True:
+        bidders, mine = everyone, None
+        lots = lots.withColumn("owner", F.lit(None).cast("bigint"))
+        while True:
+            choice = (offers.join(bidders, [*keys, "p"], "left_semi").join(lots.select(*keys, "o", "price"), [*keys, "o"])
+                      .withColumn("value", (F.col("worth") - F.col("price")).cast(_WHOLE))
+                      .withColumn("_r", F.row_number().over(rank)).where("_r <= 2")
+                      .groupBy(*keys, "p").agg(
+                          F.max(F.when(F.col("_r") == 1, F.struct("o", "price", "value"))).alias("_b"),
+                          F.max(F.when(F.col("_r") == 2, F.col("value"))).alias("_second"))
+                      .select(*keys, "p", F.col("_b.o").alias("o"),
+                              (F.col("_b.price") + F.col("_b.value") - F.col("_second")
+                               + F.lit(str(step)).cast(_WHOLE)).cast(_WHOLE).alias("bid")))
+            choice = cut_lineage(choice, "bids")
+            won = choice.groupBy(*keys, "o").agg(F.max(F.struct("bid", "p")).alias("_w"))
+            after = cut_lineage(
+                lots.join(won, [*keys, "o"], "left")
+                .select(*keys, "o", F.coalesce("_w.bid", "price").alias("price"),
+                        F.coalesce("_w.p", "owner").alias("owner"),
+                        F.when(F.col("_w").isNotNull(), F.col("owner")).alias("ousted")), "lots")
+            lost = choice.select(*keys, "p").join(
+                after.select(*keys, F.col("owner").alias("p")), [*keys, "p"], "left_anti")
+            again = cut_lineage(lost.unionByName(
+                after.where("ousted IS NOT NULL").select(*keys, F.col("ousted").alias("p"))), "bidders")
+            discard(choice, mine, bidders if bidders is not everyone else None)
+            bidders, mine, lots = again, after, after.drop("ousted")
+            if is_empty(bidders):
+                break
+        if step == 1:
+            break
+        step = max(1, step // 6)
+    # a left is even, and so is the right it owns (its own mirror is odd)
+    owned = lots.where("owner % 2 = 0 AND o % 2 = 0").select(
+        *keys, F.shiftright("owner", 1).alias(left), F.shiftright("o", 1).alias(right))
     return pairs.join(owned, [*keys, left, right], "left_semi")
 
 
@@ -278,12 +318,10 @@ def match_nodes(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM,
 
         solved = parts.groupBy(*keys, "component").applyInPandas(solve_part, wide).drop("component")
         if huge is not None:
-            rest = huge.drop("component")
-            bound = rest.groupBy(*keys).agg(F.count_distinct("gt_id").alias("n")).agg(F.max("n")).first()[0]
-            for full, bonus in ((True, 2.0 * ((bound or 0) + 1)), (False, 1.0)):
-                bids = rest.withColumn("_value_w", F.col("w") + F.lit(bonus))
-                won = auction(bids, keys, "gt_id", "pred_id", "_value_w").drop("_value_w")
-                solved = solved.unionByName(won.withColumn("_full", F.lit(full)))
+            rest = huge.drop("component").withColumn("_w1", F.col("w") + 1.0)
+            for full in (True, False):
+                won = auction(rest, keys, "gt_id", "pred_id", "w" if full else "_w1", full)
+                solved = solved.unionByName(won.drop("_w1").withColumn("_full", F.lit(full)))
         solved = cut_lineage(solved, "solved")
         complete = (solved.where("_full").groupBy(*keys)
                     .agg(F.count(F.lit(1)).alias("_n"), F.max("_cover").alias("_c"))
@@ -296,20 +334,23 @@ def match_nodes(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM,
 
 # -- frame-to-frame links --------------------------------------------------------
 
-def link_optimal(nodes: DataFrame, radius: float, pair_limit: int = DENSE_PAIR_LIMIT) -> DataFrame:
+def link_optimal(nodes: DataFrame, radius: float, mode: str = "full") -> DataFrame:
     """Optimal one-to-one links of consecutive frames: dataset, t, source_id, target_id, d.
 
-    ``nodes`` carries ``zu, yu, xu``. Up to ``pair_limit`` node pairs a frame pair is
-    assigned in full (far pairs included) and links longer than ``radius`` are dropped
-    afterwards; beyond it, only pairs within ``radius`` are considered and the smaller
-    frame must be covered, else every node takes its nearest neighbour.
-    """
-    sizes = nodes.groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("_n"))
-    after = sizes.select("dataset", (F.col("t") - 1).alias("t"), F.col("_n").alias("_m"))
-    product = F.col("_n").cast("double") * F.col("_m")
-    frames = sizes.join(after, ["dataset", "t"]).select("dataset", "t", (product <= pair_limit).alias("_dense"))
-    frames = cut_lineage(frames, "frames")
+    ``nodes`` carries ``zu, yu, xu``. The mode is the caller's and holds for every frame:
 
+    * full: the smaller frame is assigned as a whole at least total distance, far pairs
+      included, and links longer than ``radius`` are dropped afterwards. A frame pair is one
+      group with its cost matrix, so this mode is for frames that fit a task.
+    * gated: only pairs within ``radius`` count; as many links as possible, and among those
+      the least total distance. Solved by components of the candidates at any size.
+    """
+    if mode == "gated":
+        pairs = link_candidates(nodes, radius).withColumn("_w", F.lit(float(radius)) - F.col("d"))
+        found = max_weight_matching(pairs, ["dataset", "t"], "source_id", "target_id", "_w", fullest=True)
+        return found.select("dataset", "t", "source_id", "target_id", "d")
+    if mode != "full":
+        raise ValueError(f"mode {mode!r}: full or gated")
     # Each node takes part in two frame pairs, once per side.
     sides = nodes.select("dataset", "node_id", "zu", "yu", "xu", F.explode(F.array(
         F.struct(F.col("t").alias("t"), F.lit(0).alias("side")),
@@ -322,7 +363,7 @@ def link_optimal(nodes: DataFrame, radius: float, pair_limit: int = DENSE_PAIR_L
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         p, q = (s[["zu", "yu", "xu"]].to_numpy() for s in (a, b))
         d = np.sqrt(((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2))
-        rows, cols = cheapest_assignment(d)
+        rows, cols = cheapest_assignment(d) if d.size else (np.zeros(0, int),) * 2
         keep = d[rows, cols] <= radius
         rows, cols = rows[keep], cols[keep]
         return pd.DataFrame({
@@ -330,39 +371,7 @@ def link_optimal(nodes: DataFrame, radius: float, pair_limit: int = DENSE_PAIR_L
             "source_id": a["node_id"].to_numpy()[rows], "target_id": b["node_id"].to_numpy()[cols],
             "d": d[rows, cols]})
 
-    dense = sides.join(frames.where("_dense").select("dataset", "t"), ["dataset", "t"], "left_semi")
-    out = dense.groupBy("dataset", "t").applyInPandas(solve, schema)
-    wide = frames.where("NOT _dense").select("dataset", "t")
-    if is_empty(wide):
-        return out
-    return out.unionByName(_link_sparse(nodes, wide, radius))
-
-
-def _link_sparse(nodes: DataFrame, frames: DataFrame, radius: float) -> DataFrame:
-    keys = ["dataset", "t"]
-    pairs = cut_lineage(
-        link_candidates(nodes, radius).join(frames, keys, "left_semi")
-        .withColumn("w", F.lit(2.0 * radius) - F.col("d")), "sparse")
-    sizes = nodes.groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("_n"))
-    smaller = (sizes.join(sizes.select("dataset", (F.col("t") - 1).alias("t"),
-                                       F.col("_n").alias("_m")), keys)
-               .select(*keys, F.least("_n", "_m").alias("_cover"))
-               .join(frames, keys, "left_semi"))
-    # A side that has nodes without any candidate cannot be covered.
-    reach = pairs.groupBy(*keys).agg(F.least(F.count_distinct("source_id"),
-                                             F.count_distinct("target_id")).alias("_reach"))
-    hopeful = smaller.join(reach, keys).where("_reach >= _cover").select(*keys, "_cover")
-    bonus = 4.0 * radius
-    tries = pairs.join(hopeful.select(*keys), keys, "left_semi")
-    largest = tries.groupBy(*keys).agg(F.count_distinct("source_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    tries = tries.withColumn("w", F.col("w") + F.lit(bonus * (largest + 1)))
-    found = cut_lineage(max_weight_matching(tries, keys, "source_id", "target_id", "w"), "covered")
-    covered = (found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
-               .join(hopeful, keys).where("_got = _cover").select(*keys))
-    best = found.join(covered, keys, "left_semi").select(*keys, "source_id", "target_id", "d")
-    rest = frames.join(covered, keys, "left_anti")
-    greedy = nearest_links(nodes, radius).join(rest, keys, "left_semi")
-    return best.unionByName(greedy.select(*best.columns))
+    return sides.groupBy("dataset", "t").applyInPandas(solve, schema)
 
 
 def recall_at_budget(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM) -> DataFrame:

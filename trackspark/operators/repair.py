@@ -26,14 +26,26 @@ from trackspark.schema import DEFAULT_SCALE
 from trackspark.session import cut_lineage, discard, is_empty
 
 PAIR = ["dataset", "t"]
-MOTION_FRAME_LIMIT = 3200   # fixed value: datasets with a larger frame keep their raw links
 MOTION_WINDOW = 32
 
 
-def _round_cap(count, share: float, most: int | None = None):
-    """max(1, half-even rounded share of a count), optionally bounded."""
-    cap = F.greatest(F.lit(1), F.rint(count * F.lit(share)).cast("bigint"))
-    return F.least(F.lit(most).cast("bigint"), cap) if most is not None else cap
+def _capped(ranked: DataFrame, counts: DataFrame, keys: list[str], share: float | None,
+            most: int | None = None, whole=F.rint) -> DataFrame:
+    """Rows whose ``_rank`` is within a share of the counts ``_n`` and within ``most``.
+
+    At least one row may stay. Both limits are the caller's; without them every row stays.
+    """
+    if share is None and most is None:
+        return ranked.drop("_rank")
+    limits = [F.lit(most).cast("bigint")] if most is not None else []
+    if share is not None:
+        limits.append(F.greatest(F.lit(1), whole(F.col("_n") * F.lit(share)).cast("bigint")))
+    cap = F.least(*limits) if len(limits) > 1 else limits[0]
+    return ranked.join(counts, keys).where(F.col("_rank") <= cap).drop("_rank", "_n")
+
+
+def _per(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
 # -- gap proposals ---------------------------------------------------------------
@@ -67,23 +79,28 @@ def midpoints(gaps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def close_gaps(nodes: DataFrame, edges: DataFrame, link_radius: float = 9.0, slack: float = 1.0,
-               max_share: float = 0.045) -> tuple[DataFrame, DataFrame]:
+               max_share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Bridge one missing frame by inserting the midpoint and two edges.
 
-    Gaps are chosen by optimal assignment per frame; at most ceil(share of nodes) nodes
-    are added per dataset, earliest frames first. Returns only the added nodes and edges.
+    Gaps are chosen by optimal assignment per frame; with ``max_share``, at most ceil(share of
+    nodes) nodes are added per dataset, earliest frames first. Returns only the added ones.
     """
     pairs = cut_lineage(gap_pairs(nodes, edges, 2, 2.0 * link_radius * slack), "gaps")
     tops = pairs.groupBy(*PAIR).agg((F.max("d") * 10 + 1).alias("_big"))
     chosen = assign_gaps(pairs.join(tops, PAIR), F.col("_big")).drop("_big")
     ranked = rank_rows(chosen, ["dataset"], ["t", "end_id"], "_rank")
-    caps = nodes.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) * max_share).alias("_cap"))
-    kept = ranked.join(caps, "dataset").where("_rank <= _cap").drop("_cap", "_rank")
+    kept = _capped(ranked, _per(nodes, ["dataset"]), ["dataset"], max_share, whole=F.ceil)
     placed = midpoints(kept, nodes).withColumn("t", F.col("t") + 1)
     added = cut_lineage(append_nodes(nodes, placed, ["t", "end_id"]), "inserted")
     return added.select("dataset", "node_id", "t", "z", "y", "x"), _bridge(added)
 
 
+def _refined(points: DataFrame, refine) -> DataFrame:
+    """Inserted points moved by a hook that takes and returns (dataset, t, point_id, z, y, x)."""
+    moved = refine(points.withColumnRenamed("node_id", "point_id"))
+    return moved.select("dataset", F.col("point_id").alias("node_id"), "t", "z", "y", "x")
+
+
 def _bridge(added: DataFrame) -> DataFrame:
     """The two edges through each inserted (or reused) middle node."""
     return added.select("dataset", F.explode(F.array(
@@ -148,11 +165,11 @@ def settle_reuse(gaps: DataFrame, choices: DataFrame) -> DataFrame:
 
 
 def close_gaps_reusing(nodes: DataFrame, edges: DataFrame, gap_um: float = 5.9, reuse_um: float = 3.1,
-                       max_share: float = 0.045, most: int = 1900,
+                       max_share: float | None = None, most: int | None = None,
                        refine=None) -> tuple[DataFrame, DataFrame]:
     """Bridge one-frame gaps, preferring an isolated detection near the midpoint.
 
-    New nodes are limited per dataset, earliest gaps first; reused ones are not.
+    New nodes may be limited per dataset, earliest gaps first; reused ones are not.
     ``refine`` may move the inserted points (dataset, t, point_id, z, y, x) -> the same.
     """
     limit = 2.0 * gap_um
@@ -161,14 +178,13 @@ def close_gaps_reusing(nodes: DataFrame, edges: DataFrame, gap_um: float = 5.9,
     settled = cut_lineage(settle_reuse(gaps, gap_choices(gaps, nodes, edges, reuse_um)), "settled")
     reused = settled.where("iso_id IS NOT NULL").withColumn("node_id", F.col("iso_id"))
     fresh = rank_rows(settled.where("iso_id IS NULL"), ["dataset"], ["t", "end_id"], "_rank")
-    caps = nodes.groupBy("dataset").agg(_round_cap(F.count(F.lit(1)), max_share, most).alias("_cap"))
-    fresh = fresh.join(caps, "dataset").where("_rank <= _cap").drop("_cap", "_rank", "iso_id")
+    fresh = _capped(fresh, _per(nodes, ["dataset"]), ["dataset"], max_share, most).drop("iso_id")
     fresh = fresh.join(gaps.select(*PAIR, "end_id", "z", "y", "x"), [*PAIR, "end_id"])
     fresh = fresh.withColumn("t", F.col("t") + 1)
     added = cut_lineage(append_nodes(nodes, fresh, ["t", "end_id"]), "inserted")
     points = added.select("dataset", "node_id", "t", "z", "y", "x")
     if refine is not None:
-        points = refine(points)
+        points = _refined(points, refine)
     links = _bridge(added.select("dataset", "end_id", "start_id", "node_id").unionByName(
         reused.select("dataset", "end_id", "start_id", "node_id")))
     return points, links
@@ -241,30 +257,27 @@ def greedy_pairs(proposals: DataFrame) -> DataFrame:
             return chosen
 
 
-def recover_two_frame_gaps(nodes: DataFrame, edges: DataFrame, max_share: float = 0.0026, most: int = 120,
-                           frame_share: float = 0.004, refine=None, **limits) -> tuple[DataFrame, DataFrame]:
+def recover_two_frame_gaps(nodes: DataFrame, edges: DataFrame, max_share: float | None = None,
+                           most: int | None = None, frame_share: float | None = None, refine=None, **limits) -> tuple[DataFrame, DataFrame]:
     """Bridge two missing frames at thirds of the way: two nodes and three edges per gap."""
     proposals = two_frame_proposals(nodes, edges, **limits)
     picks = cut_lineage(greedy_pairs(proposals), "picks")
-    ends = (open_ends(nodes, edges).where("is_end").groupBy(*PAIR)
-            .agg(_round_cap(F.count(F.lit(1)), frame_share).alias("_frame_cap")))
-    caps = edges.groupBy("dataset").agg(_round_cap(F.count(F.lit(1)), max_share, most).alias("_cap"))
+    ends = _per(open_ends(nodes, edges).where("is_end"), PAIR)
     order = ["score", "end_id", "start_id"]
-    in_frame = (rank_rows(picks, PAIR, order, "_rank").join(ends, PAIR)
-                .where("_rank <= _frame_cap").drop("_rank", "_frame_cap"))
-    kept = (rank_rows(in_frame, ["dataset"], ["score", "t", "end_id", "start_id"], "_rank")
-            .join(caps, "dataset").where("_rank <= _cap").drop("_cap"))
+    in_frame = _capped(rank_rows(picks, PAIR, order, "_rank"), ends, PAIR, frame_share)
+    turns = rank_rows(in_frame, ["dataset"], ["score", "t", "end_id", "start_id"], "_rank").withColumn("turn", F.col("_rank"))
+    kept = _capped(turns, _per(edges, ["dataset"]), ["dataset"], max_share, most)
     spans = (kept.join(_points(nodes, "end_id", "e"), ["dataset", "end_id"])
              .join(_points(nodes, "start_id", "s"), ["dataset", "start_id"]))
     steps = F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), (F.col("t") + k).alias("t"),
                  *[lerp(F.col(f"e{a}"), F.col(f"s{a}"), k / 3.0).alias(a) for a in "zyx"]) for k in (1, 2)]))
-    placed = spans.select("dataset", "end_id", "start_id", "_rank", steps.alias("_p")).select(
-        "dataset", "end_id", "start_id", "_rank", "_p.*")
-    added = cut_lineage(append_nodes(nodes, placed.withColumnsRenamed({"_rank": "turn"}), ["turn", "k"]), "inserted")
+    placed = spans.select("dataset", "end_id", "start_id", "turn", steps.alias("_p")).select(
+        "dataset", "end_id", "start_id", "turn", "_p.*")
+    added = cut_lineage(append_nodes(nodes, placed, ["turn", "k"]), "inserted")
     points = added.select("dataset", "node_id", "t", "z", "y", "x")
     if refine is not None:
-        points = refine(points)
+        points = _refined(points, refine)
     first = added.where("k = 1").select("dataset", "end_id", "start_id", F.col("node_id").alias("_a"))
     second = added.where("k = 2").select("dataset", "end_id", F.col("node_id").alias("_b"))
     links = first.join(second, ["dataset", "end_id"]).select("dataset", F.explode(F.array(
@@ -298,19 +311,17 @@ def division_proposals(nodes: DataFrame, edges: DataFrame, parent_um: float = 4.
             .select(*PAIR, "source_id", "target_id", (F.col("d") + 0.15 * F.col("sister")).alias("score")))
 
 
-def recover_divisions(nodes: DataFrame, edges: DataFrame, frame_share: float = 0.008,
-                      global_share: float = 0.0036, **limits) -> DataFrame:
-    """Second-child edges: the best proposal per child, capped per frame, then per dataset."""
+def recover_divisions(nodes: DataFrame, edges: DataFrame, frame_share: float | None = None,
+                      global_share: float | None = None, **limits) -> DataFrame:
+    """Second-child edges: the best proposal per child, if asked capped per frame, then per dataset."""
     proposals = division_proposals(nodes, edges, **limits)
     best = (proposals.groupBy(*PAIR, "target_id").agg(F.min(F.struct("score", "source_id")).alias("_b"))
             .select(*PAIR, "target_id", "_b.*"))
-    single = degrees(nodes, edges).where("out_degree = 1").groupBy(*PAIR).agg(
-        _round_cap(F.count(F.lit(1)), frame_share).alias("_frame_cap"))
-    caps = edges.groupBy("dataset").agg(_round_cap(F.count(F.lit(1)), global_share).alias("_cap"))
-    in_frame = (rank_rows(best, PAIR, ["score", "source_id", "target_id"], "_rank")
-                .join(single, PAIR).where("_rank <= _frame_cap").drop("_rank", "_frame_cap"))
-    return (rank_rows(in_frame, ["dataset"], ["t", "score", "source_id", "target_id"], "_rank")
-            .join(caps, "dataset").where("_rank <= _cap").select("dataset", "source_id", "target_id"))
+    single = _per(degrees(nodes, edges).where("out_degree = 1"), PAIR)
+    in_frame = _capped(rank_rows(best, PAIR, ["score", "source_id", "target_id"], "_rank"), single, PAIR, frame_share)
+    ranked = rank_rows(in_frame, ["dataset"], ["t", "score", "source_id", "target_id"], "_rank")
+    return (_capped(ranked, _per(edges, ["dataset"]), ["dataset"], global_share)
+            .select("dataset", "source_id", "target_id"))
 
 
 # -- motion links ------------------------------------------------------------------
@@ -320,14 +331,11 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
     """Re-link every frame pair with predicted positions: tight gate first, then relaxed.
 
     The cost of a link is the distance to the predicted position, plus 5 % of the raw
-    distance, minus ``bonus`` times the learned probability. Frames are bounded by
-    ``MOTION_FRAME_LIMIT`` nodes (datasets with a larger one yield nothing), so a window
-    of frames fits a task; the window shrinks where frames hold many candidates. Output: dataset, source_id, target_id, edge_prob, distance_um,
-    motion_um, tight.
+    distance, minus ``bonus`` times the learned probability. A task holds the candidates of
+    one window of frames; the window shrinks where frames hold many candidates. Output:
+    dataset, source_id, target_id, edge_prob, distance_um, motion_um, tight.
     """
-    too_large = (nodes.groupBy(*PAIR).count().where(F.col("count") > MOTION_FRAME_LIMIT)
-                 .select("dataset").distinct())
-    usable = cut_lineage(with_um(nodes).join(too_large, "dataset", "left_anti"), "usable")
+    usable = cut_lineage(with_um(nodes), "usable")
     learned = (edges.where("edge_prob IS NOT NULL").where(F.abs("edge_prob") < float("inf"))
                .groupBy("dataset", "source_id", "target_id").agg(F.max("edge_prob").alias("_p"))
                .select("dataset", "source_id", "target_id", sanitise_probability(F.col("_p")).alias("prob")))
@@ -389,11 +397,14 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
 
 def repair_graph(nodes: DataFrame, raw_edges: DataFrame, edge_max_um: float = 14.2, relink: bool = True,
                  single_child: bool = False, divisions_by_geometry: bool = False,
-                 drop_short: bool = False, smooth: bool = True, refine=None):
+                 drop_short: bool = False, smooth: bool = True, refine=None, limits: dict | None = None):
     """Filter, re-link, close gaps, recover divisions, prune and smooth.
 
-    Returns (nodes, edges, counts): ``counts`` has one row per dataset and stage.
+    ``limits`` may give the steps ``gaps``, ``wide_gaps`` and ``divisions`` insertion limits, as
+    keyword arguments of their functions. Returns (nodes, edges, counts): ``counts`` has one
+    row per dataset and stage.
     """
+    limits = limits or {}
     nodes = cut_lineage(nodes.select("dataset", "node_id", "t", "z", "y", "x"), "nodes")
     stages = []
 
@@ -426,11 +437,11 @@ def repair_graph(nodes: DataFrame, raw_edges: DataFrame, edge_max_um: float = 14
                             F.col("source_id").alias("edge_id")))
         return all_nodes, cut_lineage(edges.unionByName(measured.select(*columns)), "edges")
 
-    nodes, edges = extend(*close_gaps_reusing(nodes, edges, refine=refine))
+    nodes, edges = extend(*close_gaps_reusing(nodes, edges, refine=refine, **limits.get("gaps", {})))
     note("gaps", nodes, edges)
-    nodes, edges = extend(*recover_two_frame_gaps(nodes, edges, refine=refine))
+    nodes, edges = extend(*recover_two_frame_gaps(nodes, edges, refine=refine, **limits.get("wide_gaps", {})))
     note("gaps2", nodes, edges)
-    nodes, edges = extend(None, recover_divisions(nodes, edges))
+    nodes, edges = extend(None, recover_divisions(nodes, edges, **limits.get("divisions", {})))
     note("divisions", nodes, edges)
     if divisions_by_geometry:
         edges = cut_lineage(filter_divisions(edges, nodes), "edges")

@@ -23,34 +23,35 @@ def vote_count(votes: Column) -> Column:
     return F.coalesce(votes.try_cast("bigint"), nested, F.lit(0).cast("bigint"))
 
 
-def flatten_nested(comments: DataFrame, depth: int = 3) -> DataFrame:
+def flatten_nested(comments: DataFrame) -> DataFrame:
     """Unroll ``comments array<struct<…, replies>>`` per topic to rows with depth and path.
 
-    ``path`` orders rows depth first. Deeper levels than the column type allows do not
-    exist, since the schema fixes the nesting.
+    ``path`` orders rows depth first. Levels go on for as long as the column type nests.
     """
     level = comments.select("topic", F.posexplode("comments").alias("_i", "_c")).select(
         "topic", F.lit(0).alias("depth"), F.array("_i").alias("path"), "_c")
     out = None
-    for d in range(depth):
+    while True:
         fields = level.schema["_c"].dataType.names
         rows = level.select("topic", "depth", "path",
                             *[F.col(f"_c.{f}").alias(f) for f in fields if f != "replies"])
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if "replies" not in fields:
-            break
-        level = level.select("topic", "path", F.posexplode("_c.replies").alias("_i", "_r")).select(
-            "topic", F.lit(d + 1).alias("depth"),
+            return out
+        level = level.select("topic", "depth", "path", F.posexplode("_c.replies").alias("_i", "_r")).select(
+            "topic", (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array("_i")).alias("path"), F.col("_r").alias("_c"))
-    return out
 
 
 def flatten_parents(comments: DataFrame) -> DataFrame:
     """Depth and depth-first path of comments given as (topic, comment, parent) rows.
 
-    One join per level; the loop ends when a level is empty, so any depth works.
+    One join per level; the loop ends when a level is empty, so any depth works. A comment
+    whose parent is not there is a root of its own.
     """
-    step = comments.select("topic", "comment", "parent")
+    known = comments.select("topic", F.col("comment").alias("parent"), F.lit(True).alias("_known")).distinct()
+    step = (comments.select("topic", "comment", "parent").join(known, ["topic", "parent"], "left")
+            .withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known"))
     level = cut_lineage(
         step.where("parent IS NULL")
         .select("topic", "comment", F.lit(0).alias("depth"), F.array("comment").alias("path")),

@@ -24,10 +24,10 @@ def physical(i: Inputs):
     return with_um(i.pred).select("dataset", "node_id", r6("zu"), r6("yu"), r6("xu"))
 
 
-@query("p2_original_voxels", "P2 P10", ctes("pred") + """
-SELECT dataset, node_id, z, y*4 AS y, x*4 AS x FROM pred WHERE t < 10""")
+@query("p2_original_voxels", "P2", ctes("pred") + """
+SELECT dataset, node_id, z, y*4 AS y, x*4 AS x FROM pred""")
 def original_voxels(i: Inputs):
-    return to_original_voxels(i.pred.where("t < 10")).select("dataset", "node_id", "z", "y", "x")
+    return to_original_voxels(i.pred).select("dataset", "node_id", "z", "y", "x")
 
 
 @query("p3_consecutive_edges", "P3", ctes("raw_edges", "pred") + f"""

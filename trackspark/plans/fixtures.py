@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackspark.session import ship_package
+
 _TABLES = {
     # name: (tables it reads, SELECT)
     "cells": (("events",), """
@@ -152,6 +154,7 @@ class Inputs:
     """The driver's tables and their derivations, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._built: dict[str, DataFrame] = {}
 

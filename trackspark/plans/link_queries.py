@@ -20,7 +20,7 @@ def optimal_links(i: Inputs):
 @query("j5_sparse_links", "J5")
 def sparse_links(i: Inputs):
     """Every frame pair taken through the path for frames too large to assign in full."""
-    return assign.link_optimal(with_um(i.gt), 9.0, pair_limit=0)
+    return assign.link_optimal(with_um(i.gt), 9.0, mode="gated")
 
 
 @query("j6_matched_nodes", "J6 J7")

@@ -24,16 +24,16 @@ def _meta(i: Inputs):
 
 @query("g2_predicted_graph", "G2 G1 T2 P2")
 def predicted_graph(i: Inputs):
-    s = P.Settings(detector="dog", min_separation_um=3.5, budget_fill=1.0, stride=(1, 1, 1))
-    nodes, edges = P.predict(i.voxels, _meta(i), SCALE, s)
+    arm = P.Arm(P.Finder("bands", (1, 1, 1), 3.5), P.Room(fill=1.0))
+    nodes, edges = P.predict(i.voxels, _meta(i), SCALE, arm)
     return nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("nodes")).join(
         edges.groupBy("dataset").agg(F.count(F.lit(1)).alias("edges")), "dataset", "left").fillna(0)
 
 
 @query("s9_submission_from_voxels", "S8 S9")
 def submission_from_voxels(i: Inputs):
-    s = P.Settings(detector="intensity", min_separation_um=5.0, det_threshold=0.8, stride=(1, 1, 1))
-    rows, _ = P.submit(i.voxels, _meta(i), SCALE, s)
+    arm = P.Arm(P.Finder("peaks", (1, 1, 1), 5.0, floor=0.8))
+    rows, _ = P.submit(i.voxels, _meta(i), SCALE, arm)
     return rows
 
 

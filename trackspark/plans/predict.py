@@ -13,88 +13,118 @@ from trackspark.operators import assign, budget, graph, score, spatial, submissi
 from trackspark.operators import volume as V
 from trackspark.operators.ordering import rank_rows
 from trackspark.operators.repair import close_gaps
-from trackspark.session import cut_lineage
+from trackspark.session import cut_lineage, is_empty
 from trackspark.sources.results import missing_results
 
 
 @dataclass(frozen=True)
-class Settings:
-    """Tunables of one arm."""
-
-    detector: str = "intensity"            # or "dog"
-    dog_scales: tuple = ((1.5, 4.0),)
-    dog_rel_threshold: float = 0.02
-    det_threshold: float = 0.15
-    min_separation_um: float = 6.0
-    footprint: str = "box"                 # or "ball"
-    max_per_frame: int | None = None
-    budget_fill: float | None = None
-    adaptive_separation: bool = False
-    adaptive_target: float = 1.0
-    link_radius_um: float = 9.0
-    link_mode: str = "optimal"             # or "greedy"
-    close_gaps: bool = False
-    gap_max_share: float = 0.045
-    prune_isolated: bool = False
+class Finder:
+    """How detections are found: ``method`` peaks (of intensity) or bands (of band-pass response)."""
+
+    method: str = "peaks"
     stride: tuple = (1, 4, 4)
-    max_frames: int | None = None
+    spacing_um: float = 6.0
+    shape: str = "box"                     # neighbourhood of a peak, or "ball"
+    floor: float | None = None             # least score; by default the method's own
+    bands: tuple = ((1.5, 4.0),)
+
+
+@dataclass(frozen=True)
+class Room:
+    """How many detections a frame may keep; without a field there is no limit."""
+
+    fill: float | None = None              # share of the recording's node budget
+    most: int | None = None
+    aim: float | None = None               # adapt the spacing to this share of the budget
+
+
+@dataclass(frozen=True)
+class Linker:
+    """How detections become tracks: ``mode`` full, gated or nearest."""
+
+    mode: str = "full"
+    radius_um: float = 9.0
+    bridge: bool = False                   # close one-frame gaps
+    bridge_share: float | None = None
+    drop_lone: bool = False
+
+
+@dataclass(frozen=True)
+class Arm:
+    """One way to get from voxels to tracks."""
+
+    find: Finder = Finder()
+    room: Room = Room()
+    join: Linker = Linker()
+
+
+def _caps(meta: DataFrame, room: Room) -> DataFrame | None:
+    """caps(dataset, cap) for the limits of ``room``; null where a recording has no budget."""
+    limits = []
+    if room.fill is not None:
+        per_frame = room.fill * F.col("est_total") / F.greatest(F.col("n_t"), F.lit(1))
+        limits.append(F.when(F.col("est_total") > 0, F.greatest(F.lit(1), F.floor(per_frame))).cast("bigint"))
+    if room.most is not None:
+        limits.append(F.lit(room.most).cast("bigint"))
+    if not limits:
+        return None
+    return meta.select("dataset", (F.least(*limits) if len(limits) > 1 else limits[0]).alias("cap"))
 
 
-def detect(voxels: DataFrame, meta: DataFrame, scale, s: Settings) -> DataFrame:
+def detect(voxels: DataFrame, meta: DataFrame, scale, arm: Arm) -> DataFrame:
     """Detections in original voxel coordinates: dataset, node_id, t, z, y, x, score.
 
-    ``meta`` has dataset, q_lo, q_hi, n_t, est_total (null where unknown).
+    ``meta`` has dataset, q_lo, q_hi, n_t, est_total (null where unknown). Recordings without
+    usable quantiles get those of their own voxels.
     """
-    voxel_um = tuple(a * b for a, b in zip(scale, s.stride))
-    used = voxels if s.max_frames is None else voxels.where(F.col("t") < s.max_frames)
-    frames = cut_lineage(V.load_frames(used, meta, s.stride), "frames")
-    caps = None
-    if s.budget_fill is not None or s.max_per_frame is not None:
-        top = F.lit(s.max_per_frame).cast("bigint")
-        share = F.lit(None).cast("bigint")
-        if s.budget_fill is not None:
-            share = F.when(F.col("est_total") > 0, F.greatest(F.lit(1), F.floor(
-                s.budget_fill * F.col("est_total") / F.greatest(F.col("n_t"), F.lit(1)))).cast("bigint"))
-        caps = meta.select("dataset", F.least(share, top).alias("cap"))
-    if s.detector == "dog":
-        table = V.dog_table(frames, voxel_um, s.dog_scales)
-        radius = s.min_separation_um
-        if s.adaptive_separation:
+    find = arm.find
+    voxel_um = tuple(a * b for a, b in zip(scale, find.stride))
+    usable = F.coalesce(F.col("q_hi") > F.col("q_lo"), F.lit(False))
+    if not is_empty(meta.where(~usable)):
+        meta = cut_lineage(V.quantile_fallback(voxels, meta), "meta")
+    frames = cut_lineage(V.load_frames(voxels, meta, find.stride), "frames")
+    caps = _caps(meta, arm.room)
+    if find.method == "bands":
+        table = V.dog_table(frames, voxel_um, find.bands)
+        least = 0.02 if find.floor is None else find.floor
+        spacing = find.spacing_um
+        if arm.room.aim is not None:
             middle = meta.select("dataset", F.floor(F.col("n_t") / 2).alias("t"))
-            targets = meta.where("est_total > 0").select("dataset", F.greatest(
-                F.lit(1.0), s.adaptive_target * F.col("est_total") / F.greatest(F.col("n_t"), F.lit(1))).alias("target"))
-            seps = V.adaptive_separation(table.join(middle, ["dataset", "t"], "left_semi"), targets, voxel_um,
-                                         s.min_separation_um, rel_threshold=s.dog_rel_threshold)
-            table = (table.join(seps, "dataset", "left")
-                     .fillna(s.min_separation_um, ["sep"]))
-            radius = F.col("sep")
-        peaks = V.detect_dog(table, voxel_um, radius, s.dog_rel_threshold, caps=caps)
+            wanted = arm.room.aim * F.col("est_total") / F.greatest(F.col("n_t"), F.lit(1))
+            targets = meta.where("est_total > 0").select("dataset", F.greatest(F.lit(1.0), wanted).alias("target"))
+            fitted = V.adaptive_separation(table.join(middle, ["dataset", "t"], "left_semi"), targets, voxel_um,
+                                           find.spacing_um, rel_threshold=least)
+            table = table.join(fitted, "dataset", "left").fillna(find.spacing_um, ["sep"])
+            spacing = F.col("sep")
+        peaks = V.detect_dog(table, voxel_um, spacing, least, caps=caps)
     else:
-        peaks = V.detect_intensity(frames, voxel_um, s.min_separation_um, s.det_threshold, s.footprint, caps)
-    centred = to_original_voxels(V.refine_centroids(peaks, frames, voxel_um), s.stride)
+        least = 0.15 if find.floor is None else find.floor
+        peaks = V.detect_intensity(frames, voxel_um, find.spacing_um, least, find.shape, caps)
+    centred = to_original_voxels(V.refine_centroids(peaks, frames, voxel_um), find.stride)
     numbered = rank_rows(centred, ["dataset"], ["t", "z", "y", "x", "-score"], "node_id")
     return cut_lineage(numbered.withColumn("node_id", F.col("node_id") - 1), "detections")
 
 
-def link(nodes: DataFrame, scale, s: Settings) -> tuple[DataFrame, DataFrame]:
+def link(nodes: DataFrame, scale, arm: Arm) -> tuple[DataFrame, DataFrame]:
     """Linked, gap-closed and pruned graph: (nodes, edges)."""
+    how = arm.join
     placed = with_um(nodes, scale)
-    links = (spatial.nearest_links(placed, s.link_radius_um) if s.link_mode == "greedy"
-             else assign.link_optimal(placed, s.link_radius_um))
+    links = (spatial.nearest_links(placed, how.radius_um) if how.mode == "nearest"
+             else assign.link_optimal(placed, how.radius_um, how.mode))
     edges = cut_lineage(links.select("dataset", "source_id", "target_id"), "links")
     nodes = nodes.select("dataset", "node_id", "t", "z", "y", "x")
-    if s.close_gaps:
-        more_nodes, more_edges = close_gaps(nodes, edges, s.link_radius_um, max_share=s.gap_max_share)
+    if how.bridge:
+        more_nodes, more_edges = close_gaps(nodes, edges, how.radius_um, max_share=how.bridge_share)
         nodes = cut_lineage(nodes.unionByName(more_nodes), "nodes")
         edges = cut_lineage(edges.unionByName(more_edges), "edges")
     edges = rank_rows(edges, ["dataset"], ["source_id", "target_id"], "edge_id")
-    if s.prune_isolated:
+    if how.drop_lone:
         return graph.densify(graph.prune_isolated(nodes, edges), edges)
     return nodes, edges
 
 
-def predict(voxels: DataFrame, meta: DataFrame, scale, s: Settings) -> tuple[DataFrame, DataFrame]:
-    return link(detect(voxels, meta, scale, s), scale, s)
+def predict(voxels: DataFrame, meta: DataFrame, scale, arm: Arm) -> tuple[DataFrame, DataFrame]:
+    return link(detect(voxels, meta, scale, arm), scale, arm)
 
 
 def evaluate(nodes: DataFrame, edges: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame,
@@ -150,7 +180,7 @@ def projected_seconds(names: DataFrame, fits: int, detections: int, per_detectio
     return names.agg(((fits + n) * detections * per_detection + n * per_dataset).alias("seconds"))
 
 
-def submit(voxels: DataFrame, meta: DataFrame, scale, s: Settings) -> tuple[DataFrame, DataFrame]:
+def submit(voxels: DataFrame, meta: DataFrame, scale, arm: Arm) -> tuple[DataFrame, DataFrame]:
     """(submission rows, defects of the graphs behind them)."""
-    nodes, edges = graph.densify(*predict(voxels, meta, scale, s))
+    nodes, edges = graph.densify(*predict(voxels, meta, scale, arm))
     return submission.build_submission(nodes, edges), graph.check_graph(nodes, edges)

@@ -15,6 +15,15 @@ en AS (SELECT p.* FROM pred p LEFT JOIN src ON src.dataset=p.dataset AND src.sou
 st AS (SELECT p.* FROM pred p LEFT JOIN dst ON dst.dataset=p.dataset AND dst.target_id=p.node_id WHERE dst.target_id IS NULL)"""
 
 
+# The insertion limits of the experiments these queries repeat.
+GAP_SHARE = 0.045
+LIMITS = {
+    "gaps": {"max_share": GAP_SHARE, "most": 1900},
+    "wide_gaps": {"max_share": 0.0026, "most": 120, "frame_share": 0.004},
+    "divisions": {"frame_share": 0.008, "global_share": 0.0036},
+}
+
+
 @query("j13_gap_pairs", "J13", _OPEN + f"""
 SELECT a.dataset, a.t, a.node_id AS end_id, b.node_id AS start_id, round({_D}, 6) AS d
 FROM en a JOIN st b ON a.dataset=b.dataset AND b.t=a.t+2 WHERE {_D} <= 11.8""")
@@ -24,7 +33,7 @@ def gap_pairs(i: Inputs):
 
 @query("g3_close_gaps", "G3 J13 W8")
 def close_gaps(i: Inputs):
-    nodes, _ = repair.close_gaps(i.pred, i.lossy_edges)
+    nodes, _ = repair.close_gaps(i.pred, i.lossy_edges, max_share=GAP_SHARE)
     return nodes
 
 
@@ -63,7 +72,7 @@ def greedy_selection(i: Inputs):
 
 @query("g11_two_frame_recovery", "G11")
 def two_frame_recovery(i: Inputs):
-    _, links = repair.recover_two_frame_gaps(i.pred, i.lossy_edges)
+    _, links = repair.recover_two_frame_gaps(i.pred, i.lossy_edges, **LIMITS["wide_gaps"])
     return links
 
 
@@ -97,7 +106,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY score, sour
 ke AS (SELECT fr.*, row_number() OVER (PARTITION BY dataset ORDER BY t, score, source_id, target_id) AS rg FROM fr JOIN sc USING (dataset, t) WHERE rf <= fc)
 SELECT dataset, source_id, target_id FROM ke JOIN gc USING (dataset) WHERE rg <= gcap""")
 def division_recovery(i: Inputs):
-    return repair.recover_divisions(i.pred, i.lossy_edges)
+    return repair.recover_divisions(i.pred, i.lossy_edges, **LIMITS["divisions"])
 
 
 @query("j16_reuse_choices", "J16", _OPEN + """,
@@ -117,7 +126,7 @@ def reuse_choices(i: Inputs):
 
 @query("g10_gap_closing_with_reuse", "G10 J16 U3")
 def gap_closing_with_reuse(i: Inputs):
-    _, links = repair.close_gaps_reusing(i.pred, i.lossy_edges)
+    _, links = repair.close_gaps_reusing(i.pred, i.lossy_edges, **LIMITS["gaps"])
     return links
 
 
@@ -128,5 +137,5 @@ def motion_links(i: Inputs):
 
 @query("g12_repaired_graph", "G12 A26")
 def repaired_graph(i: Inputs):
-    _, _, counts = repair.repair_graph(i.pred, i.raw_edges)
+    _, _, counts = repair.repair_graph(i.pred, i.raw_edges, limits=LIMITS)
     return counts

@@ -119,13 +119,13 @@ def author_and_votes(i: Inputs):
 
 @query("f14_index_rows", "F14 T7", """
 SELECT page_id, concat('| ', page_id % 17, ' | ', page_id % 5, ' | 2024-01-01 | ', CASE WHEN page_id % 10 = 0 THEN '📌 ' ELSE '' END,
-  '[', replace(left(html, 60), '|', '\\|'), '](threads/', page_id, '.md) | ', url, ' |') AS line,
+  '[', replace(html, '|', '\\|'), '](threads/', page_id, '.md) | ', url, ' |') AS line,
   CAST(row_number() OVER (ORDER BY page_id % 10 = 0 DESC, page_id % 17 DESC, page_id) AS BIGINT) AS pos FROM pages""")
 def index_rows(i: Inputs):
     from trackspark.operators.ordering import rank_rows
     p = F.col("page_id")
     rows = i.pages.select("page_id", (p % 17).alias("votes"), (p % 5).alias("comments"), F.lit("2024-01-01").alias("posted"),
-                          (p % 10 == 0).alias("pinned"), F.substring("html", 1, 60).alias("title"),
+                          (p % 10 == 0).alias("pinned"), F.col("html").alias("title"),
                           F.concat(p.cast("string"), F.lit(".md")).alias("file"), F.col("url").alias("author"))
     ranked = rank_rows(rows.withColumn("_pin", F.col("pinned").cast("int")), [], ["-_pin", "-votes", "page_id"], "pos")
     return ranked.select("page_id", threads.index_row("title", "file").alias("line"), "pos")
@@ -140,11 +140,10 @@ def first_seen(i: Inputs):
 
 @query("a28_comment_totals", "A28", """
 SELECT conv_id AS topic, CAST(max(turn) + 1 AS BIGINT) AS declared,
-  CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS fetched,
-  (sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) < max(turn) + 1) AS incomplete FROM conversations GROUP BY conv_id""")
+  CAST(count(*) AS BIGINT) AS fetched, (count(*) < max(turn) + 1) AS incomplete FROM conversations GROUP BY conv_id""")
 def comment_totals(i: Inputs):
     topics = i.conversations.groupBy(F.col("conv_id").alias("topic")).agg((F.max("turn") + 1).alias("declared"))
-    return threads.comment_totals(topics, _comments(i).where("author = 'assistant'"))
+    return threads.comment_totals(topics, _comments(i))
 
 
 @query("a29_score_table", "A29", """

@@ -53,17 +53,13 @@ def _rounded(df, *names):
 
 
 @query("v1_movie_normalise", "V1 S5 S4", ctes("voxels") + """,
-f AS (SELECT dataset, min(t) AS t0 FROM voxels GROUP BY 1),
-q AS (SELECT dataset, quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM voxels JOIN f USING (dataset)
-  WHERE t = t0 AND (z * 16 + y * 4 + x) % 5 = 0 GROUP BY 1)
+q AS (SELECT dataset, quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM voxels GROUP BY 1)
 SELECT v.dataset, v.t, v.z, CAST(v.y // 2 AS INTEGER) AS y, CAST(v.x // 2 AS INTEGER) AS x,
   round(greatest((v.v - lo) / (hi - lo + 1e-6), 0.0), 6) AS v
 FROM voxels v JOIN q USING (dataset) WHERE y % 2 = 0 AND x % 2 = 0""")
 def movie_normalise(i: Inputs):
-    first = i.voxels.groupBy("dataset").agg(F.min("t").alias("_t0"))
-    rebased = i.voxels.join(first, "dataset").withColumn("t", F.col("t") - F.col("_t0"))
     meta = i.voxels.select("dataset", F.lit(0.0).alias("q_lo"), F.lit(0.0).alias("q_hi")).distinct()
-    meta = V.quantile_fallback(rebased.drop("_t0"), meta, DIMS, step=5)
+    meta = V.quantile_fallback(i.voxels, meta)
     return _rounded(V.load_frames(i.voxels, meta, (1, 2, 2)), "v")
 
 
@@ -247,7 +243,7 @@ SELECT dataset, sep, CAST(rz + (CASE WHEN rz % 2 = 0 THEN 1 ELSE 0 END) AS INTEG
   CASE WHEN n <= 4000 THEN 'ball' ELSE 'box' END AS shape FROM b""")
 def footprints(i: Inputs):
     seps = i.names.select("dataset", (2 + F.col("s_suppkey") % 9).cast("double").alias("sep"))
-    return V.footprint_table(seps, "sep", (1.625, 0.8125, 0.8125))
+    return V.footprint_table(seps, "sep", (1.625, 0.8125, 0.8125), most_ball=4000)
 
 
 @query("v15_density_calibration", "V15", _DOG + f""",

@@ -10,7 +10,6 @@ BUDGET_ALPHA = 0.1
 DIVISION_WEIGHT = 0.1
 MATCH_RADIUS_UM = 7.0
 LINK_RADIUS_UM = 9.0
-DENSE_PAIR_LIMIT = 4_000_000
 
 NODES = T.StructType([
     T.StructField("dataset", T.StringType()),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,28 @@ def local_session(app: str = "trackspark", cpus: int | None = None, memory: str
     return spark
 
 
+#: Shared folders of local applications that name none, by application id.
+_LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per application, if they run elsewhere than the driver's path.
+
+    Functions that Arrow workers run refer to modules of the package. An installed package or a
+    PYTHONPATH serves as well; the archive comes last in their search path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="trackspark-")
+    archive = shutil.make_archive(os.path.join(folder, "trackspark"), "zip", os.path.dirname(package),
+                                  os.path.basename(package))
+    context.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -46,9 +69,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
