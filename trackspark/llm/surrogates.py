@@ -52,16 +52,28 @@ PATTERNS = {
     "account": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "secret": r"(?<=(?:password|passwd|secret|token|api_key)=)[^\s\"',;]{6,}"
               rf"|{_FREE}AKIA[0-9A-Z]{{16}}{_END}|{_FREE}gh[pousr]_[A-Za-z0-9]{{36}}{_END}"
-              rf"|{_FREE}sk-[A-Za-z0-9]{{20,}}{_END}|{_FREE}(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}}){_END}",
-    "person": rf"{_FREE}(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}){_END}",
+              rf"|{_FREE}sk-[A-Za-z0-9]{{20,}}{_END}"
+              rf"|{_FREE}(?=[a-fA-F]*[0-9])(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}}){_END}",
+    "person": rf"(?=\p{{Lu}}){_FREE}(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}){_END}",
 }
 #: Order of preference where two types could match at one place.
 ORDER = ["email", "secret", "account", "phone", "social", "address", "card", "person"]
 ENTITY = "|".join(PATTERNS[t] for t in ORDER)
 _TITLED = rf"^(?:(?:{_TITLES})\.? )?"
 
+def suspect(text: Column) -> Column:
+    """Whether a text can hold an entity at all: every pattern needs one of these.
+
+    Costs a fraction of the full pattern, which then runs on few texts.
+    """
+    return F.coalesce(text.rlike("[0-9@=]") | text.contains("sk-") | text.contains("AKIA")
+                      | text.rlike("gh[pousr]_") | text.rlike(PATTERNS["person"]), F.lit(False))
+
+
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    """All entities of a text, in order; none for null."""
+    return F.when(suspect(text), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def kind_of(mention: Column) -> Column:
@@ -228,8 +240,8 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
              counts: str | None = None) -> DataFrame:
     """``docs`` with every entity of the text replaced; ``counts`` names a column of how many.
 
-    Null texts stay null and texts without entities come back unchanged; repeated rows are
-    treated alike; all other columns are kept (one named like ``counts`` is replaced).
+    Null texts stay null and texts without entities come back unchanged, untouched by any
+    exchange; repeated rows are treated alike; all other columns are kept (one named like ``counts`` is replaced).
     """
     fp = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     found = settled(
@@ -246,13 +258,13 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
                      .agg(F.map_from_entries(F.collect_list(F.struct("mention", "fresh"))).alias("_fresh")),
                      "needed", found, texts, kinds)
     keep = [c for c in docs.columns if c != counts]
-    marked = docs.select(*keep, fp.alias("_fp")).join(needed, "_fp", "left")
     here = mentions(F.col(text_col))
+    # only texts with entities meet the table of surrogates; the others stay where they are
+    touched = docs.filter(F.size(here) > 0).select(*keep, fp.alias("_fp")).join(needed, "_fp")
     rebuilt = F.array_join(F.zip_with(
         F.split(F.col(text_col), ENTITY, -1), here,
         lambda part, m: F.concat(part, F.coalesce(F.element_at("_fresh", m), m, F.lit("")))), "")
-    columns = [F.when(F.col("_fresh").isNull(), F.col(text_col)).otherwise(rebuilt).alias(c) if c == text_col
-               else F.col(c) for c in keep]
-    if counts:
-        columns.append(F.when(F.col("_fresh").isNull(), 0).otherwise(F.size(here)).alias(counts))
-    return marked.select(*columns)
+    changed = touched.select(*[rebuilt.alias(c) if c == text_col else F.col(c) for c in keep],
+                             *[F.size(here).alias(c) for c in [counts] if c])
+    same = docs.filter(F.size(here) == 0).select(*keep, *[F.lit(0).alias(c) for c in [counts] if c])
+    return changed.unionByName(same)
