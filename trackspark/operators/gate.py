@@ -14,13 +14,10 @@ def arm_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     Each row is taken once per pair it takes part in, with its ``role``; a dataset
     stays only if both roles are present.
     """
-    roles = F.array(*[
-        F.struct(F.lit(b).alias("baseline"), F.lit(a).alias("candidate"), F.lit(r).alias("role"),
-                 F.lit(b if r == "b" else a).alias("name"))
-        for b, a in pairs for r in ("b", "a")])
-    tagged = (rows.select("*", F.explode(roles).alias("_r"))
-              .where(F.col("arm") == F.col("_r.name"))
-              .select("*", "_r.baseline", "_r.candidate", "_r.role").drop("_r"))
+    roles = rows.sparkSession.createDataFrame(
+        [(b, a, r, b if r == "b" else a) for b, a in pairs for r in ("b", "a")],
+        "baseline string, candidate string, role string, arm string")
+    tagged = rows.join(roles, "arm")
     both = (tagged.groupBy("baseline", "candidate", "dataset")
             .agg(F.count_distinct("role").alias("_n")).where("_n = 2").drop("_n"))
     return tagged.join(both, ["baseline", "candidate", "dataset"], "left_semi")
@@ -32,7 +29,7 @@ def gate(rows: DataFrame, folds: DataFrame, pairs: list[tuple[str, str]],
 
     One row per pair: baseline, candidate, promote, pooled_delta, fold_deltas (map),
     n_shared, reasons (array). A missing fold delta is no regression; a missing pooled
-    delta never promotes.
+    delta never promotes; arms without a common dataset get a row that says so.
     """
     paired = arm_pairs(rows, pairs)
     keyed = paired.withColumn("arm", F.concat_ws("\u0001", "baseline", "candidate", "role"))
@@ -54,16 +51,19 @@ def gate(rows: DataFrame, folds: DataFrame, pairs: list[tuple[str, str]],
         F.count_if(F.col("fold").isNotNull() & F.coalesce(F.col("delta") < 0, F.lit(False)))
         .alias("n_regressions"),
         F.map_from_entries(entries).alias("fold_deltas"))
+    asked = rows.sparkSession.createDataFrame(pairs, "baseline string, candidate string")
+    verdict = asked.join(verdict, ["baseline", "candidate"], "left").fillna(0, ["n_shared", "n_folds", "n_regressions"])
     gains = F.coalesce(F.col("pooled_delta") > min_gain, F.lit(False))
     sizes = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("_size"))
     for role in ("baseline", "candidate"):
-        verdict = verdict.join(sizes.withColumnsRenamed({"arm": role, "_size": f"_{role}_n"}), role)
+        verdict = verdict.join(sizes.withColumnsRenamed({"arm": role, "_size": f"_{role}_n"}), role, "left")
     promote = gains & (F.col("n_regressions") == 0)
     delta = F.coalesce(F.format_string("%+.4f", "pooled_delta"), F.lit("nan"))
     losing = F.array_join(F.transform(F.map_keys(F.map_filter(
         "fold_deltas", lambda k, d: d < 0)), lambda k: k.cast("string")), ", ")
     reasons = F.array_compact(F.array(
-        F.when((F.col("n_shared") < F.col("_baseline_n")) | (F.col("n_shared") < F.col("_candidate_n")),
+        F.when(F.col("n_shared") == 0, "no dataset in common"),
+        F.when((F.col("n_shared") > 0) & (F.col("n_shared") < F.greatest("_baseline_n", "_candidate_n")),
                F.concat(F.lit("compared on "), F.col("n_shared").cast("string"),
                         F.lit(" shared datasets"))),
         F.when(F.coalesce(F.col("pooled_delta") <= min_gain, F.lit(False)),

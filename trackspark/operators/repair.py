@@ -327,13 +327,17 @@ def recover_divisions(nodes: DataFrame, edges: DataFrame, frame_share: float | N
 # -- motion links ------------------------------------------------------------------
 
 def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, relaxed_um: float = 10.0,
-                 velocity: float = 0.5, bonus: float = 0.76, window: int = MOTION_WINDOW) -> DataFrame:
+                 velocity: float = 0.5, bonus: float = 0.76, window: int = MOTION_WINDOW,
+                 carried: DataFrame | None = None, with_origin: bool = False) -> DataFrame:
     """Re-link every frame pair with predicted positions: tight gate first, then relaxed.
 
     The cost of a link is the distance to the predicted position, plus 5 % of the raw
     distance, minus ``bonus`` times the learned probability. A task holds the candidates of
     one window of frames; the window shrinks where frames hold many candidates. Output:
     dataset, source_id, target_id, edge_prob, distance_um, motion_um, tight.
+
+    ``carried`` (dataset, target_id, pz, py, px) says where nodes of the first frame came from;
+    ``with_origin`` adds t and the source's position pz, py, px, which is the same for what follows.
     """
     usable = cut_lineage(with_um(nodes), "usable")
     learned = (edges.where("edge_prob IS NOT NULL").where(F.abs("edge_prob") < float("inf"))
@@ -379,18 +383,22 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
         return pd.concat(parts)
 
     bounds = cands.agg(F.min("w"), F.max("w")).first()
-    done, carried = None, None
+    done, origins = None, carried
+    if origins is not None:
+        origins = cut_lineage(origins.select(*[
+            F.col(c).alias(c) if c in origins.columns else F.lit(None).cast(k).alias(c)
+            for c, k in (f.split() for f in schema.split(", "))]), "carried")
     for w in range(bounds[0] or 0, (bounds[1] if bounds[1] is not None else -1) + 1):
         part = cands.where(F.col("w") == w)
-        if carried is None:
-            carried = part.sparkSession.createDataFrame([], schema)
-        linked = cut_lineage(part.groupBy("dataset").cogroup(carried.groupBy("dataset"))
+        if origins is None:
+            origins = part.sparkSession.createDataFrame([], schema)
+        linked = cut_lineage(part.groupBy("dataset").cogroup(origins.groupBy("dataset"))
                              .applyInPandas(walk, schema), "walked")
         done = linked if done is None else done.unionByName(linked)
-        carried = linked.where(F.col("t") == (w + 1) * window - 1)
+        origins = linked.where(F.col("t") == (w + 1) * window - 1)
     if done is None:
         done = nodes.sparkSession.createDataFrame([], schema)
-    return done.drop("t", "pz", "py", "px")
+    return done if with_origin else done.drop("t", "pz", "py", "px")
 
 
 # -- the whole chain -----------------------------------------------------------------

@@ -72,9 +72,10 @@ def online_nearest_links(sources: DataFrame, targets: DataFrame, radius: float,
 class MotionLinker:
     """Online motion links for micro-batches of whole frames (``foreachBatch``).
 
-    Each batch is linked together with the last frame of the batches before it. That
-    frame, and where its nodes came from, is a table in the shared folder named by the
-    batch id, so a replayed batch reads the same state and gives the same links.
+    A batch holds whole frames. It is linked together with the last frame before it, whose
+    nodes carry where they came from; only pairs with a new frame give links, so no link is
+    written twice. The state is a pair of tables in the shared folder named by the batch id, so
+    a replayed batch reads the same state and gives the same links.
     """
 
     def __init__(self, sink_path: str, state_path: str | None = None, **options):
@@ -87,17 +88,26 @@ class MotionLinker:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         nodes = batch.select("dataset", "node_id", "t", "z", "y", "x")
+        came = spark.createDataFrame([], "dataset string, target_id bigint, pz double, py double, px double")
         if batch_id > 0:
-            nodes = nodes.unionByName(spark.read.parquet(self._state(spark, batch_id - 1)))
+            before = self._state(spark, batch_id - 1)
+            nodes = nodes.unionByName(spark.read.parquet(f"{before}/nodes"))
+            came = spark.read.parquet(f"{before}/origins")
         nodes = cut_lineage(nodes, "frames")
         none = spark.createDataFrame(
             [], "dataset string, source_id bigint, target_id bigint, edge_prob double")
-        links = motion_links(nodes, none, **self.options)
-        links.write.mode("overwrite").parquet(f"{self.sink_path}/batch={batch_id}")
-        # Two frames carry over: the last one, and its predecessors for their motion.
-        last = nodes.groupBy("dataset").agg(F.max("t").alias("_last"))
-        keep = nodes.join(last, "dataset").where(F.col("t") >= F.col("_last") - 1).drop("_last")
-        keep.write.mode("overwrite").parquet(self._state(spark, batch_id))
+        links = cut_lineage(motion_links(nodes, none, carried=came, with_origin=True, **self.options), "linked")
+        (links.drop("t", "pz", "py", "px").write.mode("overwrite")
+         .parquet(f"{self.sink_path}/batch={batch_id}"))
+        last = nodes.groupBy("dataset").agg(F.max("t").alias("t"))
+        keep = nodes.join(last, ["dataset", "t"])
+        keep.write.mode("overwrite").parquet(f"{self._state(spark, batch_id)}/nodes")
+        # a recording without new frames keeps the origins that it had
+        fresh = links.select("dataset", "target_id", "pz", "py", "px")
+        old = came.join(fresh.select("dataset", "target_id"), ["dataset", "target_id"], "left_anti")
+        ids = keep.select("dataset", F.col("node_id").alias("target_id"))
+        (fresh.unionByName(old).join(ids, ["dataset", "target_id"], "left_semi")
+         .write.mode("overwrite").parquet(f"{self._state(spark, batch_id)}/origins"))
 
 
 class SubmissionWriter:
