@@ -47,15 +47,10 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _recounted(surrogates.replaced(docs, SURROGATE_KEY), docs.columns)
 
 
-def _folded(c: bpe.Codec, parts) -> tuple[int, bytes, str, str]:
-    parts = list(parts)
-    return (len(p := b"".join(x.tobytes() for x in parts)) // 4, p, *bpe.round_trip(c, iter(parts))[1:])
-
-
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every text, with digests of the round trip."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), *tokenizer(), fold=_folded,
-                         returns="n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    encoded = bpe.encode(docs.select("doc_id", "text"), *tokenizer(), fold=bpe.kept_with_digests,
+                         returns=bpe.KEPT)
     return encoded.select("doc_id", "encoded.*")
 
 

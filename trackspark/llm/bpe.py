@@ -202,3 +202,13 @@ def round_trip(c: Codec, parts: Iterator[np.ndarray]) -> tuple[int, str, str]:
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def kept_with_digests(c: Codec, parts: Iterator[np.ndarray]) -> tuple[int, bytes, str, str]:
+    """The ids themselves as well."""
+    parts = list(parts)
+    n, ids, decoded = round_trip(c, iter(parts))
+    return n, b"".join(p.tobytes() for p in parts), ids, decoded
+
+
+KEPT = "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"

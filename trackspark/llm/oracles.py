@@ -2,6 +2,27 @@
 
 ORACLE_SQL: dict[str, str] = {}
 
+#: Words between white space, as an expression over a text.
+_WORDS = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
+
+ORACLE_SQL["op1_recompression"] = """
+WITH d AS (SELECT doc_id, """ + _WORDS.format(text="coalesce(text, '')") + """ AS ws FROM documents),
+w AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)
+), f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first_id FROM w),
+gone AS (
+  SELECT doc_id, list(DISTINCT pos) AS gone
+  FROM (SELECT doc_id, unnest(range(i, i + 50)) AS pos FROM f WHERE first_id < doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(ws) AS n, list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS k
+  FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
 ORACLE_SQL["op2_pivot_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -56,3 +77,22 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+ORACLE_SQL["op8_chosen_path"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, """ + _WORDS.format(
+    text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION SELECT reach.a, link.y FROM reach JOIN link ON link.x = reach.b
+), low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN low ON low.a = d.doc_id
+"""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trackspark.llm import arc, bpe, chosenpath, licenses, recompression, sharding, suffix, surrogates, topk, toxicity
 from trackspark.llm.common import table
-from trackspark.llm.oracles import ORACLE_SQL
 
 
 def tokenizer() -> tuple[str, str]:
