@@ -66,8 +66,10 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - pivots[None]) ** 2).sum(2), 0)) if len(a) * len(pivots) < 1 << 12 \
-        else np.stack([np.sqrt(((a - p) ** 2).sum(1)) for p in pivots], 1).reshape(len(a), len(pivots))
+    out = np.empty((len(a), len(pivots)))
+    for j, p in enumerate(pivots):
+        out[:, j] = np.sqrt(((a - p) ** 2).sum(1))
+    return out
 
 
 def upper_bounds(q_norm, q_far, norms, far) -> np.ndarray:
@@ -167,7 +169,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col
                 least = []
                 for i in range(len(ids)):
                     found, _ = eliminate(int(ids[i]), m[i], norms[i], far[i], s_ids, s_rows, s_norms, s_far, k, -np.inf)
-                    least.append(float(found[k - 1][0]) if len(found) == k else -np.inf)
+                    # rounded down, so that no tie of a large score is lost
+                    least.append(np.nextafter(float(found[k - 1][0]), -np.inf) if len(found) == k else -np.inf)
                 yield pa.RecordBatch.from_pydict({
                     **{c: [r[c]] for c in ("vec_id", "v", "norm", "far")}, "least": [np.array(least).tobytes()]})
 
