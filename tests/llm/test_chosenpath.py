@@ -2,7 +2,7 @@ import itertools
 import random
 import re
 
-from conftest import prose
+from samples import prose
 
 from trackspark.llm import chosenpath as C
 
@@ -83,3 +83,15 @@ def test_one_of_each_group_stays(documents):
 def test_empty_table(documents):
     assert C.near_duplicates(documents([])).count() == 0
     assert C.deduplicated(documents([])).count() == 0
+
+
+def test_sieve_keeps_every_row_that_may_link():
+    import numpy as np
+    r = np.random.default_rng(3)
+    nodes = np.sort(r.integers(0, 12, 60))
+    parts, paths = r.integers(0, 9, 60), r.integers(0, 2, (60, C.TREES))
+    want = [any(nodes[i] == nodes[j] and parts[i] != parts[j] and (paths[i] == paths[j]).sum() >= 14 for j in range(60))
+            for i in range(60)]
+    assert C.sifted(nodes, parts, paths, 14).tolist() == want
+    assert C.sifted(nodes[:0], parts[:0], paths[:0], 14).tolist() == []
+    assert 3 < C.least_agreement(80) < C.least_agreement(85) < 12

@@ -8,15 +8,19 @@ exhaustively on full sets; a node that is still large at ``DEPTH`` is compared i
 blocks of bounded size. At J = 0.85 a pair misses all 24 trees with probability 4e-14 at two
 levels and 1e-5 at six.
 
-Sets that are equal are one set from the start, a node reports a spanning forest instead
-of its pairs, and the trees after the first two look only at nodes that still join different
-components, so neither large groups of copies nor repeated trees multiply the work.
+Sets that are equal are one set from the start, and a node reports a spanning forest
+instead of its pairs. The first two trees join most of what belongs together; the others look
+only at nodes that still hold different parts, and there only at sets that share their node in
+several other trees with a set of another part, as linked sets do but for a chance of
+``MISS``. So neither large groups of copies nor repeated trees multiply the work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm.common import (
-    WHITE, keyed, mixed, pieces, range_hashes, settled, utf8, word_bounds, word_hashes,
+    WHITE, components, keyed, mixed, pieces, range_hashes, settled, utf8, word_bounds, word_hashes,
 )
-from trackspark.operators.graph import connected_components
 
 TREES, FIRST_TREES, DEPTH, NODE = 24, 2, 6, 1024
+MISS = 1e-7
 _STEP = 0xA0761D6478BD642F                       # odd: base of the shingle polynomial
 _DRAWS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 64, (TREES, 2, 2), np.uint64) | np.uint64(1)
 
@@ -78,6 +82,34 @@ def linked(a: int, b: int, common, share: int) -> bool:
     return 100 * common >= share * (a + b - common)
 
 
+def least_agreement(share: int) -> int:
+    """Trees in which linked sets share their two-level node at least, but for a chance of MISS."""
+    p, below = (share / 100) ** 2, 0.0
+    for k in range(TREES + 1):
+        below += comb(TREES, k) * p ** k * (1 - p) ** (TREES - k)
+        if below > MISS:
+            return k
+    return TREES
+
+
+def sifted(nodes: np.ndarray, parts: np.ndarray, paths: np.ndarray, least: int) -> np.ndarray:
+    """Which rows agree in ``least`` trees with a row of the same node and another part.
+
+    Rows are ordered by node; the k-th pass compares all rows with their k-th successor.
+    """
+    keep = np.zeros(len(nodes), bool)
+    at = np.arange(len(nodes))
+    for k in range(1, len(nodes)):
+        at = at[at + k < len(nodes)]
+        at = at[nodes[at] == nodes[at + k]]
+        if not len(at):
+            break
+        pair = at[parts[at] != parts[at + k]]
+        pair = pair[(paths[pair] == paths[pair + k]).sum(1) >= least]
+        keep[pair] = keep[pair + k] = True
+    return keep
+
+
 def forest(sets: list[np.ndarray], groups: list[int], share: int) -> list[tuple[int, int]]:
     """Pairs of positions, linked on full sets, that join all groups the node can join."""
     parent = list(range(len(sets)))
@@ -121,6 +153,22 @@ def forest(sets: list[np.ndarray], groups: list[int], share: int) -> list[tuple[
     return out
 
 
+def stars(links: list[tuple[int, int]], ids: list[int]) -> list[tuple[int, int]]:
+    """The same connections with the smallest id of each component in the middle."""
+    low: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while low.get(i, i) != i:
+            low[i] = low.get(low[i], low[i])
+            i = low[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((root(ids[i]), root(ids[j])))
+        low[b] = a
+    return [(i, root(i)) for i in low]
+
+
 SIGNED = "doc_id long, doc_fp long, n long, s1 long, s2 long, paths array<long>"
 
 
@@ -156,17 +204,47 @@ def _crowded(nodes: DataFrame, label: str) -> DataFrame:
 
 
 def _compared(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) of spanning forests of the nodes in ``members`` (node, set_id, part)."""
+    """Links (a, b) that join what belongs together in the nodes of ``members`` (node, set_id, part)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("set_id")
         found = forest([np.frombuffer(b, np.uint64) for b in pdf.shingles], pdf.part.tolist(), share)
-        ids = pdf.set_id.tolist()
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(stars(found, pdf.set_id.tolist()), columns=["a", "b"]).astype("int64")
 
     return members.join(sets, "set_id").groupBy("node").applyInPandas(compare, "a long, b long")
 
 
+def _sifted(members: DataFrame, paths: DataFrame, share: int) -> DataFrame:
+    """The rows of ``members`` that may bring a link to another part of their node."""
+    least = least_agreement(share)
+
+    names = ["node", "set_id", "part"]
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            node, part = (table.column(c).to_numpy() for c in ("node", "part"))
+            paths = table.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+            kept = table.select(names).filter(pa.array(sifted(node, part, paths, least)))
+            return pa.RecordBatch.from_arrays([kept.column(c).combine_chunks() for c in names], names)
+
+        for batch in batches:                            # the last node of a batch may go on in the next
+            table = pa.Table.from_batches([*held, batch])
+            node = table.column("node").to_numpy()
+            whole = int(np.searchsorted(node, node[-1])) if len(node) else 0
+            held = table.slice(whole).to_batches()
+            if whole:
+                yield out(table.slice(0, whole))
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    # few bytes but much work, so the number of tasks is kept
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (members.join(paths, "set_id").select(*names, "paths").repartition(tasks, "node")
+            .sortWithinPartitions("node").mapInArrow(sift, "node long, set_id long, part long"))
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Members with the node they are compared in: their own, or pairs of blocks of a large one."""
     n = F.ceil(F.col("size") / NODE).cast("int")
@@ -234,15 +312,20 @@ def near_duplicates(docs: DataFrame, share: int = 80, width: int = 5, id_col: st
 
     first = every.filter(F.col("tree") < FIRST_TREES).withColumn("part", F.col("set_id"))
     links = settled(_compared(first.select("node", "set_id", "part"), full, share), "links")
-    parts = settled(_components(links), "parts")
+    # parts: what the first trees joined, as far as two steps to smaller ids tell
+    step = links.groupBy(F.col("a").alias("set_id")).agg(F.min("b").alias("up"))
+    again = step.select(F.col("set_id").alias("up"), F.col("up").alias("upper"))
+    parts = settled(step.join(again, "up", "left").select("set_id", F.coalesce("upper", "up").alias("part")), "parts")
 
     rest = (every.filter(F.col("tree") >= FIRST_TREES).join(parts, "set_id", "left")
-            .withColumn("part", F.coalesce("component", "set_id")))
+            .withColumn("part", F.coalesce("part", "set_id")))
     rest = settled(rest.select("node", "set_id", "part"), "rest")
-    open_ = settled(rest.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-                    .filter("low <> high").select("node"), "open")
-    more = settled(_compared(rest.join(open_, "node"), full, share), "links", full)
-    parts = settled(_components(links.unionByName(more)), "parts", members, rest, open_, parts)
+    open_ = rest.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    open_ = settled(open_.select("node"), "open")
+    wide = settled(_sifted(rest.join(open_, "node"), sets.select("set_id", "paths"), share), "sifted", rest, open_, members)
+    more = settled(_compared(wide, full, share), "links", full, wide)
+    parts = settled(components(links.unionByName(more)).select(F.col("node").alias("set_id"), "component"),
+                    "parts", links, more, parts)
 
     labelled = sets.join(parts, "set_id", "left").select(
         "s1", "s2", "n", "first_id", F.coalesce("component", "set_id").alias("component"))
@@ -254,13 +337,6 @@ def near_duplicates(docs: DataFrame, share: int = 80, width: int = 5, id_col: st
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """(set_id, component) of the sets in links."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
-    return connected_components(nodes, links, keys=(), source="a", target="b").select(
-        F.col("node_id").alias("set_id"), "component")
-
-
 def deduplicated(docs: DataFrame, share: int = 80, width: int = 5, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One document of each near-duplicate component (the one of smallest id), all columns kept."""

@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.session import cut_lineage, discard, shared_dir
+from trackspark.session import cut_lineage, discard, shared_dir, ship_package
 
 __all__ = [
-    "cut_lineage", "discard", "shared_dir", "table", "settled", "keyed", "pieces", "utf8",
+    "cut_lineage", "discard", "shared_dir", "table", "settled", "keyed", "components", "pieces", "utf8",
     "word_bounds", "word_hashes", "powers", "WHITE", "BENCH_SEPARATORS",
 ]
 
@@ -27,6 +27,7 @@ STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +58,41 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of all ends of ``links`` (a, b); the component is its smallest node.
+
+    Rounds of contraction: every node moves to the least of itself and its neighbours, by id
+    and by a fresh hash in turn. Ids bring stars together at once, hashes shrink any other shape
+    by a constant factor. Neighbour minima are partial aggregates, so hubs do not gather.
+    """
+    live = settled(links.filter("a <> b").select(F.explode(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        .select("e.*").distinct(), "edges")
+    labels = (links.filter("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+              .withColumn("label", F.col("node")))
+    moves: list[DataFrame] = []
+    turn = 0
+    while not live.isEmpty():
+        order = (lambda c: F.struct(c.alias("k"))) if turn % 2 == 0 else (
+            lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("k")))
+        move = settled(live.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
+                       .select(F.col("a").alias("label"), F.least(F.col("m"), order(F.col("a"))).getField("k").alias("to")),
+                       "moves")
+        rest = settled(
+            live.join(move.select(F.col("label").alias("a"), F.col("to").alias("x")), "a")
+            .join(move.select(F.col("label").alias("b"), F.col("to").alias("y")), "b")
+            .filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges", live)
+        live, turn = rest, turn + 1
+        labels = labels.join(move, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        moves.append(move)
+        if len(moves) == 6:
+            labels = settled(labels, "labels", *moves)
+            moves = []
+    labels = settled(labels, "labels", live, *moves)
+    lowest = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return labels.join(lowest, "label").select("node", "component")
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes of text each (or one row)."""
     n = batch.num_rows
