@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import PROSE, prose
+from samples import PROSE, prose
 
 from trackspark.llm import suffix as S
 

@@ -32,7 +32,7 @@ CHUNK = 1 << 15
 OVERLAP = 512
 MARGIN = 4
 #: Distinct pre-tokens whose ids a task remembers (and the length up to which it does).
-MEMORY, MEMORY_CHARS = 400_000, 64
+MEMORY, MEMORY_CHARS = 100_000, 48
 
 
 class Codec:
@@ -42,7 +42,8 @@ class Codec:
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.match = regex.compile(pattern).findall
-        self.one = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks,
+        # only its merges are used, on pieces that are matched here: a plain pattern keeps it small
+        self.one = tiktoken.Encoding("byte_bpe", pat_str=".", mergeable_ranks=ranks,
                                      special_tokens={})._encode_single_piece
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():

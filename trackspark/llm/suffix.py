@@ -191,37 +191,43 @@ def cut_out(text: str, spans: np.ndarray) -> str:
     return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
 
 
-def matchers(items: DataFrame, window: int, item_col: str, text_col: str,
-             most: int = AUTOMATON_WORDS) -> Iterator[Matcher]:
-    """One matcher per bounded share of the items; items without an id go by the name 'null'."""
+def item_shares(items: DataFrame, item_col: str, text_col: str, most: int = AUTOMATON_WORDS) -> list[DataFrame]:
+    """The items in shares of bounded size; items without an id go by the name 'null'."""
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     # a word takes a byte and a separator at least, so half the bytes bound the words
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    shares = max(1, math.ceil(size / 2 / most))
-    for k in range(shares):
-        share = rows if shares == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shares)) == k)
-        yield Matcher([(r["item"], r["text"]) for r in share.collect()], window)
+    n = max(1, math.ceil(size / 2 / most))
+    return [rows] if n == 1 else [
+        rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 SPANS = "n_words long, spans array<array<long>>, items array<string>"
 
 
-def _reader(shared: Broadcast):
-    """The column function that reads texts through one broadcast matcher."""
+def _reader(shared: Broadcast, cut: bool):
+    """The column function that reads texts through one broadcast matcher.
 
-    @F.pandas_udf(f"struct<{','.join(':'.join(c.split(' ', 1)) for c in SPANS.split(', '))}>")
+    With ``cut`` it also returns the text without its hits, in the same worker.
+    """
+    fields = SPANS.split(", ") + ["clean string"] * cut
+    names = [f.split()[0] for f in fields]
+
+    @F.pandas_udf(f"struct<{','.join(':'.join(c.split(' ', 1)) for c in fields)}>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = shared.value
         for part in texts:
             rows = []
             for piece in pieces(pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])):
                 _, _, words, first = words_of(piece.column(0))
-                for n, (spans, names) in zip(np.diff(first), matcher.spans(matcher.numbers(words), first)):
-                    rows.append((int(n), spans.tolist(), sorted(names)))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                found = matcher.spans(matcher.numbers(words), first)
+                for i, (n, (spans, items)) in enumerate(zip(np.diff(first), found)):
+                    row = (int(n), spans.tolist(), sorted(items))
+                    rows.append((*row, cut_out(piece.column(0)[i].as_py(), spans) if len(spans) else None)
+                                if cut else row)
+            yield pd.DataFrame(rows, columns=names)
 
-    return read
+    return read.asNondeterministic()         # else a filter on its result would read every text again
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
@@ -236,21 +242,24 @@ def cut_texts(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text",
-         item_col: str = "item_id", item_text_col: str = "text", most: int = AUTOMATON_WORDS) -> DataFrame:
+         item_col: str = "item_id", item_text_col: str = "text", most: int = AUTOMATON_WORDS,
+         cut: bool = False) -> DataFrame:
     """Every row of ``docs`` with n_words, hit spans (word positions) and the items that hit.
 
+    With ``cut`` also ``clean``: the text without its hits, null where it has none.
+
     Null and empty texts have no words and no hits; an empty item table hits nothing; repeated
     rows are judged alike. Columns of ``docs`` with those three names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "spans", "items")
+    docs = docs.drop("n_words", "spans", "items", "clean")
     found: list[DataFrame] = []
-    for m in matchers(items, window, item_col, item_text_col, most):
-        shared = spark.sparkContext.broadcast(m)
-
-        found.append(docs.withColumn("_hit", _reader(shared)(F.col(text_col))))
+    shares = item_shares(items, item_col, item_text_col, most)
+    for share in shares:
+        shared = spark.sparkContext.broadcast(Matcher([(r["item"], r["text"]) for r in share.collect()], window))
+        found.append(docs.withColumn("_hit", _reader(shared, cut and len(shares) == 1)(F.col(text_col))))
     if len(found) == 1:
-        return found[0].select(*docs.columns, "_hit.n_words", "_hit.spans", "_hit.items")
+        return found[0].select(*docs.columns, "_hit.*")
 
     # Several automata: keep what each found, join it by text, and go over the texts once more.
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -262,10 +271,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
                 .withColumn("spans", joined("spans")))
     counted = found[0].withColumn("_key", key).withColumn("n_words", F.col("_hit.n_words")).drop("_hit")
-    return (counted.join(all_hits, "_key", "left")
-            .select(*docs.columns, "n_words",
-                    F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+    joined_hits = counted.join(all_hits, "_key", "left").select(
+        *docs.columns, "n_words", F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    if not cut:
+        return joined_hits
+    return joined_hits.withColumn("clean", F.when(F.size("spans") > 0, cut_texts(text_col, "spans")))
 
 
 def coverage() -> F.Column:
@@ -281,9 +292,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most
     without hits comes back unchanged.
     """
     whole = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
-    marked = hits(whole, items, window, "_text", **names)
+    marked = hits(whole, items, window, "_text", cut=True, **names)
     kept = marked.filter(coverage() <= most_covered * F.col("n_words"))
-    text = F.when(F.size("spans") > 0, cut_texts("_text", "spans")).otherwise(F.col("_text"))
+    text = F.coalesce("clean", "_text")
     return kept.select(*[text.alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -294,7 +294,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", most_chance: f
                              [p for p in passages if p["chance"] <= most_chance]))
             yield pd.DataFrame(rows, columns=["score", "passages"])
 
-    return (docs.withColumn("_scored", read(F.lower(F.col(text_col))))
+    # not deterministic to the optimiser, else a filter on the score would read every text again
+    return (docs.withColumn("_scored", read.asNondeterministic()(F.lower(F.col(text_col))))
             .select(*docs.columns, "_scored.score", "_scored.passages"))
 
 
