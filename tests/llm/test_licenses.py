@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from trackspark.llm import licenses as L
 
@@ -78,3 +79,42 @@ def test_native_and_empty(documents):
     plan = L.scanned(documents(["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert L.scanned(documents([])).count() == 0
+
+
+def test_every_wording_is_recognised_also_wrapped(documents):
+    """Plain, and wrapped at 60 to 80 columns, bare and in comments; beside lines that are not known."""
+    want, texts = [], []
+    for name, wordings in L.SENTENCES.items():
+        assert len({len(L.parts(w)) for w in wordings}) == 1
+        for w in wordings:
+            ids = [n.replace("{v}", "2") for n in L.part_names(name, w)]
+            w = w.replace("{v}", "2.0") + "."
+            for width in (60, 66, 72, 80):
+                for head in ("", " * ", "# ", "// "):
+                    lines = "\n".join(head + x for x in textwrap.wrap(w, width))
+                    texts.append(f"{head}Some heading\n{head}\n{lines}\n{head}\n{head}int x")
+                    want.append(ids)
+            texts += [w, w.replace(" ", "\r\n"), w.rstrip(".") + "\nint x = 1\nint y", "import this\n" + w]
+            want += [ids] * 4
+    out = {r.doc_id: r.sentence_ids for r in L.scanned(documents(texts)).collect()}
+    assert [(texts[i], out[i]) for i in out if out[i] != want[i]] == []
+
+
+def test_wrapped_notices(documents):
+    def wrapped(names, head=""):
+        paragraphs = [textwrap.wrap(said(n).replace("{v}", "3"), 72) for n in names]
+        return f"\n{head}\n".join("\n".join(head + x for x in p) for p in paragraphs)
+    texts = {
+        "The MIT License (MIT)\nCopyright (c) 2020 Some One\n\n" + wrapped(MIT): ["MIT"],
+        "/*\n" + wrapped(MIT, " * ") + "\n */\nint x;": ["MIT"],
+        wrapped(["bsd-grant", "bsd-source", "bsd-binary"], "# "): ["BSD-2-Clause"],
+        wrapped(["gpl-free", "gpl-warranty"], "# "): ["GPL-3-or-later"],
+        wrapped(["gpl-free"]): ["GPL-3-or-later"],
+        "# SPDX-License-Identifier: Apache-2.0\n# Copyright someone\nimport x": ["Apache-2.0"],
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If not": ["MPL-2.0"],
+        "all rights\nreserved": ["All-Rights-Reserved"],
+        "not under the\nMIT License but another": [],
+    }
+    out = L.scanned(documents(list(texts))).collect()
+    assert [r.licenses for r in sorted(out, key=lambda r: r.doc_id)] == list(texts.values())
+    assert {r.doc_id: r.unknown_sentences for r in out}[8] == 1

@@ -1,14 +1,20 @@
 """License notices by recognised sentences and ordered rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only) and
-looked up among known license sentences. What is recognised becomes a sequence of sentence
-identifiers, in text order, and rules match that sequence: a rule is an ordered list of
-identifiers, which may be interrupted by sentences that are not known. Longer rules are tried
-first and take their sentences, so a three-clause notice is not also a two-clause one.
+A text is normalised (lower case, letters and digits only; comment marks go with the rest) and
+looked through for known license sentences. A sentence ends at a stop mark, a semicolon, a
+colon or a blank line. A single line break ends one too, but may also stand inside one, so
+that hard-wrapped notices and headings without a stop mark are both read. A known wording
+that holds such a mark is several sentences, and rules list all of them. What is recognised
+becomes a sequence of sentence identifiers, in text order, and rules match that sequence: a
+rule is an ordered list of identifiers, which may be interrupted by sentences that are not
+known. Longer rules are tried first and take their sentences, so a three-clause notice is not
+also a two-clause one.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,23 +122,43 @@ def plain(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
 
+#: A stop that ends no sentence: of "v. 2.0" and of the colon in an SPDX line.
+INNER = r"(\bv(?=\.[^\p{L}\p{N}]+[0-9])|spdx-license-identifier(?=:))[^\p{L}\p{N}]+"
+STOP = r"(?<=[.!?])\s+|[;:]\s"
+
+
+def parts(wording: str) -> list[str]:
+    """The sentences of a known wording, by the marks that split a text."""
+    kept = re.sub(r"(?i)(\bv)\. (?=[0-9{])|(spdx-license-identifier): ", lambda m: m[0].rstrip(".: ") + " ", wording)
+    return re.split(STOP, kept)
+
+
+def part_names(name: str, wording: str) -> list[str]:
+    """Identifiers of the sentences of a wording: the last has the name, versions go where they stand."""
+    found = parts(wording)
+    names = [*[f"{name.removesuffix('-{v}')}-part{k}" for k in range(1, len(found))], name]
+    return [f"{n}-{{v}}" if "{v}" in p and "{v}" not in n else n for n, p in zip(names, found)]
+
+
 def known() -> dict[str, str]:
     """Normalised sentence to identifier, versions spelled out."""
     out: dict[str, str] = {}
     for name, wordings in SENTENCES.items():
         for wording in wordings:
-            if "{v}" in wording:
-                key = name if "{v}" in name else f"{name}-{{v}}"
-                out |= {plain(wording.replace("{v}", v)): key.replace("{v}", v.removesuffix(".0")) for v in VERSIONS}
-            else:
-                out[plain(wording)] = name
+            for key, part in zip(part_names(name, wording), parts(wording)):
+                if "{v}" in part:
+                    out |= {plain(part.replace("{v}", v)): key.replace("{v}", v.removesuffix(".0")) for v in VERSIONS}
+                else:
+                    out[plain(part)] = key
     return out
 
 
 def rules() -> list[tuple[str, list[str]]]:
     """Rules with versions spelled out, longest first."""
     out: list[tuple[str, list[str]]] = []
-    for name, ids in RULES:
+    whole = {part_names(name, w[0])[-1]: part_names(name, w[0]) for name, w in SENTENCES.items()}
+    for name, listed in RULES:
+        ids = [p for i in listed for p in whole[i]]
         if any("{v}" in i for i in ids):
             versions = dict.fromkeys(v.removesuffix(".0") for v in VERSIONS)
             out += [(name.replace("{v}", v if "." in v or name.startswith("GPL") else f"{v}.0"),
@@ -143,16 +169,26 @@ def rules() -> list[tuple[str, list[str]]]:
 
 
 def has_cue(text: Column) -> Column:
+    """Whether a text holds a cue; the words of one may be wrapped, also in a comment."""
     lower = F.lower(text)
-    out = lower.contains(CUES[0])
-    for cue in CUES[1:]:
-        out = out | lower.contains(cue)
+    out = lower.rlike("|".join(c.replace(" ", r"[^\p{L}\p{N}]+") for c in CUES if " " in c))
+    for cue in CUES:
+        out = out if " " in cue else out | lower.contains(cue)
     return out
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end at a stop mark before white space, at a semicolon or colon, or at a line's end."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+|[;:]\s|\s*[\r\n]+\s*"), lambda s: F.length(s) > 0)
+def marked_words(text: Column) -> Column:
+    """Words with one mark between two: ``|`` where a sentence ends, a line break, or a space."""
+    lines = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    stops = F.regexp_replace(F.regexp_replace(lines, INNER, "$1 "), STOP, "\u0001")
+    bare = F.regexp_replace(F.regexp_replace(stops, r"[^\p{L}\p{N}\u0001\n]+", " "), " ?\n ?", "\n")
+    return F.trim(F.regexp_replace(bare, "\n\n+|[ \n]?\u0001[ \n]?", "|"))
+
+
+def known_pattern() -> str:
+    """Any known sentence between two marks, the longest first, over single line breaks."""
+    wordings = sorted(known(), key=lambda w: (-len(w), w))
+    return r"(?<![^|\n])(?:" + "|".join(w.replace(" ", r"[ \n]") for w in wordings) + r")(?![^|\n])"
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -163,13 +199,15 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``docs`` with those names are replaced. Everything is row by row: no exchange.
     """
     docs = docs.drop("sentence_ids", "licenses", "unknown_sentences")
+    none = F.array().cast("array<string>")
     lookup = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    cued = F.filter(sentences(F.col(text_col)), has_cue)
-    found = F.transform(cued, lambda s: F.element_at(lookup, normal(s)))
-    marked = docs.withColumn("_ids", F.when(has_cue(F.col(text_col)), found).otherwise(
-        F.array().cast("array<string>"))).withColumn("_ids", F.coalesce("_ids", F.array().cast("array<string>")))
-    ids = F.filter("_ids", lambda i: i.isNotNull())
-    marked = marked.withColumns({"sentence_ids": ids, "unknown_sentences": F.size("_ids") - F.size(ids)})
+    pattern = known_pattern()
+    marked = docs.withColumn("_words", F.when(has_cue(F.col(text_col)), marked_words(F.col(text_col))))
+    found = F.transform(F.regexp_extract_all("_words", F.lit(pattern), F.lit(0)),
+                        lambda s: F.element_at(lookup, F.translate(s, "\n", " ")))
+    others = F.filter(F.split(F.regexp_replace("_words", pattern, "|"), r"\|+"), has_cue)
+    marked = marked.withColumns({"sentence_ids": F.coalesce(found, none),
+                                 "unknown_sentences": F.coalesce(F.size(F.when(F.col("_words").isNotNull(), others)), F.lit(0))})
     # the sequence as text, one identifier between bars; a matched rule takes its identifiers away
     steps = F.named_struct(F.lit("rest"), F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|")),
                            F.lit("found"), F.array().cast("array<string>"))
@@ -183,4 +221,4 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.lit("found"), F.array_append(state["found"], rule["name"]))).otherwise(state))
     licenses = F.when(F.size("sentence_ids") > 0, F.array_sort(F.array_distinct(matched["found"]))).otherwise(
         F.array().cast("array<string>"))
-    return marked.withColumn("licenses", licenses).drop("_ids")
+    return marked.withColumn("licenses", licenses).drop("_words")
