@@ -71,3 +71,32 @@ def test_no_python_in_the_plan(documents):
     plan = S.replaced(documents([TEXT]), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert S.replaced(documents([]), "k").count() == 0
+
+
+def test_rounds_end_when_the_space_is_used_up(spark):
+    """All values of a small space, of every kind: distinct surrogates, none of them a value."""
+    rows = [("secret", f"{i:02}") for i in range(100)] + [("secret", "*" * 8), ("secret", "?!?!?!"), ("secret", "sk-****")]
+    rows += [("phone", f"49|49{i}") for i in range(10)] + [("social", str(i)) for i in range(10)]
+    rows += [("card", f"{i:02}") for i in range(100)] + [("account", f"DE{i}") for i in range(10)]
+    rows += [("email", f"{c}@1.de") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{c}@{i}.de") for c in "abcdefghijklmnopqrstuvwxyz" for i in range(2, 10)]
+    out = S.distinct_surrogates(spark.createDataFrame(rows, "kind string, value string"), "k").collect()
+    assert sorted((r.kind, r.value) for r in out) == sorted(rows)
+    drawn = {(r.kind, r.surrogate) for r in out}
+    assert len(drawn) == len(rows) and not drawn & set(rows)
+    assert all(luhn(r.value) == luhn(r.surrogate) for r in out if r.kind == "card")
+
+
+def test_later_attempts_have_more_room(spark):
+    df = spark.createDataFrame([("person", "keller"), ("address", "1.2.3.4"), ("secret", "abc123"), ("social", "123456789")],
+                               "kind string, value string")
+    def sizes(attempt):
+        return [len(r[0]) for r in df.select(S.surrogate_of(F.col("kind"), F.col("value"), F.lit(attempt), "k")).collect()]
+    early, late = sizes(0), sizes(9)
+    assert early[0] == 8 and late[0] == 26 and late[2:] == [13, 16] and late[1] > 4 * 4
+
+
+def test_a_mask_is_no_endless_draw(documents):
+    got = run(documents, ["password=******** end", "password=******** and secret=!!??!!", "a +49 171 555 1234"])
+    one, two = got[0].text, got[1].text
+    assert re.fullmatch(r"password=[a-z]{8} end", one) and two.startswith(one[:17])
+    assert re.fullmatch(r".* and secret=[a-z]{6}", two) and got[1].n == 2

@@ -36,6 +36,9 @@ SYLLABLES = {
     "greek": "βα βε βο γα γο δα δε δο θα θε κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρο σα σε τα τε φα χα",
 }
 
+#: Attempts after which surrogates get longer, by one place an attempt.
+GROWS = 2
+
 _FREE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
@@ -134,6 +137,16 @@ def shaped(value: Column, digest: Column, hexadecimal: Column | bool = False) ->
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _longer(value: Column, digest: Column, attempt: Column, hexadecimal: Column | bool = False) -> Column:
+    """:func:`shaped`, which on attempts after GROWS adds characters of the last one's class.
+
+    A value without any letter or digit keeps only its length: all of it is drawn as letters.
+    """
+    body = F.when(value.rlike(r"[0-9\p{L}]"), value).otherwise(F.regexp_replace(value, "(?s).", "x"))
+    last = F.regexp_extract(body, r"([0-9\p{L}])[^0-9\p{L}]*$", 1)
+    return shaped(F.concat(body, F.repeat(last, F.greatest(attempt - GROWS, F.lit(0)))), digest, hexadecimal)
+
+
 def luhn_digit(digits: Column) -> Column:
     """The check digit that makes ``digits`` + it pass the Luhn test."""
     n = F.length(digits)
@@ -154,30 +167,33 @@ def surrogate_of(kind: Column, value: Column, attempt: Column, key: str) -> Colu
     user, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     host_h = _digest(key, F.lit("host"), host)                 # mail of one host stays mail of one host
     tld = F.substring_index(host, ".", -1)
-    email = F.concat(shaped(user, h), F.lit("@"),
+    email = F.concat(_longer(user, h, attempt), F.lit("@"),
                      shaped(F.substring(host, F.lit(1), F.length(host) - F.length(tld)), host_h), tld)
-    body = shaped(F.substring(value, F.lit(1), F.length(value) - 1), h)
+    body = _longer(F.substring(value, F.lit(1), F.length(value) - 1), h, attempt)
     valid = luhn_digit(F.substring(value, F.lit(1), F.length(value) - 1)) == F.substring(value, F.lit(-1), F.lit(1))
     card = F.concat(body, F.when(valid, luhn_digit(body))
                     .otherwise(((luhn_digit(body).cast("int") + 1 + _draw(h, F.lit(30)) % 9) % 10).cast("string")))
     country = F.substring_index(value, "|", 1)
-    phone = F.concat(country, F.lit("|"), country, shaped(
-        F.substring(F.substring_index(value, "|", -1), F.length(country) + 1, F.length(value)), h))
+    phone = F.concat(country, F.lit("|"), country, _longer(
+        F.substring(F.substring_index(value, "|", -1), F.length(country) + 1, F.length(value)), h, attempt))
     octets = F.concat_ws(".", (_draw(h, F.lit(0)) % 126 + 1).cast("string"),
                          *[(_draw(h, F.lit(i)) % 256).cast("string") for i in (1, 2)],
-                         (_draw(h, F.lit(3)) % 254 + 1).cast("string"))
-    account = F.concat(F.substring(value, 1, 2), shaped(F.substring(value, F.lit(3), F.length(value)), h))
+                         (_draw(h, F.lit(3)) % 254 + 1).cast("string"),
+                         F.transform(F.slice(F.sequence(F.lit(3), F.greatest(attempt - GROWS, F.lit(0)) + 3), 2, GROWS + 2**20),
+                                     lambda i: (_draw(h, i) % 256).cast("string")))
+    account = F.concat(F.substring(value, 1, 2), _longer(F.substring(value, F.lit(3), F.length(value)), h, attempt))
     prefix = F.regexp_extract(value, r"^(AKIA|gh[pousr]_|sk-|)", 1)
-    secret = F.concat(prefix, shaped(F.substring(value, F.length(prefix) + 1, F.length(value)), h,
-                                     value.rlike("^([0-9a-f]+|[0-9A-F]+)$")))
-    # a surname of three to four syllables of its script; further attempts add to the choice
+    secret = F.concat(prefix, _longer(F.substring(value, F.length(prefix) + 1, F.length(value)), h, attempt,
+                                      value.rlike("^([0-9a-f]+|[0-9A-F]+)$")))
+    # a name of four syllables of its script; each further attempt adds one
     name = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
         pool = F.array(*[F.lit(s) for s in syllables.split()])
-        made = F.concat(*[F.element_at(pool, _draw(h, F.lit(i)) % len(syllables.split()) + 1) for i in range(4)])
+        made = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 3), lambda i: F.element_at(
+            pool, _draw(h, i) % len(syllables.split()) + 1)), "")
         name = F.when(_script(value) == script, made).otherwise(name)
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone)
-            .when(kind == "social", shaped(value, h)).when(kind == "address", octets)
+            .when(kind == "social", _longer(value, h, attempt)).when(kind == "address", octets)
             .when(kind == "account", account).when(kind == "person", name).otherwise(secret))
 
 
@@ -185,7 +201,8 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): one-to-one and clear of real values.
 
     Rounds: everyone without a surrogate draws; of those who drew the same one the smallest
-    value keeps it, unless it is taken already or occurs as a value; the others draw again.
+    value keeps it, unless it is taken already or occurs as a value; the others draw again, from
+    a space that grows with the attempt, so that the rounds end however many values there are.
     """
     values = settled(values, "values")
     real = values.select("kind", F.col("value").alias("surrogate"))
@@ -218,6 +235,9 @@ def rendered(kind: Column, mention: Column, surrogate: Column, key: str) -> Colu
         c.rlike("[0-9A-Z]") & F.regexp_like(c, counted),
         F.substring(fresh, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: F.regexp_like(d, counted))), F.lit(1)),
     ).otherwise(c)), "")
+    # a surrogate longer than its value goes on after the mention's last place
+    places = F.size(F.filter(chars, lambda c: F.regexp_like(c, counted)))
+    spread = F.concat(spread, F.substring(fresh, places + 1, F.length(fresh)))
     surname = _surname(mention)
     upper = (surname == F.upper(surname)) & (F.length(surname) > 1)
     name = F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate))
