@@ -100,3 +100,24 @@ def test_a_mask_is_no_endless_draw(documents):
     one, two = got[0].text, got[1].text
     assert re.fullmatch(r"password=[a-z]{8} end", one) and two.startswith(one[:17])
     assert re.fullmatch(r".* and secret=[a-z]{6}", two) and got[1].n == 2
+
+
+def test_persons_of_ordinary_text(documents):
+    texts = ["John Smith met Mary Jones. Smith said that Mary's friend, Dr Weber, knows Mr John Smith; SMITH left.",
+             "Prof. Dr. Ludwig van Beethoven and Sir Xu Chen-Li O'Brien. Beethoven wrote, Mary stayed.",
+             "Call 555-123-4567, (555) 123-4567, 555.123.4567 or 030 1234567. On 2024-01-02 at 12.345.678.",
+             "Nobody here: Smith, Jones and Weber."]
+    got = run(documents, texts)
+    t = got[0].text
+    for name in ("John", "Smith", "SMITH", "Mary", "Jones", "Weber"):
+        assert name not in t
+    g, s, m, j, s2, m2, w, g3, s3, up = re.fullmatch(
+        r"(\w+) (\w+) met (\w+) (\w+)\. (\w+) said that (\w+)'s friend, Dr (\w+), knows Mr (\w+) (\w+); (\w+) left\.", t).groups()
+    assert (g, s, m) == (g3, s3, m2) and s == s2 == up.capitalize() and len({g, s, m, j, w}) == 5
+    assert got[0].n == 7
+    assert re.fullmatch(r"Prof\. Dr\. \w+ van (\w+) and Sir \w+ \w+ \w+\. \1 wrote, Mary stayed\.", got[1].text)
+    assert "Xu" not in got[1].text and "Brien" not in got[1].text and "Li" not in got[1].text
+    a, b, c = re.fullmatch(r"Call (\d{3}-\d{3}-\d{4}), (\(\d{3}\) \d{3}-\d{4}), (\d{3}\.\d{3}\.\d{4}) or \d{3} \d{7}\. "
+                           r"On 2024-01-02 at 12\.345\.678\.", got[2].text).groups()
+    assert "4567" not in got[2].text and len({re.sub(r"\D", "", x) for x in (a, b, c)}) == 1
+    assert (got[3].text, got[3].n) == (texts[3], 0)

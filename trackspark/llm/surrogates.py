@@ -6,11 +6,15 @@ is drawn from a keyed digest: digits for digits, letters for letters of the same
 from names of the same gender and script, check digits valid where they were. Surrogates are
 then checked over the whole corpus: two values of a type never share one, and none equals a
 value that occurs. Losers draw again until all are distinct. Each mention is rendered from
-its value's surrogate in its own writing and put in its place.
+its value's surrogate in its own writing and put in its place. A person is found by a title or
+a given name of a list, with the capitalised words that follow; every word of the name has its
+own surrogate, which also replaces the word where it stands alone in the same text. Persons
+without a title or a listed given name anywhere in the text are not found.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +33,61 @@ GIVEN = {
     ("f", "greek"): ["Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία", "Χριστίνα"],
     ("m", "greek"): ["Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"],
 }
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame"], "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur"]}
+# Further names by which persons are recognised.
+KNOWN = {
+    ("f", "latin"): """Abigail Ada Adele Agnes Aisha Alexandra Alicia Alina Alison Amanda Amelia Amy Ana Andrea Angela Anita Anja
+        Ann Anne Annette Annie Antonia Ashley Astrid Audrey Barbara Beatrice Beatriz Bella Bernadette Beth Betty Bianca Birgit
+        Bridget Brigitte Camila Camille Carmen Carol Caroline Catherine Cecilia Chantal Charlotte Chiara Chloe Christina
+        Christine Claire Clara Claudia Colette Cynthia Daniela Danielle Deborah Denise Diana Diane Dolores Donna Doris Dorothy
+        Edith Eleanor Elisabeth Elise Elizabeth Ella Ellen Elsa Emilia Emily Erika Esther Eva Evelyn Fatima Fiona Franziska
+        Frances Francesca Frida Gabriela Gabriele Gertrud Gina Giulia Gloria Hanna Hannah Harriet Heather Heidi Heike Helena
+        Helga Hilda Ida Ilse Ines Irene Irina Iris Isabel Isabella Jacqueline Jana Jane Janet Janice Jean Jennifer Jessica Joan
+        Joanna Josephine Joyce Juana Judith Judy Julie Karen Karin Katarina Kate Katharina Katherine Kathleen Katie Katrin
+        Kelly Kimberly Kirsten Lara Lea Leila Lena Leonie Lily Linda Lisa Lois Lorena Louise Lucia Lucy Luisa Lydia Magdalena
+        Margaret Margarita Margot Maria Marie Marina Marion Marlene Marta Martha Martina Mary Mathilde Megan Melanie Melissa
+        Mia Michelle Mila Monica Monika Nadia Nancy Natalia Natalie Natasha Nicole Nina Olga Olivia Pamela Patricia Petra
+        Pilar Priya Rachel Rebecca Regina Renate Rita Rosa Rosemary Ruth Sabine Samantha Sandra Sara Sharon Shirley Silvia
+        Simone Sonia Sophia Sophie Stefanie Stella Stephanie Susan Susanne Sylvia Tamara Tanja Tanya Tatiana Theresa Tina Ursula
+        Valentina Valerie Vanessa Vera Veronica Vivian Wendy Xiulan Yolanda Yvonne Zoe""",
+    ("m", "latin"): """Aaron Abdul Abraham Adrian Ahmed Alan Albert Alberto Alejandro Alessandro Alex Alexander Alfred Ali Allan
+        Alvaro Andre Andreas Andrew Andy Angelo Anthony Antoine Antonio Arnold Arthur Arturo Axel Barry Bastian Ben Benjamin
+        Bernard Bernd Bernhard Bill Bjorn Bob Brandon Brian Bruce Bryan Carl Charles Charlie Chris Christian Christoph
+        Christopher Claude Claus Colin Craig Curtis Dan Daniel Danny Dave Dennis Derek Detlef Diego Dieter Dietrich Dirk
+        Dmitri Dominik Donald Douglas Eberhard Eduardo Edward Edwin Emil Enrique Eric Erich Erik Ernest Ernst Ethan Eugene
+        Fabian Federico Ferdinand Fernando Florian Francesco Francis Francisco Franz Fred Frederick Friedrich Fritz Gabriel
+        Gareth Gary Geoffrey Georg George Gerald Gerard Gerhard Giorgio Giovanni Giuseppe Gordon Graham Greg Gregory
+        Guillaume Gunther Gustav Guy Hans Harald Harold Harry Hassan Heinrich Heinz Helmut Herbert Hermann Horst Howard Hugo Ian
+        Ibrahim Isaac Ivan Jack Jacob Jacques Jaime Jakob James Jan Jason Javier Jeff Jeffrey Jens Jeremy Jerome Jerry Jesse Jim
+        Jimmy Joachim Joe Joel Johan Johann Johannes John Johnny Jonathan Jorge Jose Josef Joseph Joshua Juan Julian Julien
+        Jurgen Justin Kai Keith Ken Kenneth Kevin Klaus Konrad Kurt Larry Lars Laurent Lawrence Leo Leon Leonard Leonardo Lorenzo
+        Luca Lucas Ludwig Luigi Luis Lukas Luke Magnus Manfred Manuel Marc Marcel Marco Marcus Mario Mark Markus Mathias Matt
+        Matteo Matthew Matthias Max Maximilian Michael Michel Miguel Mike Mohamed Mohammed Moritz Muhammad Nathan Neil Nicholas
+        Nick Nicolas Nigel Nikolai Nils Noah Norbert Norman Olaf Oliver Olivier Omar Otto Pablo Paolo Pascal Patrick Paul Pedro
+        Philip Philipp Pierre Rafael Ralf Ralph Ramon Raymond Reinhard Ricardo Richard Rick Roberto Rodrigo Roger Roland Rolf
+        Roman Ronald Ross Roy Rudolf Russell Ryan Salvatore Sam Samuel Scott Sean Sebastian Sergei Sergio Siegfried Simon Stefan
+        Stephen Steve Steven Stuart Sven Terry Theo Theodor Theodore Tim Timothy Tobias Todd Tom Tommy Tony Ulrich Uwe Vincent
+        Vladimir Walter Wayne Werner Wilhelm William Wolfgang Xavier Yusuf Zachary""",
+    ("f", "cyrillic"): """Александра Алина Алла Анастасия Валентина Валерия Вероника Виктория Галина Евгения Екатерина Елизавета Зоя
+        Инна Ксения Лариса Лидия Людмила Маргарита Марина Надежда Наталья Оксана Полина Светлана София Татьяна Юлия Яна""",
+    ("m", "cyrillic"): """Александр Алексей Анатолий Андрей Артём Артем Вадим Валентин Валерий Василий Виталий Владимир Вячеслав Геннадий
+        Георгий Григорий Денис Евгений Егор Игорь Илья Кирилл Константин Леонид Максим Николай Никита Петр Пётр Роман Сергей
+        Степан Фёдор Юрий Ярослав""",
+    ("f", "greek"): "Αικατερίνη Αναστασία Βασιλική Γεωργία Δήμητρα Ευαγγελία Ιωάννα Κατερίνα Παρασκευή",
+    ("m", "greek"): "Αθανάσιος Ανδρέας Βασίλης Γεώργιος Γιάννης Δημήτριος Ιωάννης Κωνσταντίνος Μιχάλης Νικόλαος Παναγιώτης Σπύρος",
+}
+#: All given names by which persons are recognised.
+GIVEN_NAMES = {group: list(dict.fromkeys([*names, *KNOWN[group].split()])) for group, names in GIVEN.items()}
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Lady", "Signora", "Sra", "госпожа", "Κυρία"],
+          "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur", "Sir", "Lord", "Signor", "Sr", "господин", "Κύριος"],
+          "n": ["Dr", "Doctor", "Prof", "Professor", "Mx", "Rev", "Reverend", "Judge", "Senator", "Captain", "Capt", "Dra", "Dott"]}
+#: Words between the parts of a name, and capitalised words that are no part of one.
+PARTICLES = "von van der den de del della di da dos du la le bin ibn al ter zu zum zur".split()
+NO_NAMES = """A About According After All Although Also An And Any Apache April Are As At August Because Before But By CC Call
+    Copyright Contact Creative December Der Die Das During Each Email February For Friday From GNU GPL Has Have He Her Here Hers
+    His How However I If In Is It Its January July June Licensed License Mail March May MIT Monday Neither No Nor Not November
+    October Of On Or Our Permission Phone Released Said Saturday See September She Since So Sunday Tel That The Their Then There
+    These They This Those Thursday To Tuesday Und Until Was We Wednesday Were What When Where Which While Who Why Will With
+    Would You Your""".split()
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ha ka ke la le lo ma me mo na ne ra re ro sa se ta te to va vo wa ze",
     "cyrillic": "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на но ра ро са со та то фа ха ша",
@@ -41,15 +99,32 @@ GROWS = 2
 
 _FREE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
-_NAMES = "|".join(n for names in GIVEN.values() for n in names)
-_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
-_SURNAME = r"\p{Lu}\p{L}+(?:[-']\p{Lu}\p{L}+)?"
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words by common beginnings, longer ones first: few steps at a place where none stands."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    found = [c + (_any_of(rest) if any(rest) else "") for c, rest in sorted(tails.items())]
+    return f"(?:{'|'.join(found)})" + ("?" if "" in words else "")
+
+
+_NAMES = _any_of([n for names in GIVEN_NAMES.values() for n in names])
+_TITLES = _any_of([t for titles in TITLES.values() for t in titles])
+#: One word of a name: with its prefix or second half, and as the next part of a name with what may precede it.
+WORD = r"(?<![\p{L}\p{N}])(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)?(?![\p{L}\p{N}])"
+_PART = rf"(?!{_any_of(NO_NAMES)}(?![\p{{L}}\p{{N}}])){WORD}"
+_NEXT = rf" (?:\p{{Lu}}\.? ){{0,2}}(?:{_any_of(PARTICLES)} ){{0,2}}{_PART}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "address": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
-             r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+             r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+             r"|(?<![\p{L}0-9+.-])(?:1[ .-])?[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9]|[.-][0-9])"
+             r"|(?<![\p{L}0-9+.-])\(?0[1-9][0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,4}(?:[ -]?[0-9]{2,4}){1,2}(?![0-9]|[.-][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "account": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
@@ -57,12 +132,13 @@ PATTERNS = {
               rf"|{_FREE}AKIA[0-9A-Z]{{16}}{_END}|{_FREE}gh[pousr]_[A-Za-z0-9]{{36}}{_END}"
               rf"|{_FREE}sk-[A-Za-z0-9]{{20,}}{_END}"
               rf"|{_FREE}(?=[a-fA-F]*[0-9])(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}}){_END}",
-    "person": rf"(?=\p{{Lu}}){_FREE}(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}){_END}",
+    "person": rf"(?=\p{{Lu}}|госпо){_FREE}(?:(?:{_TITLES}\.? )+(?:\p{{Lu}}\.? ){{0,2}}(?:{_any_of(PARTICLES)} ){{0,2}}{_PART}(?:{_NEXT}){{0,3}}"
+              rf"|{_NAMES}(?:{_NEXT}){{1,3}})",
 }
 #: Order of preference where two types could match at one place.
 ORDER = ["email", "secret", "account", "phone", "social", "address", "card", "person"]
 ENTITY = "|".join(PATTERNS[t] for t in ORDER)
-_TITLED = rf"^(?:(?:{_TITLES})\.? )?"
+_TITLED = rf"^(?:{_TITLES}\.? )*"
 
 def suspect(text: Column) -> Column:
     """Whether a text can hold an entity at all: every pattern needs one of these.
@@ -91,8 +167,36 @@ def kind_of(mention: Column) -> Column:
     return chain.otherwise("secret")
 
 
-def _surname(mention: Column) -> Column:
-    return F.regexp_extract(mention, rf"({_SURNAME})$", 1)
+def name_words(mention: Column) -> Column:
+    """The words of a person's name, in lower case and without titles."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(
+        F.regexp_replace(mention, _TITLED, ""), F.lit(WORD), F.lit(0)), F.lower))
+
+
+def given_surrogates(key: str) -> dict[str, str]:
+    """Given names in lower case to their surrogates: keyed rotations, one-to-one within gender and script."""
+    out: dict[str, str] = {}
+    for names in [*GIVEN.values(), *[[n for n in names if n not in GIVEN[g]] for g, names in GIVEN_NAMES.items()]]:
+        shift = int(hashlib.sha512("\u0001".join([key, "given", names[0]]).encode()).hexdigest()[:4], 16) % (len(names) - 1) + 1
+        for i, n in enumerate(names):
+            out.setdefault(n.lower(), names[(i + shift) % len(names)])
+    return out
+
+
+def renamed(text: Column, names: Column) -> Column:
+    """``text`` with the words that ``names`` (lower case to surrogate) holds exchanged, in their own case."""
+    def fresh(w: Column) -> Column:
+        new = F.element_at(names, F.lower(w))
+        return F.coalesce(F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(new)).otherwise(new), w)
+    swapped = F.array_join(F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+                                      lambda gap, w: F.concat(gap, F.coalesce(fresh(w), F.lit("")))), "")
+    return F.when(F.size(names) > 0, swapped).otherwise(text)
+
+
+def bare_names(text: Column, names: Column) -> Column:
+    """How many words of ``text`` are names of ``names``."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.when(F.size(names) > 0, F.size(F.filter(words, lambda w: F.element_at(names, F.lower(w)).isNotNull()))).otherwise(0)
 
 
 def canonical_of(kind: Column, mention: Column) -> Column:
@@ -102,7 +206,6 @@ def canonical_of(kind: Column, mention: Column) -> Column:
             .when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.regexp_extract(mention, r"^\+([0-9]+)", 1))
                                             .otherwise(""), F.lit("|"), digits))
             .when(kind == "account", F.regexp_replace(mention, " ", ""))
-            .when(kind == "person", F.lower(_surname(mention)))
             .otherwise(mention))
 
 
@@ -225,7 +328,7 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
             return reduce(DataFrame.unionByName, done)
 
 
-def rendered(kind: Column, mention: Column, surrogate: Column, key: str) -> Column:
+def rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the writing of one mention."""
     fresh = F.when(kind == "phone", F.substring_index(surrogate, "|", -1)).otherwise(surrogate)
     # the i-th digit or letter of the mention becomes the i-th of the surrogate
@@ -238,20 +341,7 @@ def rendered(kind: Column, mention: Column, surrogate: Column, key: str) -> Colu
     # a surrogate longer than its value goes on after the mention's last place
     places = F.size(F.filter(chars, lambda c: F.regexp_like(c, counted)))
     spread = F.concat(spread, F.substring(fresh, places + 1, F.length(fresh)))
-    surname = _surname(mention)
-    upper = (surname == F.upper(surname)) & (F.length(surname) > 1)
-    name = F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    given = F.regexp_extract(mention, rf"{_TITLED}({_NAMES}) ", 1)
-    title = F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1)
-    other = F.lit("")
-    for (_, _), names in GIVEN.items():
-        # a keyed rotation of the list is one-to-one and keeps gender and script
-        shift = _draw(_digest(key, F.lit("given"), F.lit(names[0])), F.lit(0)) % (len(names) - 1) + 1
-        pool = F.array(*[F.lit(n) for n in names])
-        place = F.array_position(pool, given).cast("int")
-        other = F.when(place > 0, F.concat(F.element_at(pool, (place - 1 + shift) % len(names) + 1), F.lit(" "))).otherwise(other)
-    return (F.when(kind == "person", F.concat(title, other, name))
-            .when(kind.isin("card", "social", "phone", "account"), spread)
+    return (F.when(kind.isin("card", "social", "phone", "account"), spread)
             .when((kind == "email") & (mention == F.upper(mention)), F.upper(surrogate))
             .otherwise(surrogate))
 
@@ -269,22 +359,37 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
         .select("_fp", F.explode(F.array_distinct("m")).alias("mention")).distinct(), "mentions")
     kinds = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
     kinds = settled(kinds.withColumn("value", canonical_of(F.col("kind"), F.col("mention"))), "kinds")
-    surrogates = distinct_surrogates(kinds.select("kind", "value").distinct(), key)
+    # a person is replaced by the words of the name, so that each stands for itself elsewhere in the text
+    words = kinds.filter("kind = 'person'").select("mention", F.explode(name_words(F.col("mention"))).alias("value"))
+    others = kinds.filter("kind <> 'person'")
+    table = F.create_map(*[F.lit(x) for pair in given_surrogates(key).items() for x in pair])
+    words = settled(words.withColumn("given", F.element_at(table, F.col("value"))), "words")
+    surrogates = distinct_surrogates(
+        others.select("kind", "value").unionByName(
+            words.filter(F.col("given").isNull()).select(F.lit("person").alias("kind"), "value")).distinct(), key)
+    names = (words.join(surrogates.filter("kind = 'person'").select("value", "surrogate"), "value", "left")
+             .select("mention", F.lit(True).alias("name"), F.col("value").alias("was"),
+                     F.coalesce("given", F.initcap("surrogate")).alias("fresh")))
     texts = settled(
-        kinds.join(surrogates, ["kind", "value"])
-        .select("mention", rendered(F.col("kind"), F.col("mention"), F.col("surrogate"), key).alias("fresh")), "fresh")
+        others.join(surrogates, ["kind", "value"])
+        .select("mention", F.lit(False).alias("name"), F.col("mention").alias("was"),
+                rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("fresh")).unionByName(names), "fresh")
     # what a text needs, by the fingerprint of the text: copies need it once
+    pair = F.struct("was", "fresh")
     needed = settled(found.join(texts, "mention").groupBy("_fp")
-                     .agg(F.map_from_entries(F.collect_list(F.struct("mention", "fresh"))).alias("_fresh")),
-                     "needed", found, texts, kinds)
+                     .agg(F.map_from_entries(F.collect_set(F.when(~F.col("name"), pair))).alias("_fresh"),
+                          F.map_from_entries(F.collect_set(F.when(F.col("name"), pair))).alias("_names")),
+                     "needed", found, texts, kinds, words)
     keep = [c for c in docs.columns if c != counts]
     here = mentions(F.col(text_col))
     # only texts with entities meet the table of surrogates; the others stay where they are
     touched = docs.filter(F.size(here) > 0).select(*keep, fp.alias("_fp")).join(needed, "_fp")
-    rebuilt = F.array_join(F.zip_with(
-        F.split(F.col(text_col), ENTITY, -1), here,
-        lambda part, m: F.concat(part, F.coalesce(F.element_at("_fresh", m), m, F.lit("")))), "")
+    gaps = F.split(F.col(text_col), ENTITY, -1)
+    names = F.col("_names")
+    rebuilt = F.array_join(F.zip_with(gaps, here, lambda part, m: F.concat(
+        renamed(part, names), F.coalesce(F.element_at("_fresh", m), renamed(m, names), F.lit("")))), "")
+    count = F.size(here) + F.aggregate(gaps, F.lit(0), lambda n, part: n + bare_names(part, names))
     changed = touched.select(*[rebuilt.alias(c) if c == text_col else F.col(c) for c in keep],
-                             *[F.size(here).alias(c) for c in [counts] if c])
+                             *[count.alias(c) for c in [counts] if c])
     same = docs.filter(F.size(here) == 0).select(*keep, *[F.lit(0).alias(c) for c in [counts] if c])
     return changed.unionByName(same)
