@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trackspark.session import cut_lineage, discard, shared_dir, ship_package
 
 __all__ = [
-    "cut_lineage", "discard", "shared_dir", "table", "settled", "keyed", "components", "pieces", "utf8",
+    "cut_lineage", "discard", "shared_dir", "table", "settled", "free_name", "keyed", "components", "pieces", "utf8",
     "word_bounds", "word_hashes", "powers", "WHITE", "BENCH_SEPARATORS",
 ]
 
@@ -45,6 +45,13 @@ def settled(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
     return out
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until none of ``taken`` has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_fp, text): the two columns an operator needs and a fingerprint of the text.
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import arc, bpe, chosenpath, licenses, recompression, sharding, suffix, surrogates, topk, toxicity
+from trackspark.llm import (
+    arc, bpe, chosenpath, crossparse, fim, licenses, recompression, reversed_search, sharding, suffix, surrogates,
+    topk, toxicity,
+)
 from trackspark.llm.common import table
 
 
@@ -97,6 +100,28 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut by lines into prefix, middle and suffix, and put back."""
+    docs = fim.restored(fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; languages of the held-out fold are not read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return crossparse.identified(docs.drop("lang"), crossparse.fit(docs)).select(
+        "doc_id", crossparse.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_recompression, op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op5_surrogates, op6_suffix_automaton, op7_license_rules, op8_chosen_path, op9_toxic_segments, op10_exact_shards)
+    f.__name__: f for f in (
+        op1_recompression, op2_pivot_topk, op3_chunked_bpe, op4_legacy_archives, op5_surrogates, op6_suffix_automaton,
+        op7_license_rules, op8_chosen_path, op9_toxic_segments, op10_exact_shards, op11_fill_in_middle,
+        op12_reversed_search, op13_cross_parsing)
 }
