@@ -94,4 +94,11 @@ def test_sieve_keeps_every_row_that_may_link():
             for i in range(60)]
     assert C.sifted(nodes, parts, paths, 14).tolist() == want
     assert C.sifted(nodes[:0], parts[:0], paths[:0], 14).tolist() == []
-    assert 3 < C.least_agreement(80) < C.least_agreement(85) < 12
+
+
+def test_sieve_misses_less_than_its_bound():
+    from math import comb
+    for share in (80, 85, 95):
+        p, k = (share / 100) ** 2, C.least_agreement(share)
+        fewer = [sum(comb(C.TREES, i) * p ** i * (1 - p) ** (C.TREES - i) for i in range(n)) for n in (k, k + 1)]
+        assert fewer[0] <= C.MISS < fewer[1]
