@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackspark.llm.common import settled
+
 CHUNK = 1 << 15
 OVERLAP = 512
 MARGIN = 4
@@ -76,11 +79,20 @@ def flat(ids: list[list[int]]) -> np.ndarray:
     return np.fromiter((i for part in ids for i in part), "<u4")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def codec(rank_file: str, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
+@contextmanager
+def lent(rank_file: str, pattern: str) -> Iterator[Codec]:
+    """The codec for one partition; after it the worker, which later stages use again, forgets it."""
+    try:
+        yield codec(rank_file, pattern)
+    finally:
+        codec.cache_clear()
+
+
 def encoded_chunk(c: Codec, text: str, start: int, last: bool) -> tuple[bytes, bytes, bytes]:
     """(ids, boundaries, ids before each boundary) of one chunk, boundaries as text positions.
 
@@ -139,11 +151,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     @F.pandas_udf(f"struct<{','.join(':'.join(f.split()) for f in returns.split(','))}>")
     def whole(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(rank_file, pattern)
-        for part in texts:
-            yield pd.DataFrame([fold(c, iter([c.encode(t or "")])) for t in part], columns=names)
+        with lent(rank_file, pattern) as c:
+            for part in texts:
+                yield pd.DataFrame([fold(c, iter([c.encode(t or "")])) for t in part], columns=names)
 
-    rows = long.withColumn("_row", F.monotonically_increasing_id())
+    # written once: both sides of the join below must see the same numbers, also after a lost executor
+    rows = settled(long.withColumn("_row", F.monotonically_increasing_id()), "long_texts")
     cut_schema = "row long, at int, start long, last boolean, text string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +170,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
                     "text": [text[s:s + CHUNK + OVERLAP] if s != starts[-1] else text[s:] for s in starts]})
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(rank_file, pattern)
-        for batch in batches:
-            text, start, last = (batch.column(i).to_pylist() for i in (4, 2, 3))
-            done = [encoded_chunk(c, *x) for x in zip(text, start, last)]
-            out = [batch.column(i) for i in (0, 1, 2, 4)] + [pa.array(x, pa.binary()) for x in zip(*done)]
-            yield pa.RecordBatch.from_arrays(out, ["row", "at", "start", "text", "ids", "ends", "counts"])
+        with lent(rank_file, pattern) as c:
+            for batch in batches:
+                text, start, last = (batch.column(i).to_pylist() for i in (4, 2, 3))
+                done = [encoded_chunk(c, *x) for x in zip(text, start, last)]
+                out = [batch.column(i) for i in (0, 1, 2, 4)] + [pa.array(x, pa.binary()) for x in zip(*done)]
+                yield pa.RecordBatch.from_arrays(out, ["row", "at", "start", "text", "ids", "ends", "counts"])
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         c = codec(rank_file, pattern)

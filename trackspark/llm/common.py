@@ -23,7 +23,7 @@ WHITE = [0x20, *range(0x09, 0x0E)]
 BENCH_SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,7 +162,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(max(n, 1 << 18), step, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 1 << 23:
+        if len(have) <= 1 << 19:             # of longer texts nothing is kept: workers are used again
             _POWERS[(base, inverse)] = have
     return have[:n]
 
