@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("spatial_queries", "edge_queries", "experiment_queries", "link_queries",
-            "volume_queries", "repair_queries", "text_queries",
+            "volume_queries", "block_queries", "repair_queries", "text_queries",
             "plan_queries")
 
 
