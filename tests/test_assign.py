@@ -54,6 +54,42 @@ def test_optional_and_fullest_matching(seed):
         max(weight[list(m)].sum() for m in options if len(m) == size))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000))
+def test_pair_components(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 40))
+    left, right = rng.integers(0, 25, n), rng.integers(0, 25, n)
+    got = assign.pair_components(left, right)
+    ends = {}
+
+    def root(x):
+        while ends.setdefault(x, x) != x:
+            x = ends[x]
+        return x
+
+    for a, b in zip(left, right):
+        ends[root(("l", a))] = root(("r", b))
+    want = [root(("l", a)) for a in left]
+    assert [[x == y for y in got] for x in got] == [[x == y for y in want] for x in want]
+
+
+def test_matching_of_a_large_sparse_frame():
+    """50,000 sources with a few candidates each never meet in one matrix."""
+    n = 50_000
+    rng = np.random.default_rng(0)
+    left = np.repeat(np.arange(n), 2)
+    right = left + np.tile([0, 1], n) * (left % 3 < 2)
+    left, right = np.unique(np.stack([left, right]), axis=1)
+    weight = rng.random(len(left)) + 0.1
+    got = assign.heaviest_matching(left, right, weight)
+    assert len(set(left[got])) == len(got) == len(set(right[got]))
+    for block in range(0, 300, 3):
+        own = np.flatnonzero((left >= block) & (left < block + 3))
+        options = all_matchings(list(zip(left[own], right[own])))
+        assert weight[np.intersect1d(own, got)].sum() == pytest.approx(max(weight[own[list(m)]].sum() for m in options))
+
+
 def random_pairs(spark, seed, frames=3, side=5, share=0.4):
     rng = np.random.default_rng(seed)
     rows = [("a", t, l, 100 + r, float(rng.random() + 0.1))

@@ -105,8 +105,42 @@ def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n), col_of
 
 
+def pair_components(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number per candidate pair that pairs share if a chain of common ends joins them."""
+    lu, li = np.unique(left, return_inverse=True)
+    ru, ri = np.unique(right, return_inverse=True)
+    ri = ri + len(lu)
+    root = np.arange(len(lu) + len(ru))
+    while True:
+        a, b = root[li], root[ri]
+        if np.array_equal(a, b):
+            return a
+        # hook the higher root below the lower one, then let every end point at its root
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def heaviest_matching(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of the candidate pairs of greatest total weight, each end used once at most."""
+    """Indices of the candidate pairs of greatest total weight, each end used once at most.
+
+    Components of the candidates are solved one by one, so the largest cost matrix is that
+    of a component, not of all ends.
+    """
+    part = pair_components(left, right)
+    order = np.argsort(part, kind="stable")
+    bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+    sizes = np.diff(bounds)
+    chosen = [order[bounds[:-1][sizes == 1]]]
+    for a, b in zip(bounds[:-1][sizes > 1], bounds[1:][sizes > 1]):
+        own = order[a:b]
+        chosen.append(own[_heaviest(left[own], right[own], weight[own])])
+    chosen = np.concatenate(chosen)
+    return np.sort(chosen[weight[chosen] > 0])
+
+
+def _heaviest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
     lu, li = np.unique(left, return_inverse=True)
     ru, ri = np.unique(right, return_inverse=True)
     index = np.full((len(lu), len(ru)), -1)
@@ -115,8 +149,7 @@ def heaviest_matching(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -
     cost[li, ri] = -np.maximum(weight, 0.0)
     rows, cols = cheapest_assignment(cost)
     chosen = index[rows, cols]
-    chosen = chosen[chosen >= 0]
-    return np.sort(chosen[weight[chosen] > 0])
+    return chosen[chosen >= 0]
 
 
 def fullest_matching(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -164,6 +164,55 @@ def online_links(i: Inputs):
     return i.spark.read.parquet(path).select("dataset", "t", "source_id", "target_id", r6("d"))
 
 
+def _split_files(i: Inputs, name: str) -> tuple[str, int]:
+    """The detections as five files of frames that overlap, and the instant of frame 0.
+
+    Odd nodes of every fifth frame are in the file after the even ones, so frames are split over
+    the batches of a stream that reads one file at a time. The last file only moves the watermark.
+    """
+    path = _out(i, name)
+    rows = _detections(i.events).withColumn("_file", F.floor((F.col("t") + F.col("node_id") % 2) / 5).cast("int"))
+    start = 1_704_067_200
+    end = i.spark.range(1).select(
+        F.lit("~").alias("dataset"), F.lit(-1).cast("bigint").alias("node_id"), F.lit(-2).cast("bigint").alias("t"),
+        *[F.lit(0.0).alias(a) for a in "zyx"], F.timestamp_seconds(F.lit(start + 86_400)).alias("ts"))
+    for k in range(6):
+        part = rows.where(F.col("_file") == k).drop("_file") if k < 5 else end
+        part.select(*end.columns).coalesce(1).write.mode("append").parquet(path)
+    return path, start * 1000
+
+
+def _linked_in_batches(i: Inputs, name: str):
+    from trackspark.streaming.linker import online_links, run_stateful
+    source, start = _split_files(i, f"{name}-files")
+    stream = (i.spark.readStream.schema(i.spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1)
+              .parquet(source))
+    path = _out(i, name)
+    batches = run_stateful(online_links(stream, 9.0, start), path)
+    return source, i.spark.read.parquet(f"{path}/batch=*"), batches
+
+
+@query("st2_stateful_links", "ST2", ctes("pred") + f"""
+SELECT dataset, t, source_id, target_id, round(d, 6) AS d, true AS in_batches FROM ({nearest_sql('pred', 9)}) n""")
+def stateful_links(i: Inputs):
+    """The same links from frames that are split over the batches of a stream."""
+    _, links, batches = _linked_in_batches(i, "stateful")
+    return links.select("dataset", "t", "source_id", "target_id", r6("d"), F.lit(batches >= 6).alias("in_batches"))
+
+
+@query("st1_stateful_rows", "ST1", ctes("pred") + f"""
+SELECT dataset, 'node' AS row_type, node_id, t, CAST(round_even(z, 0) AS BIGINT) AS z, CAST(round_even(y, 0) AS BIGINT) AS y,
+  CAST(round_even(x, 0) AS BIGINT) AS x, CAST(-1 AS BIGINT) AS source_id, CAST(-1 AS BIGINT) AS target_id FROM pred
+UNION ALL SELECT dataset, 'edge', -1, -1, -1, -1, -1, source_id, target_id FROM ({nearest_sql('pred', 9)}) n""")
+def stateful_rows(i: Inputs):
+    """Submission rows of a stream; links across batches are there as well."""
+    from trackspark.operators.submission import flat_rows
+    source, links, _ = _linked_in_batches(i, "stateful-rows")
+    nodes = i.spark.read.parquet(source).where("t >= 0").select("dataset", "node_id", "t", "z", "y", "x")
+    edges = links.select("dataset", F.col("source_id").alias("edge_id"), "source_id", "target_id")
+    return flat_rows(nodes, edges).drop("_kind", "_ord")
+
+
 @query("st3_online_motion_links", "ST3")
 def online_motion_links(i: Inputs):
     path = _out(i, "motion")
