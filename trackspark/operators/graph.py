@@ -237,8 +237,7 @@ def check_graph(nodes: DataFrame, edges: DataFrame, allow_divisions: bool = Fals
     limit = 2 if allow_divisions else 1
     size = nodes.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.isnan("z") | F.isnan("y") | F.isnan("x")
-                   | (F.abs(F.col("z") + F.col("y") + F.col("x")) == float("inf")))
+        F.count_if(F.greatest(*[F.abs(F.nanvl(F.col(a).cast("double"), F.lit(float("inf")))) for a in "zyx"]) == float("inf"))
         .alias("non_finite"))
     bounds = edges.groupBy("dataset").agg(
         F.min(F.least("source_id", "target_id")).alias("_lo"),

@@ -429,6 +429,25 @@ def submission_check(i: Inputs):
     return submission.validate(rows, i.names, i.budgets).withColumn("detail", F.round("detail", 6))
 
 
+@query("s9_published_submission", "S9 S8 G14", _FLAT + """,
+n AS (SELECT *, row_number() OVER (ORDER BY dataset, k, o) - 1 AS id FROM flat)
+SELECT dataset, CAST(sum(1 - k) AS BIGINT) AS node_rows, CAST(sum(k) AS BIGINT) AS edge_rows, CAST(min(id) AS BIGINT) AS first_id,
+  CAST(max(id) AS BIGINT) AS last_id, true AS readable, CAST(1 AS BIGINT) AS release FROM n GROUP BY dataset""")
+def published_submission(i: Inputs):
+    """The submission as written, audited and read back from its release."""
+    import uuid
+
+    from trackspark.operators import publish
+    from trackspark.session import shared_dir
+    path = f"{shared_dir(i.spark)}/releases-{uuid.uuid4().hex}"
+    rows = submission.build_submission(*graph.densify(i.pred, i.raw_edges))
+    publish.publish(rows, path, i.pred, i.budgets)
+    back = publish.manifest(publish.read_published(i.spark, path))
+    kept = publish.releases(i.spark, path).select("dataset", "release", F.col("content").alias("_c"))
+    return back.join(kept, "dataset").select(
+        "dataset", "node_rows", "edge_rows", "first_id", "last_id", (F.col("content") == F.col("_c")).alias("readable"), "release")
+
+
 @query("s14_run_stats", "S14 A26", ctes("raw_edges", "pred") + "," + _DEG + """
 SELECT dataset, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(od) AS BIGINT) AS edges,
   CAST(sum(CASE WHEN od >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS division_like_sources,
