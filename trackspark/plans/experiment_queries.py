@@ -513,3 +513,22 @@ def report_json(i: Inputs):
     return text.groupBy("arm").agg(
         F.count("j").alias("n"),
         F.count(F.get_json_object("j", "$.edge_jaccard").cast("double")).alias("kept"))
+
+
+@query("x8_metric_reactions", "X8", ctes("gt", "gt_edges") + """,
+d AS (SELECT DISTINCT dataset FROM gt),
+n AS (
+  SELECT dataset, 'free_point' AS defect, count(*) AS c FROM gt WHERE (node_id * 7919 + 1) % 5 = 0 GROUP BY 1
+  UNION ALL SELECT dataset, k, count(*) FROM gt_edges, (VALUES ('repeated_link'), ('missing_link'), ('stray_link')) v(k)
+    WHERE (source_id * 7919 + 1) % 5 = 0 GROUP BY 1, 2
+  UNION ALL SELECT g.dataset, 'bridge', count(*) FROM gt g JOIN gt_edges a ON a.dataset=g.dataset AND a.target_id=g.node_id
+    JOIN gt_edges b ON b.dataset=g.dataset AND b.source_id=g.node_id WHERE g.t % 3 = 1 AND (g.node_id * 7919 + 1) % 5 = 0 GROUP BY 1
+), e(defect, tp, fp, fn, nodes) AS (VALUES ('free_point', 0, 0, 0, 1), ('repeated_link', 0, 0, 0, 0), ('missing_link', -1, 0, 1, 0),
+  ('stray_link', 0, 1, 0, 1), ('bridge', -2, 0, 2, 0)),
+r AS (SELECT d.dataset, e.*, CAST(coalesce(n.c, 0) AS BIGINT) AS c FROM d CROSS JOIN e LEFT JOIN n ON n.dataset=d.dataset AND n.defect=e.defect)
+SELECT dataset, defect, c AS injected, c*tp AS d_tp, c*fp AS d_fp, c*fn AS d_fn, c*nodes AS d_nodes,
+  c*tp AS expected_tp, c*fp AS expected_fp, c*fn AS expected_fn, c*nodes AS expected_nodes FROM r""")
+def metric_reactions(i: Inputs):
+    """How the score's counts move per injected defect, measured and as expected."""
+    from trackspark.operators import perturb
+    return perturb.reaction(i.gt, i.gt_edges)
