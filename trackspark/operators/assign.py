@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from trackspark.functions.geometry import with_um
 from trackspark.operators.graph import connected_components
+from trackspark.operators.pricing import link_priced
 from trackspark.operators.spatial import as_sources, link_candidates, next_frame, range_join
 from trackspark.schema import DEFAULT_SCALE, MATCH_RADIUS_UM
 from trackspark.session import cut_lineage, discard, is_empty
@@ -375,6 +376,8 @@ def link_optimal(nodes: DataFrame, radius: float, mode: str = "full") -> DataFra
     * full: the smaller frame is assigned as a whole at least total distance, far pairs
       included, and links longer than ``radius`` are dropped afterwards. A frame pair is one
       group with its cost matrix, so this mode is for frames that fit a task.
+    * priced: the same optimum from near pairs only, more of them added where the dual prices of
+      the solution call for it (``pricing.link_priced``). For frames of any size.
     * gated: only pairs within ``radius`` count; as many links as possible, and among those
       the least total distance. Solved by components of the candidates at any size.
     """
@@ -382,8 +385,10 @@ def link_optimal(nodes: DataFrame, radius: float, mode: str = "full") -> DataFra
         pairs = link_candidates(nodes, radius).withColumn("_w", F.lit(float(radius)) - F.col("d"))
         found = max_weight_matching(pairs, ["dataset", "t"], "source_id", "target_id", "_w", fullest=True)
         return found.select("dataset", "t", "source_id", "target_id", "d")
+    if mode == "priced":
+        return link_priced(nodes, radius)
     if mode != "full":
-        raise ValueError(f"mode {mode!r}: full or gated")
+        raise ValueError(f"mode {mode!r}: full, priced or gated")
     # Each node takes part in two frame pairs, once per side.
     sides = nodes.select("dataset", "node_id", "zu", "yu", "xu", F.explode(F.array(
         F.struct(F.col("t").alias("t"), F.lit(0).alias("side")),

@@ -52,6 +52,31 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, on: list[str],
     return pairs.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 
+def ball_join(left: DataFrame, right: DataFrame, reach: str, on: list[str], base: float) -> DataFrame:
+    """All pairs that share ``on`` and lie within the left point's own radius, column ``reach``.
+
+    A left point belongs to the least of the radii ``base``, 2 ``base``, 4 ``base``, ... that holds
+    its own, and that radius is part of the join key with the cell. A right point is spread once for
+    every such radius that occurs in its group, so points with small balls keep small cells however
+    large the balls of others are. Left points without a positive finite radius pair with nothing.
+    """
+    step = F.greatest(F.lit(0.0), F.ceil(F.log2(F.col(reach) / F.lit(base))).cast("double"))
+    a = (left.where((F.col(reach) > 0) & (F.col(reach) < float("inf")))
+         .withColumn("_ball", F.lit(base) * F.pow(F.lit(2.0), step)))
+    b = right.join(a.select(*on, "_ball").distinct(), on)
+    for c in "zyx":
+        edge = F.col("_ball") * 2.0
+        a = a.withColumn(f"_c{c}", F.floor(F.col(f"{c}u") / edge))
+        b = b.withColumn(f"_c{c}", F.explode(F.sequence(
+            F.floor((F.col(f"{c}u") - F.col("_ball")) / edge),
+            F.floor((F.col(f"{c}u") + F.col("_ball")) / edge))))
+    a = a.withColumnsRenamed({f"{c}u": f"l_{c}u" for c in "zyx"})
+    b = b.withColumnsRenamed({f"{c}u": f"r_{c}u" for c in "zyx"})
+    d = norm3(*[F.col(f"l_{c}u") - F.col(f"r_{c}u") for c in "zyx"])
+    return (a.hint("merge").join(b.hint("merge"), [*on, "_ball", *_CELL]).withColumn("d", d)
+            .where(F.col("d") <= F.col(reach)).drop("_ball", *_CELL))
+
+
 def _crowding(points: DataFrame, side: float, on: list[str]) -> int:
     row = (_cells(points, side).groupBy(*on, *_CELL).count()
            .agg(F.max("count").alias("m")).first())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import with_um
-from trackspark.operators import assign, recon, score
+from trackspark.operators import assign, recon, score, spatial
 from trackspark.plans.fixtures import Inputs, ctes
 from trackspark.plans.registry import query, r6
 from trackspark.plans.spatial_queries import _D
@@ -17,6 +17,33 @@ def optimal_links(i: Inputs):
     return assign.link_optimal(with_um(i.pred), 9.0)
 
 
+@query("j4_priced_links", "J4", ctes("gt") + f""",
+near AS (SELECT a.dataset, a.t, a.node_id AS source_id, min({{'d': {_D}, 'id': b.node_id}}) AS best
+  FROM gt a JOIN gt b ON a.dataset = b.dataset AND b.t = a.t + 1 WHERE {_D} < 9 GROUP BY ALL),
+sizes AS (SELECT dataset, t, count(*) AS n FROM gt GROUP BY ALL)
+SELECT k.dataset, k.t, count(*) AS n_links, round(sum(k.best.d), 6) AS total_um
+FROM near k JOIN sizes s ON s.dataset = k.dataset AND s.t = k.t
+JOIN sizes u ON u.dataset = k.dataset AND u.t = k.t + 1 AND s.n <= u.n
+GROUP BY k.dataset, k.t, s.n HAVING count(*) = s.n AND count(DISTINCT k.best.id) = s.n""")
+def priced_links(i: Inputs):
+    """Length of the optimal links of the frames whose nearest choices are one-to-one.
+
+    There the optimum is the sum of the nearest distances, so that SQL can state it; all frames
+    are solved by pricing before those are looked up.
+    """
+    placed = cut_lineage(with_um(i.gt), "placed")
+    links = assign.link_optimal(placed, 9.0, "priced")
+    sizes = placed.groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n"))
+    following = sizes.select("dataset", (F.col("t") - 1).alias("t"), F.col("n").alias("n_next"))
+    lone = (spatial.nearest_links(placed, 9.0).groupBy("dataset", "t")
+            .agg(F.count(F.lit(1)).alias("near"), F.count_distinct("target_id").alias("chosen"))
+            .join(sizes, ["dataset", "t"]).join(following, ["dataset", "t"])
+            .where("near = n AND chosen = n AND n <= n_next").select("dataset", "t"))
+    return (links.join(lone, ["dataset", "t"], "left_semi").groupBy("dataset", "t")
+            .agg(F.count(F.lit(1)).alias("n_links"), F.sum("d").alias("total_um"))
+            .select("dataset", "t", "n_links", r6("total_um")))
+
+
 @query("j5_sparse_links", "J5")
 def sparse_links(i: Inputs):
     """Every frame pair taken through the path for frames too large to assign in full."""
