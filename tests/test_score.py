@@ -136,3 +136,31 @@ def test_forked_predictions_are_flagged(spark, graph):
     nodes, edges = graph([(0, 0, 0, 0), (1, 0, 0, 0), (1, 0, 9, 0)], [(0, 1), (0, 2)])
     budgets = spark.createDataFrame([("a", 3.0)], "dataset string, est_total double")
     assert not P.evaluate(nodes, edges, nodes, edges, budgets, "x").first().division_exact
+
+
+def test_recordings_of_different_scale_share_a_plan(spark, graph):
+    """The same voxel steps are links in a fine recording and too long in a coarse one."""
+    points, edges = tracks(2)
+    parts = [graph(points, edges, name) for name in ("fine", "coarse", "bad", "none")]
+    nodes, links = parts[0]
+    for n, e in parts[1:]:
+        nodes, links = nodes.unionByName(n), links.unionByName(e)
+    scales = spark.createDataFrame(
+        [("fine", [1.0, 0.5, 0.5]), ("coarse", [20.0, 20.0, 20.0]), ("bad", [0.0, 1.0, 1.0]), ("bad", None),
+         ("other", [1.0, 1.0, 1.0])], "dataset string, scale array<double>")
+    budgets = nodes.groupBy("dataset").agg(F.count(F.lit(1)).cast("double").alias("est_total"))
+    arm = P.Arm(join=P.Linker(mode="nearest", radius_um=9.0))
+    made, joined = P.link(nodes, scales, arm)
+    got = {r.dataset: (r.edge_tp, r.edge_fn)
+           for r in P.evaluate(made, joined, nodes, links, budgets, "x", scales).collect()}
+    assert got == {"fine": (10, 0), "coarse": (0, 10), "bad": (10, 0), "none": (10, 0)}
+
+
+def test_a_radius_in_micrometres_holds_at_every_scale(spark, graph):
+    """A prediction 12 voxels off is matched at half a micrometre a voxel, not at one."""
+    parts = [(graph([(0, 0, 0, 0)], (), n)[0], graph([(0, 0, 12, 0)], (), n)[0]) for n in ("half", "one")]
+    truth, pred = (parts[0][k].unionByName(parts[1][k]) for k in (0, 1))
+    scales = spark.createDataFrame([("half", [1.0, 0.5, 0.5]), ("one", [1.0, 1.0, 1.0])],
+                                   "dataset string, scale array<double>")
+    found = assign.match_nodes(pred, truth, scale=scales).collect()
+    assert [(r.dataset, r.d) for r in found] == [("half", 6.0)]

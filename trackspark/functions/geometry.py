@@ -9,10 +9,25 @@ from trackspark.schema import DEFAULT_SCALE
 
 
 def with_um(df: DataFrame, scale=DEFAULT_SCALE) -> DataFrame:
-    """Add physical coordinates ``zu, yu, xu``."""
-    return df.withColumns({
-        f"{axis}u": F.col(axis) * F.lit(float(step)) for axis, step in zip("zyx", scale)
-    })
+    """Add physical coordinates ``zu, yu, xu``.
+
+    ``scale`` is one (z, y, x) voxel size for all rows, or a table (dataset, scale) with an array
+    of three per recording, so that recordings of different microscopes share one plan: radii in
+    micrometres then mean the same everywhere. A recording without a row, or whose entry isn't three
+    positive numbers, has the default size; of several rows of a recording the least counts.
+    """
+    if not isinstance(scale, DataFrame):
+        return df.withColumns({
+            f"{axis}u": F.col(axis) * F.lit(float(step)) for axis, step in zip("zyx", scale)
+        })
+    size = F.transform("scale", lambda v: v.cast("double"))
+    usable = (F.size("scale") == 3) & F.forall("scale", lambda v: F.coalesce(v > 0, F.lit(False)))
+    own = scale.where(usable).groupBy("dataset").agg(F.min(size).alias("_scale"))
+    default = F.array(*[F.lit(float(v)) for v in DEFAULT_SCALE])
+    placed = df.join(own, "dataset", "left").withColumn("_scale", F.coalesce("_scale", default))
+    return placed.withColumns({
+        f"{axis}u": F.col(axis) * F.col("_scale")[k] for k, axis in enumerate("zyx")
+    }).drop("_scale")
 
 
 def to_original_voxels(df: DataFrame, stride=(1, 4, 4)) -> DataFrame:

@@ -50,9 +50,10 @@ def _per(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- gap proposals ---------------------------------------------------------------
 
-def gap_pairs(nodes: DataFrame, edges: DataFrame, delta: int, radius: float) -> DataFrame:
+def gap_pairs(nodes: DataFrame, edges: DataFrame, delta: int, radius: float,
+              scale=DEFAULT_SCALE) -> DataFrame:
     """Track ends at t with track starts at t+delta within ``radius``: end_id, start_id, d."""
-    marked = with_um(open_ends(nodes, edges))
+    marked = with_um(open_ends(nodes, edges), scale)
     ends = marked.where("is_end").select(*PAIR, F.col("node_id").alias("end_id"), "zu", "yu", "xu")
     starts = marked.where("is_start").select(
         "dataset", (F.col("t") - delta).alias("t"), F.col("node_id").alias("start_id"), "zu", "yu", "xu")
@@ -79,13 +80,13 @@ def midpoints(gaps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def close_gaps(nodes: DataFrame, edges: DataFrame, link_radius: float = 9.0, slack: float = 1.0,
-               max_share: float | None = None) -> tuple[DataFrame, DataFrame]:
+               max_share: float | None = None, scale=DEFAULT_SCALE) -> tuple[DataFrame, DataFrame]:
     """Bridge one missing frame by inserting the midpoint and two edges.
 
     Gaps are chosen by optimal assignment per frame; with ``max_share``, at most ceil(share of
     nodes) nodes are added per dataset, earliest frames first. Returns only the added ones.
     """
-    pairs = cut_lineage(gap_pairs(nodes, edges, 2, 2.0 * link_radius * slack), "gaps")
+    pairs = cut_lineage(gap_pairs(nodes, edges, 2, 2.0 * link_radius * slack, scale), "gaps")
     tops = pairs.groupBy(*PAIR).agg((F.max("d") * 10 + 1).alias("_big"))
     chosen = assign_gaps(pairs.join(tops, PAIR), F.col("_big")).drop("_big")
     ranked = rank_rows(chosen, ["dataset"], ["t", "end_id"], "_rank")

@@ -8,7 +8,8 @@ from trackspark.functions.geometry import with_um
 from trackspark.operators import assign, recon, score, spatial
 from trackspark.plans.fixtures import Inputs, ctes
 from trackspark.plans.registry import query, r6
-from trackspark.plans.spatial_queries import _D
+from trackspark.plans.predict import Arm, Linker, evaluate, link
+from trackspark.plans.spatial_queries import _CEILING, _D, nearest_sql
 from trackspark.session import cut_lineage
 
 
@@ -98,3 +99,30 @@ def scored_prediction(i: Inputs):
     matches = cut_lineage(assign.match_nodes(nodes, i.gt), "matches")
     return score.metric_rows(
         score.edge_counts(nodes, edges, matches, i.gt, i.gt_edges), i.budgets)
+
+
+# Recordings of three microscopes: two sizes of their own, and one whose entry is no size.
+_SIZES = {0: (2.0, 0.5, 0.5), 1: (1.0, 0.25, 0.25)}
+_SCALED = "CASE CAST(split_part(dataset, '_', 2) AS INT) % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+
+
+def _mixed_sql() -> str:
+    axes = {"sz": (2.0, 1.0, 1.625), "sy": (0.5, 0.25, 0.40625), "sx": (0.5, 0.25, 0.40625)}
+    sizes = ", ".join(f"CAST({_SCALED.format(*v)} AS DOUBLE) AS {name}" for name, v in axes.items())
+    near = nearest_sql("placed", 9).replace("1.625", "a.sz").replace("0.40625", "a.sy")
+    ceiling = _CEILING.replace(nearest_sql("gt", 25), near)
+    return ceiling.replace(",\nlinks AS", f",\nplaced AS (SELECT *, {sizes} FROM gt),\nlinks AS", 1)
+
+
+@query("x1_mixed_scales", "X1 S3 P1 J2", _mixed_sql() + """
+SELECT dataset, CAST(tp AS BIGINT) AS edge_tp, CAST(fp AS BIGINT) AS edge_fp, CAST(fn AS BIGINT) AS edge_fn,
+       round(CAST(tp AS DOUBLE) / w, 6) AS edge_jaccard, round(a, 6) AS adj_edge_jaccard FROM adj""")
+def mixed_scales(i: Inputs):
+    """Perfect detections of recordings of different scale, linked, matched and scored in one plan."""
+    kind = F.split("dataset", "_")[1].cast("int") % 3
+    size = F.when(kind == 0, F.array(*map(F.lit, _SIZES[0]))).when(kind == 1, F.array(*map(F.lit, _SIZES[1])))
+    scales = cut_lineage(i.gt.select("dataset").distinct().select(
+        "dataset", F.coalesce(size, F.array(F.lit(1.0))).alias("scale")), "scales")
+    nodes, edges = link(i.gt, scales, Arm(join=Linker(mode="nearest", radius_um=9.0)))
+    rows = evaluate(nodes, cut_lineage(edges, "edges"), i.gt, i.gt_edges, i.budgets, "mixed", scales)
+    return rows.select("dataset", "edge_tp", "edge_fp", "edge_fn", r6("edge_jaccard"), r6("adj_edge_jaccard"))

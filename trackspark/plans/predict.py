@@ -13,6 +13,7 @@ from trackspark.operators import assign, budget, graph, score, spatial, submissi
 from trackspark.operators import volume as V
 from trackspark.operators.ordering import rank_rows
 from trackspark.operators.repair import close_gaps
+from trackspark.schema import DEFAULT_SCALE
 from trackspark.session import cut_lineage, is_empty
 from trackspark.sources.results import missing_results
 
@@ -40,7 +41,7 @@ class Room:
 
 @dataclass(frozen=True)
 class Linker:
-    """How detections become tracks: ``mode`` full, gated or nearest."""
+    """How detections become tracks: ``mode`` full, priced, gated or nearest."""
 
     mode: str = "full"
     radius_um: float = 9.0
@@ -106,7 +107,7 @@ def detect(voxels: DataFrame, meta: DataFrame, scale, arm: Arm) -> DataFrame:
 
 
 def link(nodes: DataFrame, scale, arm: Arm) -> tuple[DataFrame, DataFrame]:
-    """Linked, gap-closed and pruned graph: (nodes, edges)."""
+    """Linked, gap-closed and pruned graph: (nodes, edges). ``scale`` as in ``with_um``."""
     how = arm.join
     placed = with_um(nodes, scale)
     links = (spatial.nearest_links(placed, how.radius_um) if how.mode == "nearest"
@@ -114,7 +115,7 @@ def link(nodes: DataFrame, scale, arm: Arm) -> tuple[DataFrame, DataFrame]:
     edges = cut_lineage(links.select("dataset", "source_id", "target_id"), "links")
     nodes = nodes.select("dataset", "node_id", "t", "z", "y", "x")
     if how.bridge:
-        more_nodes, more_edges = close_gaps(nodes, edges, how.radius_um, max_share=how.bridge_share)
+        more_nodes, more_edges = close_gaps(nodes, edges, how.radius_um, max_share=how.bridge_share, scale=scale)
         nodes = cut_lineage(nodes.unionByName(more_nodes), "nodes")
         edges = cut_lineage(edges.unionByName(more_edges), "edges")
     edges = rank_rows(edges, ["dataset"], ["source_id", "target_id"], "edge_id")
@@ -128,9 +129,12 @@ def predict(voxels: DataFrame, meta: DataFrame, scale, arm: Arm) -> tuple[DataFr
 
 
 def evaluate(nodes: DataFrame, edges: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame,
-             budgets: DataFrame, arm: str) -> DataFrame:
-    """Metric rows of one arm; ``division_exact`` is false where the prediction forks."""
-    matches = cut_lineage(assign.match_nodes(nodes, gt_nodes), "matches")
+             budgets: DataFrame, arm: str, scale=DEFAULT_SCALE) -> DataFrame:
+    """Metric rows of one arm; ``division_exact`` is false where the prediction forks.
+
+    ``scale`` as in ``with_um``: one voxel size, or a table with that of each recording.
+    """
+    matches = cut_lineage(assign.match_nodes(nodes, gt_nodes, scale=scale), "matches")
     rows = score.metric_rows(score.edge_counts(nodes, edges, matches, gt_nodes, gt_edges), budgets)
     forks = (edges.groupBy("dataset", "source_id").agg(F.count(F.lit(1)).alias("_n"))
              .groupBy("dataset").agg(F.bool_or(F.col("_n") > 1).alias("_fork")))
@@ -140,7 +144,7 @@ def evaluate(nodes: DataFrame, edges: DataFrame, gt_nodes: DataFrame, gt_edges:
 
 
 def evaluate_missing(arms: dict, gt_nodes: DataFrame, gt_edges: DataFrame, budgets: DataFrame,
-                     stored: DataFrame | None) -> DataFrame | None:
+                     stored: DataFrame | None, scale=DEFAULT_SCALE) -> DataFrame | None:
     """Metric rows of the (arm, dataset) pairs not stored yet.
 
     ``arms`` maps arm name -> function(datasets) -> (nodes, edges) for those datasets.
@@ -153,7 +157,7 @@ def evaluate_missing(arms: dict, gt_nodes: DataFrame, gt_edges: DataFrame, budge
         todo = todo.select("dataset")
         nodes, edges = build(todo)
         rows = evaluate(nodes, edges, gt_nodes.join(todo, "dataset", "left_semi"),
-                        gt_edges.join(todo, "dataset", "left_semi"), budgets, arm)
+                        gt_edges.join(todo, "dataset", "left_semi"), budgets, arm, scale)
         out = rows if out is None else out.unionByName(rows)
     return out
 
