@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions.scalars import embryo, log_feature
 from trackspark.operators.ordering import exact_percentiles, rank_rows
+from trackspark.session import cut_lineage
 
 FEATURES = ["n_sep4", "n_sep8", "n_sep16", "nstrong_sep4", "nstrong_sep8", "nstrong_sep16",
             "mean_int", "frac_fg"]
@@ -53,43 +55,65 @@ def _solve(row) -> list[float]:
     return list((inner @ (xty / scale)) / scale)
 
 
-def fit(design: DataFrame, hold_out: bool = True) -> dict[str, list[float]]:
-    """Coefficients for each held-out embryo, fitted on all the others.
+def fit(design: DataFrame, hold_out: bool = True) -> DataFrame:
+    """Coefficients (embryo, beta) for each held-out embryo, fitted on all the others.
 
-    Spark reduces the data to one 9x9 system per embryo; the driver only ever sees
-    those sums. ``hold_out=False`` fits on everything under the key ``*``.
+    Spark reduces the data to one 9x9 system per embryo; every system is the sum of all of them
+    minus the embryo's own, so their number may be any. An embryo without others has no row.
+    ``hold_out=False`` fits on everything and gives one row with a null embryo.
     """
-    rows = [r.asDict() for r in moments(design).collect()]
-    names = [k for k in rows[0] if k not in ("embryo",)] if rows else []
-    total = {k: sum(r[k] for r in rows) for k in names}
-    if not hold_out:
-        return {"*": _solve(total)}
-    return {r["embryo"]: _solve({k: total[k] - r[k] for k in names}) for r in rows
-            if total["n"] > r["n"]}
-
-
-def predict(design: DataFrame, coefficients: dict[str, list[float]]) -> DataFrame:
-    """design plus ``yhat`` from the coefficients of the row's embryo (or ``*``)."""
-    def value(beta):
-        out = F.lit(float(beta[0]))
-        for f, b in zip(FEATURES, beta[1:]):
-            out = out + F.col(f) * F.lit(float(b))
-        return out
-    if "*" in coefficients:
-        return design.withColumn("yhat", value(coefficients["*"]))
-    yhat = F.lit(None).cast("double")
-    for name, beta in coefficients.items():
-        yhat = F.when(F.col("embryo") == name, value(beta)).otherwise(yhat)
-    return design.withColumn("yhat", yhat)
+    own = moments(design)
+    names = [c for c in own.columns if c != "embryo"]
+    total = own.agg(*[F.sum(c).alias(c) for c in names])
+    if hold_out:
+        every = total.select(F.lit(1).alias("_k"), *[F.col(c).alias(f"_{c}") for c in names])
+        systems = (own.withColumn("_k", F.lit(1)).join(every, "_k").where((F.col("_n") > F.col("n")) & F.col("embryo").isNotNull())
+                   .select("embryo", *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in names]))
+    else:
+        systems = total.where("n > 0").select(F.lit(None).cast("string").alias("embryo"), *names)
+
+    def solve(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"embryo": pdf["embryo"],
+                                "beta": [_solve(row) for row in pdf.to_dict("records")]})
+
+    return systems.mapInPandas(solve, "embryo string, beta array<double>")
+
+
+def predict(design: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """design plus ``yhat`` from the coefficients of the row's embryo, or else from those of all."""
+    general = coefficients.where("embryo IS NULL").select(F.lit(1).alias("_k"), F.col("beta").alias("_general"))
+    rows = (design.join(coefficients.where("embryo IS NOT NULL"), "embryo", "left")
+            .withColumn("_k", F.lit(1)).join(general, "_k", "left")
+            .withColumn("_beta", F.coalesce("beta", "_general")))
+    yhat = F.col("_beta")[0]
+    for k, f in enumerate(FEATURES, 1):
+        yhat = yhat + F.col(f) * F.col("_beta")[k]
+    return rows.withColumn("yhat", yhat).select(*design.columns, "yhat")
 
 
 def null_prediction(design: DataFrame) -> DataFrame:
-    """design plus ``ynull``: the median target of all other embryos."""
-    groups = design.select("embryo").distinct()
-    # Each row serves as training data for every other embryo.
-    others = (design.select("y", F.explode(F.array_except(
-        groups.agg(F.collect_set("embryo")).scalar(), F.array("embryo"))).alias("embryo")))
-    medians = exact_percentiles(others, ["embryo"], "y", {"ynull": 0.5})
+    """design plus ``ynull``: the median target of all other embryos, null where there are none.
+
+    No row is copied to the other embryos. With targets ranked over all rows and within their own
+    embryo, the k-th target of the others stands at rank k plus the number of own targets that
+    precede it, and those are the ones with fewer than k foreign targets below them.
+    """
+    known = design.where(F.col("y").isNotNull()).select("embryo", "dataset", "y", F.lit(1).alias("_all"))
+    ranked = rank_rows(rank_rows(known, ["_all"], ["y", "embryo", "dataset"], "_r"),
+                       ["embryo"], ["y", "_r"], "_i")
+    ranked = cut_lineage(ranked, "ranks")
+    total = ranked.groupBy("_all").agg(F.count(F.lit(1)).alias("_t"))
+    sizes = (ranked.groupBy("_all", "embryo").agg(F.count(F.lit(1)).alias("_n")).join(total, "_all")
+             .withColumn("_m", F.col("_t") - F.col("_n")).where("_m > 0")
+             .select("embryo", F.floor((F.col("_m") + 1) / 2).alias("_lo"), F.floor((F.col("_m") + 2) / 2).alias("_hi")))
+    foreign = F.col("_r") - F.col("_i")
+    spots = (ranked.join(sizes, "embryo").groupBy("embryo", "_lo", "_hi")
+             .agg(*[(F.col(k) + F.count_if(foreign < F.col(k))).alias(f"{k}_r") for k in ("_lo", "_hi")]))
+    at = ranked.select(F.col("_r"), "y")
+    medians = (spots.join(at.withColumnsRenamed({"_r": "_lo_r", "y": "_a"}), "_lo_r")
+               .join(at.withColumnsRenamed({"_r": "_hi_r", "y": "_b"}), "_hi_r")
+               .select("embryo", ((F.col("_a") + F.col("_b")) / 2).alias("ynull")))
     return design.join(medians, "embryo", "left")
 
 
