@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackspark.operators.ordering import rank_rows
 from trackspark.operators.score import summarise, summarise_folds
+from trackspark.session import cut_lineage
 
 
 def arm_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -79,39 +81,32 @@ def gate(rows: DataFrame, folds: DataFrame, pairs: list[tuple[str, str]],
 def champion_chain(verdicts: DataFrame, order: list[str]) -> DataFrame:
     """Walk the arms in ``order``; each is gated against the standing champion.
 
-    ``verdicts`` holds all pairs of the listed arms. The champion moves only on a
-    promotion. One row per challenger: arm, gated_against, promoted, champion.
+    ``verdicts`` holds all pairs of the listed arms; a pair without one isn't promoted, and one with
+    several only if all promote. The champion moves only on a promotion. One row per challenger:
+    arm, gated_against, promoted, champion. A recursive query with one level per challenger, in
+    which the standing champion looks up its one verdict.
     """
-    won = F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("\u0001", "baseline", "candidate"), F.col("promote"))))
-    start = F.struct(F.lit(order[0]).alias("champion"),
-                     F.array().cast("array<struct<arm:string,gated_against:string,"
-                                    "promoted:boolean,champion:string>>").alias("steps"))
-
-    def walk(state, arm):
-        wins = F.coalesce(F.element_at("won", F.concat_ws("\u0001", state["champion"], arm)),
-                          F.lit(False))
-        stands = F.when(wins, arm).otherwise(state["champion"])
-        return F.struct(stands.alias("champion"), F.concat(state["steps"], F.array(F.struct(
-            arm.alias("arm"), state["champion"].alias("gated_against"), wins.alias("promoted"),
-            stands.alias("champion")))).alias("steps"))
-
-    challengers = F.array(*[F.lit(a) for a in order[1:]])
-    return (verdicts.agg(won.alias("won"))
-            .select(F.aggregate(challengers, start, walk).alias("s"))
-            .select(F.inline("s.steps")))
+    spark = verdicts.sparkSession
+    settled = verdicts.groupBy("baseline", "candidate").agg(
+        F.bool_and(F.coalesce("promote", F.lit(False))).alias("promote"))
+    turns = spark.createDataFrame(list(enumerate(order))[1:], "k int, arm string")
+    return spark.sql(f"""
+        WITH RECURSIVE chain(k, arm, gated_against, promoted, champion) MAX RECURSION LEVEL {len(order) + 1} AS (
+          SELECT 0, CAST(NULL AS STRING), CAST(NULL AS STRING), false, :first
+          UNION ALL
+          SELECT o.k, o.arm, c.champion, coalesce(v.promote, false), if(coalesce(v.promote, false), o.arm, c.champion)
+          FROM chain c JOIN {{turns}} o ON o.k = c.k + 1
+          LEFT JOIN {{settled}} v ON v.baseline = c.champion AND v.candidate = o.arm)
+        SELECT arm, gated_against, promoted, champion FROM chain WHERE k > 0""",
+        args={"first": order[0]}, turns=turns, settled=cut_lineage(settled, "verdicts"))
 
 
 def ranking(summary: DataFrame, reference: str) -> DataFrame:
-    """Arms by score with their difference to one reference arm."""
-    base = summary.where(F.col("arm") == reference)
-    bar = base.agg(F.max("score").alias("s"))
+    """Arms by score, then by name, with their difference to one reference arm."""
+    bar = summary.where(F.col("arm") == reference).agg(F.max("score").alias("s"))
     # One scalar, carried in as a subquery result rather than a join side.
     ranked = summary.withColumn("delta", F.col("score") - bar.scalar())
-    higher = (summary.select(F.struct("score", "arm").alias("r"))
-              .agg(F.sort_array(F.collect_list("r"), asc=False).alias("r")))
-    position = F.array_position(higher.scalar(), F.struct("score", "arm"))
-    return ranked.withColumn("rank", position.cast("bigint"))
+    return rank_rows(ranked, [], ["-score", "-arm"])
 
 
 def best_arm(summary: DataFrame) -> DataFrame:
