@@ -296,27 +296,27 @@ def auction(pairs: DataFrame, keys: list[str], left: str, right: str, weight: st
 # -- ground-truth matching -------------------------------------------------------
 
 def match_candidates(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM,
-                     scale=DEFAULT_SCALE) -> DataFrame:
-    """Pairs within ``radius`` in the frames both graphs have: dataset, t, gt_id, pred_id, d, w."""
+                     scale=DEFAULT_SCALE, carry: tuple = ()) -> DataFrame:
+    """Pairs within ``radius`` in the frames both graphs have: dataset, t, gt_id, pred_id, d, w.
+
+    The columns ``carry`` of ``pred`` come along.
+    """
     a = with_um(gt, scale).select("dataset", "t", F.col("node_id").alias("gt_id"), "zu", "yu", "xu")
-    b = with_um(pred, scale).select("dataset", "t", F.col("node_id").alias("pred_id"), "zu", "yu", "xu")
+    b = with_um(pred, scale).select("dataset", "t", F.col("node_id").alias("pred_id"), "zu", "yu", "xu", *carry)
     near = range_join(a, b, radius, ["dataset", "t"])
-    return near.select("dataset", "t", "gt_id", "pred_id", "d",
+    return near.select("dataset", "t", "gt_id", "pred_id", "d", *carry,
                        (F.lit(1.0) / (F.lit(1.0) + F.col("d"))).cast("float").cast("double").alias("w"))
 
 
-def _matched_extent(pairs: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:
+def _matched_extent(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
     """Per frame the size of the smaller side that a full matching would have to cover.
 
     Either side counts its nodes up to the last one (in id order) that has a candidate.
     """
-    last = pairs.groupBy("dataset", "t").agg(F.max("gt_id").alias("_g"), F.max("pred_id").alias("_p"))
-    rows = (gt.join(last, ["dataset", "t"]).where("node_id <= _g")
-            .groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("_ng")))
-    cols = (pred.join(last, ["dataset", "t"]).where("node_id <= _p")
-            .groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("_np")))
-    return rows.join(cols, ["dataset", "t"]).select(
-        "dataset", "t", F.least("_ng", "_np").alias("_cover"))
+    last = pairs.groupBy(*keys).agg(F.max("gt_id").alias("_g"), F.max("pred_id").alias("_p"))
+    rows = gt.join(last, keys).where("node_id <= _g").groupBy(*keys).agg(F.count(F.lit(1)).alias("_ng"))
+    cols = pred.join(last, keys).where("node_id <= _p").groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
+    return rows.join(cols, keys).select(*keys, F.least("_ng", "_np").alias("_cover"))
 
 
 def match_nodes(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM,
@@ -326,9 +326,13 @@ def match_nodes(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM,
     If the smaller side of a frame can be matched completely, the complete matching of
     greatest Σ 1/(1+d) is taken; otherwise the matching of greatest Σ (1 + 1/(1+d)).
     """
-    keys = ["dataset", "t"]
-    pairs = cut_lineage(match_candidates(pred, gt, radius, scale), "candidates")
-    pairs = cut_lineage(pairs.join(_matched_extent(pairs, pred, gt), keys), "candidates")
+    return match_pairs(match_candidates(pred, gt, radius, scale), pred, gt, ["dataset", "t"])
+
+
+def match_pairs(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from candidate ``pairs``, for groups of any ``keys`` that all three tables carry."""
+    pairs = cut_lineage(pairs, "candidates")
+    pairs = cut_lineage(pairs.join(_matched_extent(pairs, pred, gt, keys), keys), "candidates")
     small, parts, huge = _split_groups(pairs, keys, "gt_id", "pred_id")
     fields = T.StructType([*pairs.schema.fields, T.StructField("_full", T.BooleanType())])
 
@@ -363,7 +367,7 @@ def match_nodes(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM,
         chosen = (solved.join(complete, keys).where(F.col("_full") == F.col("_complete"))
                   .drop("_complete"))
         out = out.unionByName(chosen)
-    return out.select("dataset", "t", "pred_id", "gt_id", "d")
+    return out.select(*keys, "pred_id", "gt_id", "d")
 
 
 # -- frame-to-frame links --------------------------------------------------------

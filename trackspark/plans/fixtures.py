@@ -31,6 +31,9 @@ _TABLES = {
         FROM cells WHERE (cell * 3 + t * 5) % 7 <> 0"""),
     "gt": (("cells",), """
         SELECT dataset, node_id, t, z, y, x FROM cells WHERE (cell ~/ 8) % 4 = 0"""),
+    # The true points as detections, of their own strength.
+    "graded": (("cells",), """
+        SELECT dataset, node_id, t, z, y, x, value AS score FROM cells WHERE (cell ~/ 8) % 4 = 0"""),
     "gt_edges": (("gt",), """
         SELECT dataset, node_id AS edge_id, node_id AS source_id, node_id + 1 AS target_id
         FROM gt WHERE t < 19"""),

@@ -1,12 +1,23 @@
-"""Parameter grids over datasets and scoring of whole arms."""
+"""Parameter grids over datasets and scoring of all arms of a grid in one plan."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackspark.functions.geometry import with_um
+from trackspark.operators import assign, score
+from trackspark.operators.spatial import range_join
+from trackspark.schema import DEFAULT_SCALE
+from trackspark.session import cut_lineage
+from trackspark.sources.results import missing_results
+
+_VIEW = ["floor", "sep"]                   # what decides which detections an arm sees
+_ARM = ["arm", *_VIEW, "radius"]
+_MARK = "\u0001"
+
 
 def with_grid(datasets: DataFrame, **axes: list) -> DataFrame:
     """Every dataset once per combination of the given parameter values.
@@ -15,3 +26,125 @@ def with_grid(datasets: DataFrame, **axes: list) -> DataFrame:
     """
     return reduce(lambda df, axis: df.withColumn(
         axis[0], F.explode(F.array(*[F.lit(v) for v in axis[1]]))), axes.items(), datasets)
+
+
+def grid_arms(datasets: DataFrame, sep: list, radius: list, floor: list = (float("-inf"),)) -> DataFrame:
+    """arms(dataset, arm, floor, sep, radius): every dataset under every combination, named by it."""
+    grid = with_grid(datasets.select("dataset"), floor=[float(v) for v in floor],
+                     sep=[float(v) for v in sep], radius=[float(v) for v in radius])
+    name = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("floor", "sep", "radius")])
+    return grid.select("dataset", name.alias("arm"), "floor", "sep", "radius")
+
+
+def _strength(score: str) -> Column:
+    worst = F.lit(float("-inf"))
+    return F.coalesce(F.nanvl(score, worst), worst)
+
+
+def clearance(nodes: DataFrame, widest: float) -> DataFrame:
+    """``nodes`` with ``clear_um``: the distance to the nearest stronger detection of their frame.
+
+    Stronger is of higher ``score``, at equal scores of smaller node_id; a null or NaN score is the
+    lowest. Infinite where no stronger one is within ``widest``. A detection is the peak of its ball
+    of any smaller radius exactly if it is clear by more, so one join serves all separations, and a
+    least score changes nothing: whoever passes it has all stronger ones pass it too.
+    """
+    keys, widest = ["dataset", "t"], max(float(widest), 1e-3)
+    a = nodes.select(*keys, "node_id", _strength("score").alias("_s"), "zu", "yu", "xu")
+    b = nodes.select(*keys, F.col("node_id").alias("_other"), _strength("score").alias("_t"), "zu", "yu", "xu")
+    stronger = (F.col("_t") > F.col("_s")) | ((F.col("_t") == F.col("_s")) & (F.col("_other") < F.col("node_id")))
+    clear = (range_join(a, b, widest, keys).where(stronger)
+             .groupBy("dataset", "node_id").agg(F.min("d").alias("clear_um")))
+    return (nodes.join(clear, ["dataset", "node_id"], "left")
+            .withColumns({"clear_um": F.coalesce("clear_um", F.lit(float("inf"))), "score": _strength("score")}))
+
+
+def _seen(df: DataFrame, plan: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` once per entry of the plan's ``column`` whose floor and separation they pass."""
+    passes = F.filter(column, lambda v: (v["floor"] <= F.col("score")) & (v["sep"] < F.col("clear_um")))
+    return df.join(plan.select("dataset", column), "dataset").withColumn("_v", F.explode(passes)).drop(column)
+
+
+def _of_arms(df: DataFrame, plan: DataFrame, *, reach: bool = False) -> DataFrame:
+    """Rows keyed by floor and separation once per arm that uses them; ``dataset`` then names both."""
+    used = F.filter("_arms", lambda a: (a["floor"] == F.col("floor")) & (a["sep"] == F.col("sep"))
+                    & ((F.col("d") < a["radius"]) if reach else F.lit(True)))
+    return (df.join(plan.select("dataset", "_arms"), "dataset").withColumn("_a", F.explode(used))
+            .withColumn("dataset", F.concat_ws(_MARK, "_a.arm", "dataset")).drop("_arms", "_a"))
+
+
+def evaluate_grid(nodes: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, budgets: DataFrame,
+                  arms: DataFrame, scale=DEFAULT_SCALE, mode: str = "nearest") -> DataFrame:
+    """Metric rows of every row of ``arms(dataset, arm, floor, sep, radius)``, all in one plan.
+
+    ``nodes`` are detections with a ``score``. An arm sees those of at least ``floor`` that are the
+    strongest within ``sep`` µm, links them within ``radius`` (``mode`` nearest or gated) and is
+    scored like any graph. Link and match candidates are joined once, at the widest setting; an arm
+    is a filter on them and part of every key after them: matchings are solved once per (floor,
+    separation), nearest links of all radii are one minimum. What grows with the number of arms
+    are the candidates themselves, not the joins that find them.
+
+    A dataset has the arms that name it, so a stored part can be left out. An arm's name is unique
+    per dataset and its settings are numbers; both are tested. Without arms there are no rows.
+    """
+    if mode not in ("nearest", "gated"):
+        raise ValueError(f"mode {mode!r}: nearest or gated")
+    arms = cut_lineage(arms.select("dataset", *_ARM), "arms")
+    usable = F.lit(True)
+    for c in ("dataset", "arm"):
+        usable = usable & F.col(c).isNotNull()
+    for c in ("floor", "sep", "radius"):
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(c)
+    top = arms.agg(F.coalesce(F.max("sep"), F.lit(0.0)).alias("sep"), F.coalesce(F.max("radius"), F.lit(1.0)).alias("radius"),
+                   F.count_if(~usable).alias("odd"), F.count(F.lit(1)).alias("n"),
+                   F.count_distinct("dataset", "arm").alias("names")).first()
+    if top.odd or top.n != top.names:
+        raise ValueError("arms need a name of their own in each dataset, and numbers as settings")
+    plan = cut_lineage(arms.groupBy("dataset").agg(
+        F.collect_set(F.struct(*_VIEW)).alias("_views"), F.collect_set(F.struct(*_ARM)).alias("_arms")), "plan")
+
+    asked = plan.select("dataset")
+    placed = cut_lineage(clearance(with_um(nodes, scale).join(asked, "dataset", "left_semi"), top.sep), "placed")
+    links = _linked(placed, plan, top.radius, mode)
+    edges = cut_lineage(links.select("dataset", F.col("source_id").alias("edge_id"), "source_id", "target_id"), "edges")
+
+    keys = [*_VIEW, "dataset", "t"]
+    truth = gt_nodes.join(plan.select("dataset", "_views"), "dataset").select(
+        "dataset", "t", "node_id", F.inline("_views"))
+    seen = _seen(placed.select("dataset", "t", "node_id", "score", "clear_um"), plan, "_views").select(
+        "dataset", "t", "node_id", "_v.*")
+    near = assign.match_candidates(placed, gt_nodes, scale=scale, carry=("score", "clear_um"))
+    near = _seen(near, plan, "_views").select("dataset", "t", "gt_id", "pred_id", "d", "w", "_v.*")
+    matches = cut_lineage(assign.match_pairs(near, seen, truth, keys), "matches")
+
+    wanted = gt_edges.join(plan.select("dataset", "_arms"), "dataset").select("*", F.explode("_arms").alias("_a"))
+    true_edges = wanted.withColumn("dataset", F.concat_ws(_MARK, "_a.arm", "dataset")).drop("_arms", "_a")
+    counts = score.edge_counts(_of_arms(seen, plan), edges, _of_arms(matches, plan), _of_arms(truth, plan), true_edges)
+    both = F.split("dataset", _MARK, 2)
+    counts = counts.withColumns({"arm": both[0], "dataset": both[1]})
+    return score.metric_rows(counts, budgets).join(arms, ["arm", "dataset"])
+
+
+def _linked(placed: DataFrame, plan: DataFrame, widest: float, mode: str) -> DataFrame:
+    """Links of all arms; ``dataset`` names arm and dataset."""
+    def end(name, frame):
+        return placed.select("dataset", frame.alias("t"), F.col("node_id").alias(f"{name}_id"), "zu", "yu", "xu",
+                             F.col("score").alias(f"_{name}_s"), F.col("clear_um").alias(f"_{name}_c"))
+    pairs = range_join(end("source", F.col("t")), end("target", F.col("t") - 1), widest, ["dataset", "t"]).select(
+        "dataset", "t", "source_id", "target_id", "d", F.least("_source_s", "_target_s").alias("score"),
+        F.least("_source_c", "_target_c").alias("clear_um"))
+    if mode == "nearest":
+        nearest = (_seen(pairs, plan, "_views").groupBy("dataset", "source_id", "_v")
+                   .agg(F.min(F.struct("d", "target_id")).alias("_b")))
+        return _of_arms(nearest.select("dataset", "source_id", "_b.*", "_v.*"), plan, reach=True)
+    near = _seen(pairs, plan, "_arms").where("d <= _v.radius").select(
+        F.concat_ws(_MARK, "_v.arm", "dataset").alias("dataset"), "t", "source_id", "target_id", "d",
+        (F.col("_v.radius") - F.col("d")).alias("_w"))
+    return assign.max_weight_matching(near, ["dataset", "t"], "source_id", "target_id", "_w", fullest=True)
+
+
+def resume_grid(nodes: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, budgets: DataFrame, arms: DataFrame,
+                stored: DataFrame | None, scale=DEFAULT_SCALE, mode: str = "nearest") -> DataFrame:
+    """Metric rows of the arms whose (arm, dataset) isn't among the ``stored`` rows yet."""
+    left = arms if stored is None else arms.join(missing_results(arms, stored), ["arm", "dataset"], "left_semi")
+    return evaluate_grid(nodes, gt_nodes, gt_edges, budgets, left, scale, mode)
