@@ -72,6 +72,27 @@ _TABLES = {
     "lossy_edges": (("clean_edges",), """
         SELECT dataset, edge_id, source_id, target_id, edge_prob FROM clean_edges
         WHERE edge_prob > 0.08"""),
+    # Cells on a lattice wide enough that whatever belongs together has no competitor: the
+    # optimum of every assignment on them is known. In all frames; and with frames missing.
+    "apart": (("cells",), """
+        SELECT dataset, node_id, cell, t, z,
+               CAST(((cell % 4000) ~/ 8) % 25 * 140 + (cell % 5 - 2) * t + node_id % 3 - 1 AS DOUBLE) AS y,
+               CAST(((cell % 4000) ~/ 8) ~/ 25 * 180 + (cell % 7 - 3) * t + (node_id * 7) % 5 - 2 AS DOUBLE) AS x
+        FROM cells"""),
+    "apart_some": (("apart",), """
+        SELECT * FROM apart WHERE (cell * 3 + t * 5) % 7 <> 0"""),
+    # A lone detection in some of the missing frames.
+    "apart_lone": (("apart",), """
+        SELECT * FROM apart WHERE (cell * 3 + t * 5) % 7 <> 0 OR cell % 3 = 0"""),
+    # A second detection beside every third cell, never as far from the true point as the first.
+    "apart_twins": (("apart_some",), """
+        SELECT dataset, node_id, t, z, y, x FROM apart_some
+        UNION ALL
+        SELECT dataset, node_id + 10000000000, t, z + 0.3, y + (node_id * 11 % 7 - 3) * 0.5, x + (node_id * 5 % 9 - 4) * 0.5
+        FROM apart_some WHERE cell % 3 = 0"""),
+    "apart_gt": (("apart",), """
+        SELECT dataset, node_id, t, z, y - (node_id % 3 - 1) AS y, x - ((node_id * 7) % 5 - 2) AS x
+        FROM apart WHERE (cell ~/ 8) % 4 = 0"""),
     "voxels": (("embeddings",), """
         SELECT CAST(label AS STRING) AS dataset, vec_id AS t,
                CAST(p ~/ 16 AS INT) AS z, CAST((p ~/ 4) % 4 AS INT) AS y, CAST(p % 4 AS INT) AS x,

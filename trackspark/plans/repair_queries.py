@@ -64,13 +64,37 @@ def two_frame_proposals(i: Inputs):
         "dataset", "t", "end_id", "start_id", r6("score"))
 
 
-@query("t6_greedy_gap_selection", "T6 W9 G11")
+# The plain walk: proposals in order, each end and each start once.
+_GREEDY = _GAP2 + """,
+pq AS (SELECT dataset, t, end_id, start_id, d + 2 * pen AS score,
+    row_number() OVER (PARTITION BY dataset ORDER BY d + 2 * pen, end_id, start_id) AS k FROM ok WHERE okb OR okf),
+walk(dataset, k, took, ends, starts) AS (
+  SELECT DISTINCT dataset, CAST(0 AS BIGINT), false, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM pq
+  UNION ALL
+  SELECT w.dataset, p.k, NOT (list_contains(w.ends, p.end_id) OR list_contains(w.starts, p.start_id)),
+    CASE WHEN list_contains(w.ends, p.end_id) OR list_contains(w.starts, p.start_id) THEN w.ends ELSE list_append(w.ends, p.end_id) END,
+    CASE WHEN list_contains(w.ends, p.end_id) OR list_contains(w.starts, p.start_id) THEN w.starts ELSE list_append(w.starts, p.start_id) END
+  FROM walk w JOIN pq p ON p.dataset = w.dataset AND p.k = w.k + 1),
+gr AS (SELECT p.* FROM walk w JOIN pq p ON p.dataset = w.dataset AND p.k = w.k WHERE w.took)"""
+
+
+@query("t6_greedy_gap_selection", "T6 W9 G11", _GREEDY + """
+SELECT dataset, t, end_id, start_id, round(score, 6) AS score FROM gr""")
 def greedy_selection(i: Inputs):
     return repair.greedy_pairs(repair.two_frame_proposals(i.pred, i.lossy_edges)).select(
         "dataset", "t", "end_id", "start_id", r6("score"))
 
 
-@query("g11_two_frame_recovery", "G11")
+@query("g11_two_frame_recovery", "G11", _GREEDY + """,
+fc AS (SELECT dataset, t, greatest(1, CAST(round_even(count(*) * 0.004, 0) AS BIGINT)) AS cap FROM en GROUP BY ALL),
+gc AS (SELECT dataset, least(120, greatest(1, CAST(round_even(count(*) * 0.0026, 0) AS BIGINT))) AS cap FROM lossy_edges GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY score, end_id, start_id) AS rf FROM gr),
+ds AS (SELECT fr.*, row_number() OVER (PARTITION BY fr.dataset ORDER BY score, fr.t, end_id, start_id) AS turn
+  FROM fr JOIN fc ON fc.dataset = fr.dataset AND fc.t = fr.t WHERE rf <= fc.cap),
+ad AS (SELECT ds.*, m.top + 2 * turn - 1 AS a, m.top + 2 * turn AS b FROM ds JOIN gc ON gc.dataset = ds.dataset
+  JOIN (SELECT dataset, max(node_id) AS top FROM pred GROUP BY dataset) m ON m.dataset = ds.dataset WHERE turn <= gc.cap)
+SELECT dataset, end_id AS source_id, a AS target_id FROM ad UNION ALL SELECT dataset, a, b FROM ad
+UNION ALL SELECT dataset, b, start_id FROM ad""")
 def two_frame_recovery(i: Inputs):
     _, links = repair.recover_two_frame_gaps(i.pred, i.lossy_edges, **LIMITS["wide_gaps"])
     return links

@@ -9,6 +9,7 @@ from trackspark.functions.geometry import with_um
 from trackspark.operators import extras, threads
 from trackspark.plans.fixtures import Inputs, ctes
 from trackspark.plans.registry import query, r6
+from trackspark.plans.spatial_queries import _D
 from trackspark.sources import metadata
 
 
@@ -185,7 +186,20 @@ def motion_outliers(i: Inputs):
     return extras.motion_residuals(i.gt, i.gt_edges, 20.0).select("dataset", "edge_id", r6("residual"))
 
 
-@query("n2_merged_detections", "N2")
+@query("n2_merged_detections", "N2", ctes("pred", "gt") + f""",
+dets AS (SELECT dataset, t, node_id, z, y, x, score FROM pred UNION ALL
+  SELECT dataset, t, node_id + 10000000000, z, y, x, CAST(1 AS DOUBLE) FROM gt),
+rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY score DESC, node_id) AS k FROM dets),
+nb AS (SELECT a.dataset, a.t, a.k, list(b.k) AS stronger FROM rk a JOIN rk b ON a.dataset = b.dataset AND a.t = b.t AND b.k < a.k
+  WHERE {_D} <= 2 GROUP BY ALL),
+walk(dataset, t, k, node_id, took, kept) AS (
+  SELECT DISTINCT dataset, t, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, CAST([] AS BIGINT[]) FROM rk
+  UNION ALL
+  SELECT w.dataset, w.t, r.k, r.node_id, NOT list_has_any(w.kept, coalesce(n.stronger, [])),
+    CASE WHEN list_has_any(w.kept, coalesce(n.stronger, [])) THEN w.kept ELSE list_append(w.kept, r.k) END
+  FROM walk w JOIN rk r ON r.dataset = w.dataset AND r.t = w.t AND r.k = w.k + 1
+  LEFT JOIN nb n ON n.dataset = r.dataset AND n.t = r.t AND n.k = r.k)
+SELECT dataset, node_id FROM walk WHERE took""")
 def merged_detections(i: Inputs):
     other = i.gt.withColumn("score", F.lit(1.0))
     both = i.pred.unionByName(other.withColumn("node_id", F.col("node_id") + 10_000_000_000))
