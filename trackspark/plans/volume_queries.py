@@ -272,3 +272,23 @@ def budget_features(i: Inputs):
     f = V.budget_features(i.voxels, UM, (3.5,), scales=SCALES, strong=0.2)
     return f.select("dataset", F.round("`n_sep3.5`", 6).alias("n_sep"),
                     F.round("`nstrong_sep3.5`", 6).alias("nstrong_sep"), r6("mean_int"), r6("frac_fg"))
+
+
+@query("s5_frame_files", "S5 D2", ctes("voxels") + """
+SELECT dataset, t, CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS total, round(sum(v * (16 * z + 4 * y + x)), 6) AS placed
+FROM voxels GROUP BY dataset, t""")
+def frame_files(i: Inputs):
+    """Every frame written as a file and read back through the frame source."""
+    import uuid
+
+    from trackspark.session import shared_dir
+    from trackspark.sources.frames import read_frames, write_frames
+    folder = f"{shared_dir(i.spark)}/frames/{uuid.uuid4().hex}"
+    table = i.embeddings.select(F.col("label").cast("string").alias("dataset"), F.col("vec_id").alias("t"),
+                                F.col("embedding").alias("values"))
+    shape = (table.agg((F.max(F.size("values")) / 16).cast("int")).first()[0], 4, 4)
+    write_frames(table, folder, shape, "float32")
+    voxels = read_frames(i.spark, folder, shape, "float32")
+    place = F.col("v") * (16 * F.col("z") + 4 * F.col("y") + F.col("x"))
+    return (voxels.groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.sum(place).alias("placed"))
+            .select("dataset", "t", "n", r6("total"), r6("placed")))
