@@ -10,14 +10,16 @@ optimum of the same objective, so the route changes the cost of an answer, not t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackspark.functions.geometry import with_um
 from trackspark.operators.graph import connected_components
+from trackspark.operators.grouped import picked, spread, whole_groups
 from trackspark.operators.pricing import link_priced
 from trackspark.operators.spatial import as_sources, link_candidates, next_frame, range_join
 from trackspark.schema import DEFAULT_SCALE, MATCH_RADIUS_UM
@@ -199,12 +201,12 @@ def max_weight_matching(pairs: DataFrame, keys: list[str], left: str, right: str
     small, parts, huge = _split_groups(pairs, keys, left, right)
     best = fullest_matching if fullest else heaviest_matching
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[best(pdf[left].to_numpy(), pdf[right].to_numpy(), pdf[weight].to_numpy(float))]
+    def pick(l, r, w):
+        return [(best(l, r, w.astype(float)), True)]
 
-    out = small.groupBy(*keys).applyInPandas(solve, pairs.schema)
+    out = picked(small, keys, [left, right, weight], pick)
     if parts is not None:
-        solved = parts.groupBy(*keys, "component").applyInPandas(solve, parts.schema)
+        solved = picked(parts, [*keys, "component"], [left, right, weight], pick)
         out = out.unionByName(solved.drop("component"))
     if huge is not None:
         out = out.unionByName(auction(huge.drop("component"), keys, left, right, weight, fullest))
@@ -334,27 +336,21 @@ def match_pairs(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str
     pairs = cut_lineage(pairs, "candidates")
     pairs = cut_lineage(pairs.join(_matched_extent(pairs, pred, gt, keys), keys), "candidates")
     small, parts, huge = _split_groups(pairs, keys, "gt_id", "pred_id")
-    fields = T.StructType([*pairs.schema.fields, T.StructField("_full", T.BooleanType())])
+    ends = ["gt_id", "pred_id", "w"]
 
-    def both(pdf):
-        l, r, w = (pdf[c].to_numpy() for c in ("gt_id", "pred_id", "w"))
+    def both(l, r, w):
         return fullest_matching(l, r, w), heaviest_matching(l, r, w + 1.0)
 
-    def solve_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        full, loose = both(pdf)
-        complete = len(full) == pdf["_cover"].iloc[0]
-        return pdf.iloc[full if complete else loose].assign(_full=complete)
+    def pick_frame(l, r, w, cover):
+        full, loose = both(l, r, w)
+        complete = len(full) == cover[0]
+        return [(full if complete else loose, complete)]
 
-    out = small.groupBy(*keys).applyInPandas(solve_frame, fields)
+    out = picked(small, keys, [*ends, "_cover"], pick_frame, "_full")
     if parts is not None:
         # A frame is complete only if its components are; solve both ways, then choose.
-        wide = T.StructType([*parts.schema.fields, T.StructField("_full", T.BooleanType())])
-
-        def solve_part(pdf: pd.DataFrame) -> pd.DataFrame:
-            full, loose = both(pdf)
-            return pd.concat([pdf.iloc[full].assign(_full=True), pdf.iloc[loose].assign(_full=False)])
-
-        solved = parts.groupBy(*keys, "component").applyInPandas(solve_part, wide).drop("component")
+        solved = picked(parts, [*keys, "component"], ends,
+                        lambda l, r, w: list(zip(both(l, r, w), (True, False))), "_full").drop("component")
         if huge is not None:
             rest = huge.drop("component").withColumn("_w1", F.col("w") + 1.0)
             for full in (True, False):
@@ -400,20 +396,30 @@ def link_optimal(nodes: DataFrame, radius: float, mode: str = "full") -> DataFra
         .select("dataset", "_s.t", "_s.side", "node_id", "zu", "yu", "xu")
     schema = "dataset string, t bigint, source_id bigint, target_id bigint, d double"
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        p, q = (s[["zu", "yu", "xu"]].to_numpy() for s in (a, b))
-        d = np.sqrt(((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2))
-        rows, cols = cheapest_assignment(d) if d.size else (np.zeros(0, int),) * 2
-        keep = d[rows, cols] <= radius
-        rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({
-            "dataset": pdf["dataset"].iloc[0], "t": pdf["t"].iloc[0],
-            "source_id": a["node_id"].to_numpy()[rows], "target_id": b["node_id"].to_numpy()[cols],
-            "d": d[rows, cols]})
-
-    return sides.groupBy("dataset", "t").applyInPandas(solve, schema)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, ["dataset", "t"]):
+            side, ids = (table.column(c).to_numpy() for c in ("side", "node_id"))
+            where = np.stack([table.column(c).to_numpy() for c in ("zu", "yu", "xu")], 1)
+            found = []
+            for begin, end in zip(at[:-1], at[1:]):
+                # sorted by side
+                mid = begin + int(np.searchsorted(side[begin:end], 1))
+                if mid in (begin, end):
+                    continue
+                p, q = where[begin:mid], where[mid:end]
+                d = np.sqrt(((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2))
+                rows, cols = cheapest_assignment(d)
+                keep = d[rows, cols] <= radius
+                rows, cols = rows[keep], cols[keep]
+                found.append((begin + rows, mid + cols, d[rows, cols]))
+            if found:
+                a, b, d = (np.concatenate(x) for x in zip(*found))
+                frames = table.select(["dataset", "t"]).take(pa.array(a)).combine_chunks().to_batches()
+                for f in frames:
+                    yield pa.RecordBatch.from_arrays([*f.columns, pa.array(ids[a]), pa.array(ids[b]), pa.array(d)],
+                                                     ["dataset", "t", "source_id", "target_id", "d"])
+
+    return spread(sides, ["dataset", "t"], ["side", "node_id"]).mapInArrow(solve, schema)
 
 
 def recall_at_budget(pred: DataFrame, gt: DataFrame, radius: float = MATCH_RADIUS_UM) -> DataFrame:
