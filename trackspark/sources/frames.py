@@ -21,8 +21,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 from trackspark.session import ship_package
 
-#: Frames of one task.
-RUN = 16
+#: A task reads so many bytes of frames, and so many frames at most.
+TASK_BYTES, TASK_FRAMES = 1 << 27, 1024
 _FIELDS = "dataset string, t bigint, z int, y int, x int, v double"
 
 
@@ -48,6 +48,7 @@ def _frame_path(folder: str, dataset: str, t: int) -> str:
 class FrameReader(DataSourceReader):
     def __init__(self, uri: str, shape: tuple[int, int, int], dtype: str):
         self.uri, self.shape, self.dtype = uri, shape, dtype
+        self.run = max(1, min(TASK_FRAMES, TASK_BYTES // (int(np.prod(shape)) * np.dtype(dtype).itemsize)))
         self.names: set[str] | None = None
         self.low, self.high = 0, float("inf")
 
@@ -73,9 +74,10 @@ class FrameReader(DataSourceReader):
         runs = []
         for name in sorted(names):
             chunks = system.get_file_info(fs.FileSelector(f"{folder}/{name}/0/c", allow_not_found=True))
-            frames = (int(e.base_name) for e in chunks if e.base_name.isdecimal())
-            runs += [FrameRun(folder, name, max(self.low, k * RUN), min(self.high, (k + 1) * RUN - 1))
-                     for k in sorted({t // RUN for t in frames if self.low <= t <= self.high})]
+            frames = sorted(t for t in (int(e.base_name) for e in chunks if e.base_name.isdecimal()) if self.low <= t <= self.high)
+            # runs hold frames that exist, so recordings with gaps make no more tasks than others
+            runs += [FrameRun(folder, name, part[0], part[-1])
+                     for part in (frames[k:k + self.run] for k in range(0, len(frames), self.run))]
         return runs
 
     def read(self, partition: FrameRun) -> Iterator[pa.RecordBatch]:
