@@ -146,7 +146,7 @@ def _closing(detections):
     A marker belongs to no recording and links to nothing; it lets the watermark pass
     the last frames, as the next recording would in a stream that goes on.
     """
-    marker = F.struct(F.lit("~").alias("dataset"), F.lit(-2).cast("bigint").alias("t"),
+    marker = F.struct(F.concat(F.lit("~"), "dataset").alias("dataset"), F.lit(-2).cast("bigint").alias("t"),
                       (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
     own = F.struct("dataset", "t", "ts")
     rows = F.when(F.col("t") == 19, F.array(own, marker)).otherwise(F.array(own))
@@ -157,10 +157,12 @@ def _closing(detections):
 @query("st2_online_links", "ST2", ctes("pred") + f"""
 SELECT dataset, t, source_id, target_id, round(d, 6) AS d FROM ({nearest_sql('pred', 9)}) n""")
 def online_links(i: Inputs):
+    from trackspark.streaming.linker import rocks_state
     path = _out(i, "links")
     links = online.online_nearest_links(
         _closing(_detections(_stream(i, "events"))), _closing(_detections(_stream(i, "events"))), 9.0)
-    online.run_available(links, path)
+    with rocks_state(i.spark):
+        online.run_available(links, path)
     return i.spark.read.parquet(path).select("dataset", "t", "source_id", "target_id", r6("d"))
 
 

@@ -11,6 +11,7 @@ may arrive in any number of batches and pieces; only rows later than the waterma
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,17 +30,29 @@ LINK = "dataset string, t bigint, source_id bigint, target_id bigint, d double"
 STEP_CELLS = 1 << 20
 
 
-def nearest(sources: tuple, targets: tuple, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(source ids, target ids, distances) of the nearest targets closer than ``radius``; ties to the lowest id."""
+def nearest(sources: tuple, targets: tuple, radius: float,
+            times: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source ids, target ids, distances) of the nearest targets closer than ``radius``; ties to the lowest id.
+
+    With ``times`` (of sources, of targets, most that lies between) a target is neither earlier nor later than that.
+    """
     s_ids, t_ids = np.asarray(sources[0], np.int64), np.asarray(targets[0], np.int64)
     s, t = (np.stack([np.asarray(c, float) for c in p[1:]], 1) for p in (sources, targets))
     order = np.argsort(t_ids, kind="stable")
     t_ids, t = t_ids[order], t[order]
+    if times is not None:
+        s_at, t_at, most = times[0], times[1][order], times[2]
+        if len(s) and len(t) and s_at.max() <= t_at.min() and t_at.max() <= s_at.min() + most:
+            times = None
     found = [], [], []
     step = max(1, STEP_CELLS // max(len(t), 1))
     for k in range(0, len(s) if len(t) else 0, step):
         part = s[k:k + step]
         d = np.sqrt(sum((part[:, None, a] - t[None, :, a]) ** 2 for a in range(3)))
+        if times is not None:
+            lag = t_at[None, :] - s_at[k:k + step, None]
+            d[(lag < 0) | (lag > most)] = np.inf
+        d[np.isnan(d)] = np.inf
         best = d.argmin(1)
         d = d[np.arange(len(part)), best]
         near = d < radius
@@ -129,23 +142,29 @@ def online_links(stream: DataFrame, radius: float, start_ms: int, frame_ms: int
         outputMode="Append", timeMode="EventTime")
 
 
+@contextmanager
+def rocks_state(spark) -> Iterator[None]:
+    """State of the streams started inside is kept by RocksDB, off the heap; the session is left as it was."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
 def run_stateful(stream: DataFrame, path: str, checkpoint: str | None = None) -> int:
     """Process everything available into Parquet under ``path``, one folder per batch; the number of batches.
 
     State is kept by RocksDB and saved with the checkpoint, which must lie in a shared folder.
     """
-    spark = stream.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
     seen = []
 
     def store(batch: DataFrame, batch_id: int) -> None:
         seen.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    spark.conf.set(_PROVIDER, ROCKS)
-    try:
+    with rocks_state(stream.sparkSession):
         (stream.writeStream.outputMode("append").foreachBatch(store).trigger(availableNow=True)
          .option("checkpointLocation", checkpoint or f"{path}-checkpoint").start().awaitTermination())
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     return len(set(seen))
