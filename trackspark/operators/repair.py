@@ -53,11 +53,18 @@ def _per(df: DataFrame, keys: list[str]) -> DataFrame:
 def gap_pairs(nodes: DataFrame, edges: DataFrame, delta: int, radius: float,
               scale=DEFAULT_SCALE) -> DataFrame:
     """Track ends at t with track starts at t+delta within ``radius``: end_id, start_id, d."""
-    marked = with_um(open_ends(nodes, edges), scale)
+    ends, starts = _gap_sides(nodes, edges, delta, scale)
+    return range_join(ends, starts, radius, PAIR).select(*PAIR, "end_id", "start_id", "d")
+
+
+def _gap_sides(nodes: DataFrame, edges: DataFrame, delta: int, scale=DEFAULT_SCALE) -> tuple[DataFrame, DataFrame]:
+    """Track ends, and track starts re-keyed to the frame ``delta`` earlier, both with ``zu, yu, xu``."""
+    marked = cut_lineage(with_um(open_ends(nodes, edges), scale).where("is_end OR is_start")
+                         .select(*PAIR, "node_id", "zu", "yu", "xu", "is_end", "is_start"), "open")
     ends = marked.where("is_end").select(*PAIR, F.col("node_id").alias("end_id"), "zu", "yu", "xu")
     starts = marked.where("is_start").select(
         "dataset", (F.col("t") - delta).alias("t"), F.col("node_id").alias("start_id"), "zu", "yu", "xu")
-    return range_join(ends, starts, radius, PAIR).select(*PAIR, "end_id", "start_id", "d")
+    return ends, starts
 
 
 def assign_gaps(pairs: DataFrame, big) -> DataFrame:
@@ -199,25 +206,29 @@ def two_frame_proposals(nodes: DataFrame, edges: DataFrame, total_um: float = 9.
 
     Columns: dataset, t, end_id, start_id, d, score (distance plus a penalty for turning).
     """
-    pairs = gap_pairs(nodes, edges, 3, min(total_um, 3.0 * step_um))
-    pairs = pairs.where((F.col("d") <= total_um) & (F.col("d") / 3.0 <= step_um))
+    radius = min(total_um, 3.0 * step_um)
+    close = (F.col("d") <= total_um) & (F.col("d") / 3.0 <= step_um)
     if not need_context:
-        return pairs.withColumn("score", F.col("d"))
+        return gap_pairs(nodes, edges, 3, radius).where(close).withColumn("score", F.col("d"))
     spots = with_um(nodes)
 
-    def at(name, prefix):
-        return spots.select("dataset", F.col("node_id").alias(name),
-                            *[F.col(f"{a}u").alias(f"{prefix}{a}") for a in "zyx"])
-
-    before = only_neighbour(edges, "target_id", "source_id", "prev_id").withColumnsRenamed({"node_id": "end_id"})
-    after = only_neighbour(edges, "source_id", "target_id", "next_id").withColumnsRenamed({"node_id": "start_id"})
-    rows = (pairs.join(at("end_id", "e"), ["dataset", "end_id"]).join(at("start_id", "s"), ["dataset", "start_id"])
-            .join(before, ["dataset", "end_id"], "left").join(at("prev_id", "b"), ["dataset", "prev_id"], "left")
-            .join(after, ["dataset", "start_id"], "left").join(at("next_id", "n"), ["dataset", "next_id"], "left"))
-    rows = rows.withColumns({
-        **{f"step{a}": (F.col(f"s{a}") - F.col(f"e{a}")) / 3.0 for a in "zyx"},
-        **{f"back{a}": F.col(f"e{a}") - F.col(f"b{a}") for a in "zyx"},
-        **{f"fore{a}": F.col(f"n{a}") - F.col(f"s{a}") for a in "zyx"}})
+    def beside(side, name, own, other, found, prefix):
+        """The side with the only neighbour of its points: joined here, so no pair is moved for it."""
+        known = only_neighbour(edges, own, other, found).withColumnsRenamed({"node_id": name})
+        at = spots.select("dataset", F.col("node_id").alias(found), *[F.col(f"{a}u").alias(f"{prefix}{a}") for a in "zyx"])
+        return side.join(known, ["dataset", name], "left").join(at, ["dataset", found], "left")
+
+    ends, starts = _gap_sides(nodes, edges, 3)
+    ends = cut_lineage(beside(ends, "end_id", "target_id", "source_id", "prev_id", "b"), "ends")
+    starts = cut_lineage(beside(starts, "start_id", "source_id", "target_id", "next_id", "n"), "starts")
+    # A generated row keeps the tests below out of the join's own condition, which runs for every
+    # candidate of a cell and is no longer compiled if it grows that long.
+    moves = F.explode(F.array(F.struct(
+        *[((F.col(f"r_{a}u") - F.col(f"l_{a}u")) / 3.0).alias(f"step{a}") for a in "zyx"],
+        *[(F.col(f"l_{a}u") - F.col(f"b{a}")).alias(f"back{a}") for a in "zyx"],
+        *[(F.col(f"n{a}") - F.col(f"r_{a}u")).alias(f"fore{a}") for a in "zyx"])))
+    rows = (range_join(ends, starts, radius, PAIR).where(close)
+            .select(*PAIR, "end_id", "start_id", "d", "prev_id", "next_id", moves.alias("_m")).select("*", "_m.*"))
 
     def length(p):
         return norm3(*[F.col(f"{p}{a}") for a in "zyx"])
