@@ -201,3 +201,25 @@ def test_recall_counts_each_truth_once(graph):
     gt, _ = graph([(0, 0, 0, 0), (0, 0, 100, 0)])
     pred, _ = graph([(0, 0, 1, 0), (0, 0, 2, 0)])
     assert assign.recall_at_budget(pred, gt).select(F.round("recall", 3)).first()[0] == 0.5
+
+
+def test_undisputed_components_are_not_solved(monkeypatch):
+    """Components where every end has a best partner of its own need no cost matrix; ties and conflicts do."""
+    solved, kernel = [], assign._heaviest
+    monkeypatch.setattr(assign, "_heaviest", lambda l, r, w: solved.append(set(l.tolist())) or kernel(l, r, w))
+    left = np.array([0, 0, 1, 1, 10, 10, 11, 20, 20, 30, 31, 31])
+    right = np.array([0, 1, 0, 1, 10, 11, 11, 20, 21, 30, 30, 31])
+    weight = np.array([5.0, 1, 2, 4, 5, 4, 3, 2, 2, 1, 3, 1])
+    pick = assign.heaviest_matching(left, right, weight)
+    assert {(left[i], right[i]) for i in pick if left[i] != 20} == {(0, 0), (1, 1), (10, 10), (11, 11), (31, 30)}
+    assert sum(left[pick] == 20) == 1
+    assert {20} in solved and {0, 1} not in solved
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        n = r.integers(2, 9)
+        both = np.unique(r.integers(0, 5, (n, 2)), axis=0)
+        w = r.permutation(50)[:len(both)].astype(float) - 5
+        fast = assign.heaviest_matching(both[:, 0], both[:, 1], w)
+        slow = kernel(both[:, 0], both[:, 1], w)
+        assert w[fast].sum() == w[slow[w[slow] > 0]].sum()
+        assert len(set(both[fast, 0])) == len(set(both[fast, 1])) == len(fast)

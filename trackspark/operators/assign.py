@@ -131,18 +131,44 @@ def heaviest_matching(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -
     Components of the candidates are solved one by one, so the largest cost matrix is that
     of a component, not of all ends.
     """
+    if not len(left):
+        return np.zeros(0, np.int64)
     part = pair_components(left, right)
     order = np.argsort(part, kind="stable")
     bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-    sizes = np.diff(bounds)
-    chosen = [order[bounds[:-1][sizes == 1]]]
-    for a, b in zip(bounds[:-1][sizes > 1], bounds[1:][sizes > 1]):
+    chosen, plain = _undisputed(left, right, weight, part)
+    open_ = ~plain[part[order[bounds[:-1]]]]
+    for a, b in zip(bounds[:-1][open_], bounds[1:][open_]):
         own = order[a:b]
         chosen.append(own[_heaviest(left[own], right[own], weight[own])])
     chosen = np.concatenate(chosen)
     return np.sort(chosen[weight[chosen] > 0])
 
 
+def _undisputed(left: np.ndarray, right: np.ndarray, weight: np.ndarray,
+                part: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(pairs of the components that need no solving, a mark for each such component by its number).
+
+    If all ends of one side have a best partner of their own, above zero and better than their second,
+    these pairs are the only optimum: no other choice gives any of them as much.
+    """
+    plain, chosen = np.zeros(int(part.max()) + 1, bool), []
+    for own, other in ((left, right), (right, left)):
+        order = np.lexsort((-weight, own))
+        mine, value = own[order], weight[order]
+        first = np.append(True, mine[1:] != mine[:-1])
+        tied = np.append(value[1:] == value[:-1], False) & first & ~np.append(first[1:], True)
+        best = order[first]
+        spoilt = np.zeros(len(plain), bool)
+        spoilt[part[order[tied]]] = True
+        spoilt[part[best[weight[best] <= 0]]] = True
+        taken = best[np.argsort(other[best], kind="stable")]
+        spoilt[part[taken[1:][other[taken[1:]] == other[taken[:-1]]]]] = True
+        chosen.append(best[~spoilt[part[best]] & ~plain[part[best]]])
+        plain[np.unique(part[best])] |= ~spoilt[np.unique(part[best])]
+    return chosen, plain
+
+
 def _heaviest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
     lu, li = np.unique(left, return_inverse=True)
     ru, ri = np.unique(right, return_inverse=True)
@@ -342,9 +368,9 @@ def match_pairs(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str
         return fullest_matching(l, r, w), heaviest_matching(l, r, w + 1.0)
 
     def pick_frame(l, r, w, cover):
-        full, loose = both(l, r, w)
+        full = fullest_matching(l, r, w)
         complete = len(full) == cover[0]
-        return [(full if complete else loose, complete)]
+        return [(full if complete else heaviest_matching(l, r, w + 1.0), complete)]
 
     out = picked(small, keys, [*ends, "_cover"], pick_frame, "_full")
     if parts is not None:

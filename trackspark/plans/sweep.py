@@ -65,12 +65,14 @@ def _seen(df: DataFrame, plan: DataFrame, column: str) -> DataFrame:
     return df.join(plan.select("dataset", column), "dataset").withColumn("_v", F.explode(passes)).drop(column)
 
 
-def _of_arms(df: DataFrame, plan: DataFrame, *, reach: bool = False) -> DataFrame:
-    """Rows keyed by floor and separation once per arm that uses them; ``dataset`` then names both."""
+def _of_arms(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Links of views once per arm that uses them; links that name their ``arm`` already stay as they are."""
+    if "arm" in df.columns:
+        return df
     used = F.filter("_arms", lambda a: (a["floor"] == F.col("floor")) & (a["sep"] == F.col("sep"))
-                    & ((F.col("d") < a["radius"]) if reach else F.lit(True)))
+                    & (F.col("d") < a["radius"]))
     return (df.join(plan.select("dataset", "_arms"), "dataset").withColumn("_a", F.explode(used))
-            .withColumn("dataset", F.concat_ws(_MARK, "_a.arm", "dataset")).drop("_arms", "_a"))
+            .withColumn("arm", F.col("_a.arm")).drop("_arms", "_a"))
 
 
 def evaluate_grid(nodes: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, budgets: DataFrame,
@@ -105,9 +107,6 @@ def evaluate_grid(nodes: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, bu
 
     asked = plan.select("dataset")
     placed = cut_lineage(clearance(with_um(nodes, scale).join(asked, "dataset", "left_semi"), top.sep), "placed")
-    links = _linked(placed, plan, top.radius, mode)
-    edges = cut_lineage(links.select("dataset", F.col("source_id").alias("edge_id"), "source_id", "target_id"), "edges")
-
     keys = [*_VIEW, "dataset", "t"]
     truth = gt_nodes.join(plan.select("dataset", "_views"), "dataset").select(
         "dataset", "t", "node_id", F.inline("_views"))
@@ -117,16 +116,53 @@ def evaluate_grid(nodes: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, bu
     near = _seen(near, plan, "_views").select("dataset", "t", "gt_id", "pred_id", "d", "w", "_v.*")
     matches = cut_lineage(assign.match_pairs(near, seen, truth, keys), "matches")
 
-    wanted = gt_edges.join(plan.select("dataset", "_arms"), "dataset").select("*", F.explode("_arms").alias("_a"))
-    true_edges = wanted.withColumn("dataset", F.concat_ws(_MARK, "_a.arm", "dataset")).drop("_arms", "_a")
-    counts = score.edge_counts(_of_arms(seen, plan), edges, _of_arms(matches, plan), _of_arms(truth, plan), true_edges)
-    both = F.split("dataset", _MARK, 2)
-    counts = counts.withColumns({"arm": both[0], "dataset": both[1]})
-    return score.metric_rows(counts, budgets).join(arms, ["arm", "dataset"])
+    marked = _marked(_linked(placed, plan, top.radius, mode), matches, gt_edges)
+    return score.metric_rows(_counts(arms, plan, marked, seen, matches, gt_nodes, gt_edges), budgets).join(arms, ["arm", "dataset"])
+
+
+def _marked(links: DataFrame, matches: DataFrame, gt_edges: DataFrame) -> DataFrame:
+    """The links that the metric sees, with ``is_tp``; what ``score.classify_edges`` gives for them.
+
+    A source has one link in a view and matchings are one-to-one, so no two links repeat each other,
+    meet at one pair of true points or leave one source: nothing is left to repair.
+    """
+    ends = gt_edges.select("dataset", F.explode(F.array(
+        F.struct(F.col("source_id").alias("gt_id"), F.lit(True).alias("out")),
+        F.struct(F.col("target_id").alias("gt_id"), F.lit(False).alias("out")))).alias("_e")).select("dataset", "_e.*")
+    flags = ends.groupBy("dataset", "gt_id").agg(F.bool_or("out").alias("_out"), F.bool_or(~F.col("out")).alias("_in"))
+    known = cut_lineage(matches.join(flags, ["dataset", "gt_id"], "left"), "known")
+
+    def end(name, flag):
+        return known.select(*_VIEW, "dataset", F.col("pred_id").alias(f"{name}_id"), F.col("gt_id").alias(f"_{name}"),
+                            F.coalesce(flag, F.lit(False)).alias(flag))
+    sides = (links.join(end("source", "_out"), [*_VIEW, "dataset", "source_id"], "left")
+             .join(end("target", "_in"), [*_VIEW, "dataset", "target_id"], "left").where("_out OR _in"))
+    pairs = gt_edges.select("dataset", F.col("source_id").alias("_source"), F.col("target_id").alias("_target")) \
+        .distinct().withColumn("is_tp", F.lit(True))
+    return sides.join(pairs, ["dataset", "_source", "_target"], "left").fillna(False, ["is_tp"])
+
+
+def _counts(arms: DataFrame, plan: DataFrame, marked: DataFrame, seen: DataFrame, matches: DataFrame,
+            gt_nodes: DataFrame, gt_edges: DataFrame) -> DataFrame:
+    """The columns of ``score.edge_counts`` per arm: links count per arm, points per view, truth per dataset."""
+    view = ["dataset", *_VIEW]
+
+    def per(df, keys, out):
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    hits = _of_arms(marked, plan).groupBy("dataset", "arm").agg(
+        F.count_if("is_tp").alias("edge_tp"), F.count_if(~F.col("is_tp")).alias("edge_fp"))
+    truth = per(gt_edges, ["dataset", "source_id"], "_deg").groupBy("dataset").agg(
+        F.sum("_deg").alias("_edges"), F.count_if(F.col("_deg") > 1).alias("division_fn"))
+    return (arms.join(per(gt_nodes, ["dataset"], "num_gt_nodes"), "dataset").join(truth, "dataset", "left")
+            .join(per(seen, view, "num_pred_nodes"), view, "left")
+            .join(per(matches, view, "num_matched_nodes"), view, "left")
+            .join(hits, ["dataset", "arm"], "left")
+            .fillna(0, ["_edges", "division_fn", "num_pred_nodes", "num_matched_nodes", "edge_tp", "edge_fp"])
+            .withColumn("edge_fn", F.col("_edges") - F.col("edge_tp")).drop("_edges"))
 
 
 def _linked(placed: DataFrame, plan: DataFrame, widest: float, mode: str) -> DataFrame:
-    """Links of all arms; ``dataset`` names arm and dataset."""
+    """Links of all views with their length; if an arm's links depend on its radius, of all arms, with ``arm``."""
     def end(name, frame):
         return placed.select("dataset", frame.alias("t"), F.col("node_id").alias(f"{name}_id"), "zu", "yu", "xu",
                              F.col("score").alias(f"_{name}_s"), F.col("clear_um").alias(f"_{name}_c"))
@@ -136,11 +172,14 @@ def _linked(placed: DataFrame, plan: DataFrame, widest: float, mode: str) -> Dat
     if mode == "nearest":
         nearest = (_seen(pairs, plan, "_views").groupBy("dataset", "source_id", "_v")
                    .agg(F.min(F.struct("d", "target_id")).alias("_b")))
-        return _of_arms(nearest.select("dataset", "source_id", "_b.*", "_v.*"), plan, reach=True)
+        return nearest.select("dataset", "source_id", "_b.*", "_v.*")
     near = _seen(pairs, plan, "_arms").where("d <= _v.radius").select(
         F.concat_ws(_MARK, "_v.arm", "dataset").alias("dataset"), "t", "source_id", "target_id", "d",
         (F.col("_v.radius") - F.col("d")).alias("_w"))
-    return assign.max_weight_matching(near, ["dataset", "t"], "source_id", "target_id", "_w", fullest=True)
+    found = assign.max_weight_matching(near, ["dataset", "t"], "source_id", "target_id", "_w", fullest=True)
+    both = F.split("dataset", _MARK, 2)
+    return (found.select(both[1].alias("dataset"), both[0].alias("arm"), "source_id", "target_id")
+            .join(plan.select("dataset", F.inline("_arms")), ["dataset", "arm"]).drop("radius"))
 
 
 def resume_grid(nodes: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, budgets: DataFrame, arms: DataFrame,
