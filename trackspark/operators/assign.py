@@ -10,7 +10,7 @@ optimum of the same objective, so the route changes the cost of an answer, not t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import with_um
 from trackspark.operators.graph import connected_components
-from trackspark.operators.grouped import picked, spread, whole_groups
+from trackspark.operators.grouped import crowded, distances, picked, side_by_side, spread, whole_groups
 from trackspark.operators.pricing import link_priced
 from trackspark.operators.spatial import as_sources, link_candidates, next_frame, range_join
 from trackspark.schema import DEFAULT_SCALE, MATCH_RADIUS_UM
@@ -75,25 +75,31 @@ def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 row_price[r] = low
             row_of[j], col_of[r] = r, j
         waiting = outbid
+    # one set of arrays for all paths: a step is a few passes over a row, so allocation would cost as much
+    through, nearer, outside = np.empty(m), np.empty(m, bool), np.empty(m, bool)
     for start in np.flatnonzero(col_of < 0):
         row_price[start] = (cost[start] - col_price).min()
         reach = cost[start] - row_price[start] - col_price
         via = np.full(m, start)
-        settled = np.zeros(m, bool)
+        outside.fill(True)
         open_reach = reach.copy()
         while True:
             j = int(open_reach.argmin())
-            limit = open_reach[j]
-            settled[j] = True
+            limit = reach[j]
+            outside[j] = False
             open_reach[j] = np.inf
-            if row_of[j] < 0:
-                break
             r = row_of[j]
-            through = limit + cost[r] - row_price[r] - col_price
-            nearer = ~settled & (through < reach)
-            reach[nearer] = through[nearer]
-            open_reach[nearer] = through[nearer]
+            if r < 0:
+                break
+            np.add(cost[r], limit, out=through)
+            np.subtract(through, row_price[r], out=through)
+            np.subtract(through, col_price, out=through)
+            np.less(through, open_reach, out=nearer)
+            np.logical_and(nearer, outside, out=nearer)
+            np.copyto(reach, through, where=nearer)
+            np.copyto(open_reach, through, where=nearer)
             via[nearer] = r
+        settled = ~outside
         done = np.flatnonzero(settled)
         gain = limit - reach[done]
         owned = row_of[done] >= 0
@@ -239,6 +245,41 @@ def max_weight_matching(pairs: DataFrame, keys: list[str], left: str, right: str
     return out
 
 
+def match_near(left: DataFrame, right: DataFrame, radius: float, keys: list[str], left_id: str, right_id: str,
+               big: Callable) -> DataFrame:
+    """One-to-one pairs within ``radius`` of least total distance per key group: keys, left_id, right_id, d.
+
+    A row left alone costs ``big`` of the group's longest pair. Both sides carry ``zu, yu, xu``. A group whose
+    distances fit a task is solved from its points, and its pairs are never written or exchanged; only
+    the pairs of larger groups come from the grid join.
+    """
+    ends = [left.withColumnRenamed(left_id, "node_id"), right.withColumnRenamed(right_id, "node_id")]
+    kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
+
+    def solve(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        d = distances(a[1:], b[1:])
+        l, r = np.nonzero(d <= radius)
+        d = d[l, r]
+        weight = big(d.max()) - d if len(d) else d
+        l, r, d, weight = (x[weight > 0] for x in (l, r, d, weight))
+        best = heaviest_matching(a[0][l], b[0][r], weight)
+        return [a[0][l[best]], b[0][r[best]], d[best]]
+
+    def solved(sides):
+        return side_by_side(*sides, keys, ["node_id", "zu", "yu", "xu"],
+                            f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, d double", solve)
+
+    large = crowded(*ends, keys, TASK_CELLS)
+    if large is None:
+        return solved(ends)
+    pairs = cut_lineage(range_join(*[s.join(large, keys, "left_semi") for s in (left, right)], radius, keys)
+                        .select(*keys, left_id, right_id, "d"), "near")
+    tops = pairs.groupBy(*keys).agg(F.max("d").alias("_top"))
+    weighted = pairs.join(tops, keys).withColumn("_w", big(F.col("_top")) - F.col("d")).drop("_top")
+    rest = max_weight_matching(weighted, keys, left_id, right_id, "_w").drop("_w")
+    return solved([s.join(large, keys, "left_anti") for s in ends]).unionByName(rest)
+
+
 def _offers(pairs: DataFrame, keys: list[str], left: str, right: str, worth: Column) -> DataFrame:
     """The graph whose complete matchings are the matchings of ``pairs``: keys, p, o, worth.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import cosine, lerp, norm3, with_um
 from trackspark.functions.scalars import sanitise_probability
-from trackspark.operators.assign import TASK_CELLS, heaviest_matching, max_weight_matching
+from trackspark.operators.assign import TASK_CELLS, heaviest_matching, match_near, max_weight_matching
 from trackspark.operators.edges import (
     best_edge, degrees, drop_long, edge_length, only_neighbour, open_ends, with_endpoints)
 from trackspark.operators.graph import (
@@ -67,10 +67,13 @@ def _gap_sides(nodes: DataFrame, edges: DataFrame, delta: int, scale=DEFAULT_SCA
     return ends, starts
 
 
-def assign_gaps(pairs: DataFrame, big) -> DataFrame:
-    """One-to-one gaps per frame of least total distance, a gap left open costing ``big``."""
-    weighted = pairs.withColumn("w", big - F.col("d"))
-    return max_weight_matching(weighted, PAIR, "end_id", "start_id", "w").drop("w")
+def assigned_gaps(nodes: DataFrame, edges: DataFrame, delta: int, radius: float, big, scale=DEFAULT_SCALE) -> DataFrame:
+    """One-to-one gaps per frame of least total distance.
+
+    A gap left open costs ``big``, a function of the longest one that the frame could close.
+    """
+    ends, starts = _gap_sides(nodes, edges, delta, scale)
+    return match_near(ends, starts, radius, PAIR, "end_id", "start_id", big)
 
 
 def _points(nodes: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -93,9 +96,7 @@ def close_gaps(nodes: DataFrame, edges: DataFrame, link_radius: float = 9.0, sla
     Gaps are chosen by optimal assignment per frame; with ``max_share``, at most ceil(share of
     nodes) nodes are added per dataset, earliest frames first. Returns only the added ones.
     """
-    pairs = cut_lineage(gap_pairs(nodes, edges, 2, 2.0 * link_radius * slack, scale), "gaps")
-    tops = pairs.groupBy(*PAIR).agg((F.max("d") * 10 + 1).alias("_big"))
-    chosen = assign_gaps(pairs.join(tops, PAIR), F.col("_big")).drop("_big")
+    chosen = cut_lineage(assigned_gaps(nodes, edges, 2, 2.0 * link_radius * slack, lambda top: top * 10 + 1, scale), "gaps")
     ranked = rank_rows(chosen, ["dataset"], ["t", "end_id"], "_rank")
     kept = _capped(ranked, _per(nodes, ["dataset"]), ["dataset"], max_share, whole=F.ceil)
     placed = midpoints(kept, nodes).withColumn("t", F.col("t") + 1)
@@ -181,8 +182,8 @@ def close_gaps_reusing(nodes: DataFrame, edges: DataFrame, gap_um: float = 5.9,
     ``refine`` may move the inserted points (dataset, t, point_id, z, y, x) -> the same.
     """
     limit = 2.0 * gap_um
-    pairs = gap_pairs(nodes, edges, 2, limit)
-    gaps = cut_lineage(midpoints(assign_gaps(pairs, F.lit(limit * 1000.0 + 1.0)), nodes), "gaps")
+    chosen = assigned_gaps(nodes, edges, 2, limit, lambda top: limit * 1000.0 + 1.0)
+    gaps = cut_lineage(midpoints(chosen, nodes), "gaps")
     settled = cut_lineage(settle_reuse(gaps, gap_choices(gaps, nodes, edges, reuse_um)), "settled")
     reused = settled.where("iso_id IS NOT NULL").withColumn("node_id", F.col("iso_id"))
     fresh = rank_rows(settled.where("iso_id IS NULL"), ["dataset"], ["t", "end_id"], "_rank")
