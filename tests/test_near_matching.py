@@ -38,3 +38,18 @@ def test_same_pairs_as_from_the_join(spark, monkeypatch):
     monkeypatch.setattr(assign, "TASK_CELLS", 500)
     assert sum(r[1] == 1 for r in some) < 11
     assert rows(assign.match_near(few, starts, 5.0, KEYS, "end_id", "start_id", big)) == some
+
+
+def test_gaps_of_small_frames_need_no_pair_table(spark, monkeypatch):
+    nodes = spark.createDataFrame([("d", k, t, 0.0, 10.0 * k, 0.0) for k, t in ((0, 0), (1, 2), (9, 0), (10, 2))],
+                                  "dataset string, node_id bigint, t bigint, z double, y double, x double")
+    edges = spark.createDataFrame([], "dataset string, source_id bigint, target_id bigint")
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs were joined")
+
+    for module in (repair, assign):
+        monkeypatch.setattr(module, "range_join", refuse)
+    added, links = repair.close_gaps(nodes, edges)
+    assert sorted((r.t, r.y) for r in added.collect()) == [(1, 5.0), (1, 95.0)]
+    assert links.count() == 4
