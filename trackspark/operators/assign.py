@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import with_um
 from trackspark.operators.graph import connected_components
-from trackspark.operators.grouped import crowded, distances, picked, side_by_side, spread, whole_groups
+from trackspark.operators.grouped import TASK_CELLS, crowded, distances, picked, side_by_side, spread, whole_groups
 from trackspark.operators.pricing import link_priced
 from trackspark.operators.spatial import as_sources, link_candidates, next_frame, range_join
 from trackspark.schema import DEFAULT_SCALE, MATCH_RADIUS_UM
 from trackspark.session import cut_lineage, discard, is_empty
 
-TASK_CELLS = 4_000_000
 #: Weights of an auction are whole multiples of this: exact for float32 weights up to 1.
 RESOLUTION = 2.0 ** -27
 _WHOLE = "decimal(38,0)"

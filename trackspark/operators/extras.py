@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import norm3, with_um
 from trackspark.operators.edges import with_endpoints
+from trackspark.operators.grouped import STEP_CELLS, TASK_CELLS, crowded, distances, within
 from trackspark.operators.ordering import exact_percentiles, rank_rows
 from trackspark.operators.spatial import range_join
 from trackspark.schema import DEFAULT_SCALE
 from trackspark.session import cut_lineage, is_empty
 
+PAIR = ["dataset", "t"]
+
 
 def leaderboard_summary(scores: DataFrame, column: str, threshold: float) -> DataFrame:
     """Scored teams, top and median score, and how many reach ``threshold``."""
@@ -96,16 +102,54 @@ def without_bulk_motion(nodes: DataFrame, motion: DataFrame) -> DataFrame:
 
 
 def motion_residuals(nodes: DataFrame, edges: DataFrame, radius_um: float) -> DataFrame:
-    """How far each step differs from the median step of the steps starting nearby (µm)."""
-    steps = cut_lineage(_steps(nodes, edges), "steps")
-    placed = with_um(steps)
+    """How far each step differs from the median step of the steps starting nearby (µm).
+
+    A frame whose distances fit a task has its medians taken there, from its steps; only larger
+    frames go through a table of pairs.
+    """
+    steps = cut_lineage(with_um(_steps(nodes, edges)), "steps")
+    placed = steps.where("zu IS NOT NULL AND yu IS NOT NULL AND xu IS NOT NULL")
+    large = crowded(placed, placed, PAIR, TASK_CELLS)
+    small = placed if large is None else placed.join(large, PAIR, "left_anti")
+    columns = ["dataset", "edge_id", "dz", "dy", "dx", "mz", "my", "mx"]
+    out = within(small, PAIR, ["edge_id", "zu", "yu", "xu", "dz", "dy", "dx"],
+                 f"edge_id {dict(steps.dtypes)['edge_id']}, " + ", ".join(f"{c} double" for c in columns[2:]),
+                 partial(_nearby_medians, radius_um)).select(*columns)
+    if large is not None:
+        out = out.unionByName(_joined_medians(placed.join(large, PAIR, "left_semi"), radius_um).select(*columns))
+    return out.withColumn("residual", norm3(*[
+        (F.col(f"d{a}") - F.col(f"m{a}")) * F.lit(s) for a, s in zip("zyx", DEFAULT_SCALE)]))
+
+
+def _nearby_medians(radius_um: float, ids: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Steps that have others nearby, with the medians of those: edge_id, dz, dy, dx, mz, my, mx."""
+    places, moves, parts = columns[:3], columns[3:], []
+    step = max(1, STEP_CELLS // len(ids))
+    for k in range(0, len(ids), step):
+        near = distances([p[k:k + step] for p in places], places) <= radius_um
+        near &= ids[k:k + step, None] != ids[None, :]
+        medians = []
+        for move in moves:
+            # a step without this value is nobody's neighbour along this axis
+            known = near & ~np.isnan(move)
+            values = np.sort(np.where(known, move, np.inf), axis=1)
+            n = known.sum(1)
+            place = 0.5 * np.maximum(n - 1, 0)
+            low, high = (values[np.arange(len(n)), end(place).astype(np.int64)] for end in (np.floor, np.ceil))
+            low, high = np.where(n > 0, [low, high], np.nan)
+            medians.append(low + (high - low) * (place - np.floor(place)))
+        kept = ~np.isnan(medians).any(0)
+        parts.append([x[kept] for x in (ids[k:k + step], *[m[k:k + step] for m in moves], *medians)])
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def _joined_medians(placed: DataFrame, radius_um: float) -> DataFrame:
     left = placed.select("dataset", "t", "edge_id", "zu", "yu", "xu")
     right = placed.select("dataset", "t", F.col("edge_id").alias("other_id"), "zu", "yu", "xu", "dz", "dy", "dx")
     near = cut_lineage(range_join(left, right, radius_um, ["dataset", "t"])
                        .where(F.col("edge_id") != F.col("other_id"))
                        .select("dataset", "edge_id", "dz", "dy", "dx"), "near")
-    out = steps.select("dataset", "edge_id", "dz", "dy", "dx")
+    out = placed.select("dataset", "edge_id", "dz", "dy", "dx")
     for a in "zyx":
         out = out.join(exact_percentiles(near, ["dataset", "edge_id"], f"d{a}", {f"m{a}": 0.5}), ["dataset", "edge_id"])
-    return out.withColumn("residual", norm3(*[
-        (F.col(f"d{a}") - F.col(f"m{a}")) * F.lit(s) for a, s in zip("zyx", DEFAULT_SCALE)]))
+    return out

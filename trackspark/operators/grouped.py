@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from trackspark.session import cut_lineage, is_empty
 
+#: Distances of a group that fit a task; larger groups are split or joined on a grid.
+TASK_CELLS = 4_000_000
+#: Distances that one vectorised step of a group holds.
+STEP_CELLS = 1 << 20
+
 
 def spread(rows: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
     """``rows`` sorted by group inside partitions, a group in one of them.
