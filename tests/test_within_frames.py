@@ -38,3 +38,18 @@ def test_medians_of_small_frames_need_no_pair_table(graph, monkeypatch):
         assert got() == expected
     monkeypatch.setattr(extras, "range_join", refuse)
     assert got() == expected
+
+
+def test_spacing_of_small_frames_needs_no_pair_table(graph, monkeypatch):
+    nodes, _ = graph([(0, 0, 0, 0), (0, 0, 3, 4), (0, 0, 3, 4), (0, 9, 0, 0), (1, 5, 5, 5)])
+    nodes = nodes.withColumns({f"{a}u": nodes[a] for a in "zyx"})
+
+    def got():
+        return {r.node_id: r.d for r in spatial.spacing(nodes).collect()}
+
+    expected = {0: 5.0, 1: 0.0, 2: 0.0, 3: 9.0}
+    with monkeypatch.context() as m:
+        m.setattr(spatial, "TASK_CELLS", 3)
+        assert got() == expected
+    monkeypatch.setattr(spatial, "range_join", refuse)
+    assert got() == expected

@@ -8,10 +8,12 @@ every qualifying pair meets in exactly one cell, so no de-duplication follows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import norm3
+from trackspark.operators.grouped import STEP_CELLS, TASK_CELLS, crowded, distances, within
 from trackspark.session import cut_lineage, discard, is_empty
 
 # A bucket with more distinct points than this is searched on a finer grid first.
@@ -203,21 +205,45 @@ def nearest_links(nodes: DataFrame, radius: float) -> DataFrame:
 def spacing(nodes: DataFrame) -> DataFrame:
     """Distance of every node to its nearest neighbour in the same frame.
 
-    Positions are collapsed first: a position held by two or more nodes has spacing 0.
+    Positions are collapsed first: a position held by two or more nodes has spacing 0. A frame whose
+    distances fit a task is searched there; larger ones by balls that grow (:func:`nearest_k`).
     """
     spot = ["dataset", "t", "zu", "yu", "xu"]
     places = nodes.groupBy(*spot).agg(F.min("node_id").alias("place_id"),
                                       F.count(F.lit(1)).alias("copies"))
     places = cut_lineage(places, "places")
-    others = places.select("dataset", "t", F.col("place_id").alias("other_id"), "zu", "yu", "xu")
-    near = nearest_k(places.where("copies = 1"), others, 1, ["dataset", "t"],
-                     "place_id", "other_id", skip_self=True)
+    frame = ["dataset", "t"]
+    large = crowded(places, places, frame, TASK_CELLS)
+    small = places if large is None else places.join(large, frame, "left_anti")
+    kind = dict(places.dtypes)["place_id"]
+    near = within(small.where("zu IS NOT NULL AND yu IS NOT NULL AND xu IS NOT NULL"), frame,
+                  ["place_id", "zu", "yu", "xu", "copies"], f"place_id {kind}, d double", _nearest_other)
+    if large is not None:
+        rest = cut_lineage(places.join(large, frame, "left_semi"), "places")
+        others = rest.select(*frame, F.col("place_id").alias("other_id"), "zu", "yu", "xu")
+        near = near.unionByName(nearest_k(rest.where("copies = 1"), others, 1, frame, "place_id", "other_id",
+                                          skip_self=True).select(*frame, "place_id", "d"))
     alone = near.select("dataset", "t", F.col("place_id").alias("node_id"), "d")
     shared = (nodes.join(places.where("copies > 1").select(*spot), spot, "left_semi")
               .select("dataset", "t", "node_id", F.lit(0.0).alias("d")))
     return alone.unionByName(shared)
 
 
+def _nearest_other(ids: np.ndarray, z: np.ndarray, y: np.ndarray, x: np.ndarray,
+                   copies: np.ndarray) -> list[np.ndarray] | None:
+    """Places held once, with the distance to the nearest other place of the frame."""
+    places, best = [z, y, x], []
+    if len(ids) < 2:
+        return None
+    step = max(1, STEP_CELLS // len(ids))
+    for k in range(0, len(ids), step):
+        d = distances([p[k:k + step] for p in places], places)
+        d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
+        best.append(d.min(1))
+    once = copies == 1
+    return [ids[once], np.concatenate(best)[once]]
+
+
 def successor_rank(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """Rank of the true successor among the ``k`` nearest of the next frame (null: beyond k).
 
