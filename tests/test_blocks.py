@@ -1,6 +1,7 @@
 """Slabs with halos against direct NumPy computation, for every cut of the frame."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackspark.operators import blocks as B
@@ -109,3 +110,12 @@ def test_frames_must_be_dense(spark, volumes):
         with pytest.raises(Exception, match="not dense"):
             B.to_slabs(broken, 2).df.collect()
     assert B.to_slabs(rows.where("false"), 2).df.count() == 0
+
+
+def test_slabs_are_packed_once_and_taken_in_pieces(spark):
+    rows = [("d", t, z, y, x, float(t + z * y + x)) for t in range(2) for z in range(4) for y in range(2) for x in range(2)]
+    voxels = spark.createDataFrame(rows, "dataset string, t bigint, z int, y int, x int, v double")
+    plan = B.normalised(B.to_slabs(voxels, 2)).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+    batch = pa.record_batch({"a": list(range(B.STEP_ROWS + 5))})
+    assert [p.num_rows for p in B._pieces(iter([batch]))] == [B.STEP_ROWS, 5]

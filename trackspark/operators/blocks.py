@@ -145,6 +145,16 @@ class Slab:
         return self.values[name][self.z0 - self.lo:self.z0 - self.lo + self.n]
 
 
+#: Slab rows that a kernel takes at a time, so that what it makes of a large batch isn't held at once.
+STEP_ROWS = 1024
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(k, STEP_ROWS)
+
+
 def _slabs(batch: pa.RecordBatch, values: tuple[str, ...]) -> Iterator[Slab]:
     place = {c: batch.column(c).to_numpy().tolist() for c in ("z0", "n", "nz", "ny", "nx", "lo")}
     more = {c: batch.column(c).to_pylist() for c in batch.schema.names if c not in (*FRAME, *_PLACE, "lo", *values)}
@@ -170,7 +180,7 @@ def mapped(blocks: Blocks, reach: int, made: tuple[str, ...], kernel: Callable[[
     schema = ", ".join([_KEYS, *[f"{c} {kinds[c]}" for c in more], *[f"{c} array<double>" for c in (*kept, *made)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out: list[list[np.ndarray]] = [[] for _ in (*kept, *made)]
             for slab in _slabs(batch, values):
                 for column, array in zip(out, [*[slab.own(c) for c in kept], *kernel(slab)]):
@@ -226,7 +236,7 @@ def frame_ranks(blocks: Blocks, shares: dict[str, float], value: str = "v") -> D
         rows = df.select(*FRAME, F.col(value).alias("v")).join(looked, FRAME)
 
         def count(batches: Iterator[pa.RecordBatch], shift=shift, before=before) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _pieces(batches):
                 out: list[list] = [[], [], [], [], []]
                 lists = batch.column(2)
                 values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -286,6 +296,8 @@ def normalised(blocks: Blocks, low: float = 0.01, high: float = 0.997, floor: fl
         names = ", ".join(f"{n}_{e} double" for n in shares for e in "abf")
         ranked = df.mapInArrow(pick, f"{_KEYS}, v array<double>, lo int, {names}").drop("lo")
     else:
+        # Read four times: packed once, and no task runs the packing beside another kernel.
+        blocks = blocks.with_df(cut_lineage(blocks.df, "slabs"))
         ranked = blocks.df.join(frame_ranks(blocks, shares), FRAME)
     lo, hi = (_between(F.col(f"{n}_a"), F.col(f"{n}_b"), F.col(f"{n}_f")) for n in ("lo", "hi"))
     rows = ranked.withColumns({"_lo": lo, "_hi": F.when(hi <= lo, lo + 1.0).otherwise(hi)})
@@ -429,7 +441,7 @@ def peaks(blocks: Blocks, value: str, voxel_um, separation_um: float, passing: C
     values, df = blocks.values, haloed(blocks, max(near, window[0] if window else 0))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             row, where, score, centre = [], [], [], []
             for i, slab in enumerate(_slabs(batch, values)):
                 own = slab.own(value)
