@@ -166,13 +166,20 @@ def online_links(i: Inputs):
     return i.spark.read.parquet(path).select("dataset", "t", "source_id", "target_id", r6("d"))
 
 
-def _split_files(i: Inputs, name: str) -> tuple[str, int]:
-    """The detections as five files of frames that overlap, and the instant of frame 0.
+#: Events for which a step of the split stream is written and read as one more file.
+_FILE_EVENTS = 500_000
 
-    Odd nodes of every fifth frame are in the file after the even ones, so frames are split over
-    the batches of a stream that reads one file at a time. The last file only moves the watermark.
+
+def _split_files(i: Inputs, name: str) -> tuple[str, int, int]:
+    """The detections as five steps of frames that overlap, the instant of frame 0, and the files a step.
+
+    Odd nodes of every fifth frame are in the step after the even ones, so frames are split over
+    the batches of a stream that reads one step at a time. The last step only moves the watermark.
+    Every step but that is written as the same number of files, which grows with the events: rows are
+    dealt in turn, so no file is left out.
     """
     path = _out(i, name)
+    files = int(max(1, min(i.spark.sparkContext.defaultParallelism, i.events.count() // _FILE_EVENTS)))
     rows = _detections(i.events).withColumn("_file", F.floor((F.col("t") + F.col("node_id") % 2) / 5).cast("int"))
     start = 1_704_067_200
     end = i.spark.range(1).select(
@@ -180,14 +187,16 @@ def _split_files(i: Inputs, name: str) -> tuple[str, int]:
         *[F.lit(0.0).alias(a) for a in "zyx"], F.timestamp_seconds(F.lit(start + 86_400)).alias("ts"))
     for k in range(6):
         part = rows.where(F.col("_file") == k).drop("_file") if k < 5 else end
-        part.select(*end.columns).coalesce(1).write.mode("append").parquet(path)
-    return path, start * 1000
+        part = part.select(*end.columns)
+        dealt = part.coalesce(1) if files == 1 or k == 5 else part.repartition(files)
+        dealt.write.mode("append").parquet(path)
+    return path, start * 1000, files
 
 
 def _linked_in_batches(i: Inputs, name: str):
     from trackspark.streaming.linker import online_links, run_stateful
-    source, start = _split_files(i, f"{name}-files")
-    stream = (i.spark.readStream.schema(i.spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1)
+    source, start, files = _split_files(i, f"{name}-files")
+    stream = (i.spark.readStream.schema(i.spark.read.parquet(source).schema).option("maxFilesPerTrigger", files)
               .parquet(source))
     path = _out(i, name)
     batches = run_stateful(online_links(stream, 9.0, start), path)

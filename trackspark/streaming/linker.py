@@ -24,7 +24,8 @@ from trackspark.schema import DEFAULT_SCALE
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_POINTS = "ids array<bigint>, z array<double>, y array<double>, x array<double>"
+#: A source, or a target, of the links that start from frame t.
+_ROW = np.dtype([("target", "?"), ("t", "<i8"), ("id", "<i8"), ("z", "<f8"), ("y", "<f8"), ("x", "<f8")])
 LINK = "dataset string, t bigint, source_id bigint, target_id bigint, d double"
 #: Distances that one vectorised step of a closing frame holds.
 STEP_CELLS = 1 << 20
@@ -62,9 +63,12 @@ def nearest(sources: tuple, targets: tuple, radius: float,
 
 
 class BlockLinker(StatefulProcessor):
-    """State of one cube: open sources and targets, by the frame that the links start from.
+    """State of one cube: the packed rows of its open sources and targets, in the pieces they came in.
 
     Frames follow a clock: frame t happens at ``start_ms + t * frame_ms``, and closes with frame t + 1.
+    Every call to the state store is a round trip, so a batch costs a cube one append and one timer,
+    and one timer closes all frames that the watermark has passed. Some timer is never later than
+    the first open frame.
     """
 
     def __init__(self, radius: float, start_ms: int, frame_ms: int):
@@ -72,36 +76,53 @@ class BlockLinker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sides = {side: handle.getMapState(side, "t bigint", _POINTS) for side in ("source", "target")}
+        self.open = handle.getListState("open", "rows binary")
+
+    def _due(self, t):
+        return self.start_ms + (t + 1) * self.frame_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            for (side, t, due), group in part.groupby(["side", "t", "due"]):
-                state, frame = self.sides[side], (int(t),)
-                old = state.getValue(frame) if state.containsKey(frame) else ([], [], [], [])
-                new = [group[c].tolist() for c in ("node_id", "zu", "yu", "xu")]
-                state.updateValue(frame, tuple(list(a) + b for a, b in zip(old, new)))
-                self.handle.registerTimer(int(due))
+            if not len(part):
+                continue
+            packed = np.empty(len(part), _ROW)
+            packed["target"] = part["side"].to_numpy() == "target"
+            for name, column in (("t", "t"), ("id", "node_id"), ("z", "zu"), ("y", "yu"), ("x", "xu")):
+                packed[name] = part[column].to_numpy()
+            self.open.appendValue((packed.tobytes(),))
+            least = int(packed["t"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(self._due(first))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        return iter(self._closed(key[0], [int(t[0]) for side in self.sides.values() for t in side.keys()], now))
-
-    def _closed(self, dataset: str, frames: list[int], now: int) -> list[pd.DataFrame]:
-        out = []
-        for t in sorted(set(frames)):
-            if self.start_ms + (t + 1) * self.frame_ms > now:
-                continue
-            sides = []
-            for state in self.sides.values():
-                sides.append(state.getValue((t,)) if state.containsKey((t,)) else ([], [], [], []))
-                state.removeKey((t,))
-            source, target, d = nearest(*sides, self.radius)
-            if len(source):
-                out.append(pd.DataFrame({"dataset": dataset, "t": t, "source_id": source.astype(np.int64),
-                                         "target_id": target.astype(np.int64), "d": d}))
-        return out
+        pieces = [np.frombuffer(piece[0], _ROW) for piece in self.open.get()]
+        if not pieces:
+            return iter([])
+        rows = np.concatenate(pieces)
+        passed = self._due(rows["t"]) <= timerValues.getCurrentWatermarkInMs()
+        rest = rows[~passed]
+        if len(rest):
+            self.open.put([(rest.tobytes(),)])
+            self.handle.registerTimer(self._due(int(rest["t"].min())))
+        else:
+            self.open.clear()
+        return iter(self._closed(key[0], rows[passed]))
+
+    def _closed(self, dataset: str, rows: np.ndarray) -> list[pd.DataFrame]:
+        found = []
+        rows = rows[np.argsort(rows["t"], kind="stable")]
+        for frame in np.split(rows, np.flatnonzero(np.diff(rows["t"])) + 1):
+            sides = [tuple(part[c] for c in ("id", "z", "y", "x")) for part in (frame[~frame["target"]], frame[frame["target"]])]
+            if len(sides[0][0]) and len(sides[1][0]):
+                source, target, d = nearest(*sides, self.radius)
+                found.append((np.full(len(source), frame["t"][0]), source.astype(np.int64), target.astype(np.int64), d))
+        if not sum(len(f[0]) for f in found):
+            return []
+        t, source, target, d = (np.concatenate(c) for c in zip(*found))
+        return [pd.DataFrame({"dataset": dataset, "t": t, "source_id": source, "target_id": target, "d": d})]
 
     def close(self) -> None:
         pass
@@ -111,7 +132,7 @@ def block_rows(stream: DataFrame, radius: float, start_ms: int, frame_ms: int, b
                scale=DEFAULT_SCALE) -> DataFrame:
     """Every detection as a source of its cube and as a target of the cubes in reach, with the time its frame closes."""
     width = block_radii * radius
-    um = with_um(stream, scale)
+    um = with_um(stream.where("t IS NOT NULL"), scale)
     home = [F.floor(F.col(f"{a}u") / width).cast("bigint") for a in "zyx"]
     reach = [F.sequence(F.floor((F.col(f"{a}u") - radius) / width).cast("bigint"),
                         F.floor((F.col(f"{a}u") + radius) / width).cast("bigint")) for a in "zyx"]
