@@ -20,6 +20,7 @@ from trackspark.operators.edges import (
     best_edge, degrees, drop_long, edge_length, only_neighbour, open_ends, with_endpoints)
 from trackspark.operators.graph import (
     append_nodes, filter_divisions, long_tracks, prune_isolated, smooth_tracks)
+from trackspark.operators.grouped import crowded, distances
 from trackspark.operators.ordering import rank_rows
 from trackspark.operators.spatial import range_join
 from trackspark.schema import DEFAULT_SCALE
@@ -345,40 +346,42 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
     """Re-link every frame pair with predicted positions: tight gate first, then relaxed.
 
     The cost of a link is the distance to the predicted position, plus 5 % of the raw
-    distance, minus ``bonus`` times the learned probability. A task holds the candidates of
-    one window of frames; the window shrinks where frames hold many candidates. Output:
+    distance, minus ``bonus`` times the learned probability. A task holds the points of one
+    window of frames and forms the candidates of a frame there; they are never written or
+    exchanged. The window shrinks where frames hold many points. Only recordings with a frame
+    whose distances do not fit a task get their candidates from the grid join. Output:
     dataset, source_id, target_id, edge_prob, distance_um, motion_um, tight.
 
     ``carried`` (dataset, target_id, pz, py, px) says where nodes of the first frame came from;
     ``with_origin`` adds t and the source's position pz, py, px, which is the same for what follows.
     """
-    usable = cut_lineage(with_um(nodes), "usable")
+    usable = cut_lineage(with_um(nodes).where("dataset IS NOT NULL AND t IS NOT NULL")
+                         .select(*PAIR, "node_id", "zu", "yu", "xu"), "usable")
     learned = (edges.where("edge_prob IS NOT NULL").where(F.abs("edge_prob") < float("inf"))
                .groupBy("dataset", "source_id", "target_id").agg(F.max("edge_prob").alias("_p"))
                .select("dataset", "source_id", "target_id", sanitise_probability(F.col("_p")).alias("prob")))
     a = usable.select(*PAIR, F.col("node_id").alias("source_id"), "zu", "yu", "xu")
     b = usable.select("dataset", (F.col("t") - 1).alias("t"), F.col("node_id").alias("target_id"), "zu", "yu", "xu")
-    cands = (range_join(a, b, relaxed_um, PAIR)
-             .join(learned, ["dataset", "source_id", "target_id"], "left").fillna(0.0, ["prob"]))
-    cands = cut_lineage(cands, "motion")
-    busiest = cands.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 1
-    window = max(1, min(window, TASK_CELLS // busiest))
-    cands = cands.withColumn("w", F.floor(F.col("t") / window))
     schema = ("dataset string, t bigint, source_id bigint, target_id bigint, edge_prob double, "
               "distance_um double, motion_um double, tight boolean, pz double, py double, px double")
+    names = [c.split()[0] for c in schema.split(", ")]
+    if carried is not None:
+        carried = cut_lineage(carried.select(*[
+            F.col(c).alias(c) if c in carried.columns else F.lit(None).cast(k).alias(c)
+            for c, k in (f.split() for f in schema.split(", "))]), "carried")
+
+    def none():
+        # an empty column of floats is no text to Arrow
+        return pd.DataFrame({c: [] for c in names}, dtype=object)
 
-    def walk(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        came_from = {n: p for n, *p in carried[["target_id", "pz", "py", "px"]].itertuples(index=False)}
+    def linked(name, frames, came_from):
+        """The links of a recording's frames (t, ids, targets, places of both, distances, probabilities), in order."""
         parts = []
-        for _, frame in rows.sort_values(["t", "source_id", "target_id"]).groupby("t"):
-            src = frame[["l_zu", "l_yu", "l_xu"]].to_numpy()
-            dst = frame[["r_zu", "r_yu", "r_xu"]].to_numpy()
-            ids = frame["source_id"].to_numpy()
+        for t, ids, targets, src, dst, raw, prob in frames:
             past = np.array([came_from.get(s, p) for s, p in zip(ids, src)]).reshape(-1, 3)
             motion = np.sqrt(((dst - (src + velocity * (src - past))) ** 2).sum(axis=1))
-            raw, prob, targets = frame["d"].to_numpy(), frame["prob"].to_numpy(), frame["target_id"].to_numpy()
             cost = motion + 0.05 * raw - bonus * prob
-            free = np.ones(len(frame), bool)
+            free = np.ones(len(ids), bool)
             for gate, tight in ((tight_um, True), (relaxed_um, False)):
                 idx = np.flatnonzero(free & (raw <= gate))
                 if not len(idx):
@@ -386,31 +389,94 @@ def motion_links(nodes: DataFrame, edges: DataFrame, tight_um: float = 5.95, rel
                 pick = idx[heaviest_matching(ids[idx], targets[idx], gate * 1000.0 + 1.0 - cost[idx])]
                 free &= ~np.isin(ids, ids[pick]) & ~np.isin(targets, targets[pick])
                 parts.append(pd.DataFrame({
-                    "dataset": frame["dataset"].to_numpy()[pick], "t": frame["t"].to_numpy()[pick],
-                    "source_id": ids[pick], "target_id": targets[pick], "edge_prob": prob[pick],
+                    "dataset": name, "t": t, "source_id": ids[pick], "target_id": targets[pick], "edge_prob": prob[pick],
                     "distance_um": raw[pick], "motion_um": motion[pick], "tight": tight,
                     "pz": src[pick, 0], "py": src[pick, 1], "px": src[pick, 2]}))
                 came_from.update(zip(targets[pick], src[pick]))
-        if not parts:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return pd.concat(parts)
-
-    bounds = cands.agg(F.min("w"), F.max("w")).first()
-    done, origins = None, carried
-    if origins is not None:
-        origins = cut_lineage(origins.select(*[
-            F.col(c).alias(c) if c in origins.columns else F.lit(None).cast(k).alias(c)
-            for c, k in (f.split() for f in schema.split(", "))]), "carried")
-    for w in range(bounds[0] or 0, (bounds[1] if bounds[1] is not None else -1) + 1):
-        part = cands.where(F.col("w") == w)
-        if origins is None:
-            origins = part.sparkSession.createDataFrame([], schema)
-        linked = cut_lineage(part.groupBy("dataset").cogroup(origins.groupBy("dataset"))
-                             .applyInPandas(walk, schema), "walked")
-        done = linked if done is None else done.unionByName(linked)
-        origins = linked.where(F.col("t") == (w + 1) * window - 1)
-    if done is None:
-        done = nodes.sparkSession.createDataFrame([], schema)
+        return pd.concat(parts) if parts else none()
+
+    def by_window(rows, window, first, last, frames_of):
+        """``linked`` over windows of frames, each with the origins that the one before leaves."""
+        def walk(part: pd.DataFrame, origins: pd.DataFrame) -> pd.DataFrame:
+            if not len(part):
+                return none()
+            came_from = {n: p for n, *p in origins[["target_id", "pz", "py", "px"]].itertuples(index=False)}
+            return linked(part["dataset"].iloc[0], frames_of(part, window), came_from)
+
+        if first < last:
+            rows = cut_lineage(rows, "motion")
+        done, origins = None, carried
+        for w in range(first, last + 1):
+            if origins is None:
+                origins = nodes.sparkSession.createDataFrame([], schema)
+            found = cut_lineage(rows.where(F.col("w") == w).groupBy("dataset").cogroup(origins.groupBy("dataset"))
+                                .applyInPandas(walk, schema), "walked")
+            done = found if done is None else done.unionByName(found)
+            origins = found.where(F.col("t") == (w + 1) * window - 1)
+        return done
+
+    def windows(counted, window):
+        """The frames a window may have, and the first and last window, by the rows of every frame."""
+        top, low, high = counted.agg(F.max("count"), F.min("t"), F.max("t")).first()
+        if top is None:
+            return None
+        window = max(1, min(window, TASK_CELLS // top))
+        return window, low // window, high // window
+
+    def from_points(rows, window):
+        w, (points, known) = rows["w"].iloc[0], (rows[rows["kind"] == k] for k in (0, 1))
+        frames = {t: [part[c].to_numpy() for c in ("a", "zu", "yu", "xu")]
+                  for t, part in points.sort_values(["t", "a"]).groupby("t")}
+        chances = {t: [part[c].to_numpy() for c in ("a", "b", "zu")] for t, part in known.groupby("t")}
+        for t, left in frames.items():
+            if t // window != w or t + 1 not in frames:
+                continue
+            right = frames[t + 1]
+            d = distances(left[1:], right[1:])
+            l, r = np.nonzero(d <= relaxed_um)
+            if not len(l):
+                continue
+            prob = np.zeros(len(l))
+            if t in chances:
+                own, other, p = chances[t]
+                (lu, li), (ru, ri) = (np.unique(side[0], return_inverse=True) for side in (left, right))
+                at, to = (np.minimum(np.searchsorted(u, x), len(u) - 1) for u, x in ((lu, own), (ru, other)))
+                met = (lu[at] == own) & (ru[to] == other)
+                table = np.zeros((len(lu), len(ru)))
+                table[at[met], to[met]] = p[met]
+                prob = table[li[l], ri[r]]
+            src, dst = (np.stack(side[1:], 1)[k] for side, k in ((left, l), (right, r)))
+            yield t, left[0][l], right[0][r], src, dst, d[l, r], prob
+
+    def from_pairs(rows, window):
+        for t, frame in rows.sort_values(["t", "source_id", "target_id"]).groupby("t"):
+            yield (t, *[frame[c].to_numpy() for c in ("source_id", "target_id")],
+                   *[frame[[f"{side}_{c}u" for c in "zyx"]].to_numpy() for side in "lr"],
+                   *[frame[c].to_numpy() for c in ("d", "prob")])
+
+    parts = []
+    large = crowded(a, b, PAIR, TASK_CELLS)
+    if large is not None:
+        large = large.select("dataset").distinct()
+        cands = cut_lineage(range_join(*[s.join(large, "dataset", "left_semi") for s in (a, b)], relaxed_um, PAIR)
+                            .join(learned, ["dataset", "source_id", "target_id"], "left").fillna(0.0, ["prob"]), "motion")
+        if found := windows(cands.groupBy(*PAIR).count(), window):
+            parts.append(by_window(cands.withColumn("w", F.floor(F.col("t") / found[0])), *found, from_pairs))
+        usable = usable.join(large, "dataset", "left_anti")
+    if found := windows(usable.groupBy(*PAIR).count(), window):
+        own = F.floor(F.col("t") / found[0])
+        # the first frame of a window also ends the links of the window before
+        of = F.when(F.col("t") % found[0] == 0, F.array(own - 1, own)).otherwise(F.array(own))
+        zero = F.lit(0).cast("bigint")
+        points = usable.select(*PAIR, F.explode(of).alias("w"), F.lit(0).alias("kind"), F.col("node_id").alias("a"),
+                               zero.alias("b"), "zu", "yu", "xu")
+        known = (usable.select(*PAIR, F.col("node_id").alias("source_id")).join(learned, ["dataset", "source_id"])
+                 .select(*PAIR, own.alias("w"), F.lit(1).alias("kind"), F.col("source_id").alias("a"),
+                         F.col("target_id").alias("b"), F.col("prob").alias("zu"), F.lit(0.0).alias("yu"), F.lit(0.0).alias("xu")))
+        parts.append(by_window(points.unionByName(known), *found, from_points))
+    done = parts[0] if parts else nodes.sparkSession.createDataFrame([], schema)
+    for part in parts[1:]:
+        done = done.unionByName(part)
     return done if with_origin else done.drop("t", "pz", "py", "px")
 
 
